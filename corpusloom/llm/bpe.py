@@ -21,28 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.hashing import MinimalPerfectHash, hash_bytes
+from corpusloom.llm.memo import Memo
 from corpusloom.runtime import ship
 
 
-class Memo(dict):
-    """Remembers make(key). At `most` keys the older half of the working set is forgotten: a key still in use comes back from the previous generation."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(key) <= 64:
-            self[key] = value
-        return value
-
-
 class ByteBpe:
     """Encoder and decoder for a vocabulary of byte strings with merge ranks."""
 

@@ -1,0 +1,32 @@
+"""A bounded memory of a function's results."""
+
+from __future__ import annotations
+
+
+class Memo(dict):
+    """Remembers make(key), about the last `most` to 2 * `most` keys.
+
+    At `most` keys the newest generation becomes the old one, and the former old one is forgotten; a key that is
+    still in use comes back from the old generation. Keys over 64 long are made anew each time.
+    """
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            self.put(key, value)
+        return value
+
+    def __contains__(self, key):
+        return super().__contains__(key) or key in self.old
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value

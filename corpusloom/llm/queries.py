@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, linededup, mixing
+from corpusloom.llm import bpe, langid, linededup, mixing, quality, token_store
 
 QUERIES = {
+    "op1_token_store": token_store.op1,
+    "op3_language_id": langid.op3,
     "op6_byte_bpe": bpe.op6,
+    "op7_quality": quality.op7,
     "op8_mix_sources": mixing.op8,
     "op10_line_dedup": linededup.op10,
 }
