@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, langid, linededup, mixing, quality, token_store
+from corpusloom.llm import bpe, langid, linededup, mih, mixing, quality, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1,
     "op3_language_id": langid.op3,
+    "op4_exact_top_k": topk.op4,
+    "op5_multi_index": mih.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_quality": quality.op7,
     "op8_mix_sources": mixing.op8,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_exact_top_k": topk.OP4_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
