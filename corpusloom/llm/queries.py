@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, langid, linededup, mih, mixing, quality, token_store, topk
+from corpusloom.llm import bpe, jaccard, langid, linededup, mih, mixing, quality, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1,
@@ -12,11 +12,13 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6,
     "op7_quality": quality.op7,
     "op8_mix_sources": mixing.op8,
+    "op9_jaccard": jaccard.op9,
     "op10_line_dedup": linededup.op10,
 }
 
 SQL = {
     "op4_exact_top_k": topk.OP4_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op9_jaccard": jaccard.OP9_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
