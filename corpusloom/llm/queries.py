@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, jaccard, langid, linededup, mih, mixing, quality, token_store, topk
+from corpusloom.llm import bpe, jaccard, langid, linededup, mih, mixing, quality, suffix_dedup, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1,
+    "op2_suffix_dedup": suffix_dedup.op2,
     "op3_language_id": langid.op3,
     "op4_exact_top_k": topk.op4,
     "op5_multi_index": mih.op5,
