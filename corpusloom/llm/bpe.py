@@ -28,7 +28,7 @@ from corpusloom.runtime import ship
 class ByteBpe:
     """Encoder and decoder for a vocabulary of byte strings with merge ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 400_000):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.tokens = {i: t for t, i in ranks.items()}
@@ -68,21 +68,29 @@ class ByteBpe:
         rank, n = self.ranks.get, len(piece)
         part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, piece[i : i + 2]) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        # ranks[i]: of the pair that starts at byte i, -1 if none; a heap entry is out of date unless it says the same
+        ranks = [rank(piece[i : i + 2], -1) for i in range(n)]
+        ranks[-1] = -1
+        heap = [r * n + i for i, r in enumerate(ranks) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
-            j = after[i]
-            if part[i] is None or j >= n or len(part[i]) + len(part[j]) != len(pair) or part[i] + part[j] != pair:
+            r, i = divmod(heapq.heappop(heap), n)
+            if ranks[i] != r:
                 continue
-            part[i], part[j] = pair, None
+            j = after[i]
+            part[i] = pair = part[i] + part[j]
+            part[j], ranks[j] = None, -1
             after[i] = k = after[j]
+            ranks[i] = -1
             if k < n:
                 before[k] = i
-                if (r := rank(pair + part[k])) is not None:
-                    heapq.heappush(heap, (r, i, pair + part[k]))
-            if (p := before[i]) >= 0 and (r := rank(part[p] + pair)) is not None:
-                heapq.heappush(heap, (r, p, part[p] + pair))
+                ranks[i] = r = rank(pair + part[k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + i)
+            if (p := before[i]) >= 0:
+                ranks[p] = r = rank(part[p] + pair, -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + p)
         return [self.ranks[x] for x in part if x is not None]
 
     def piece(self, text: str) -> tuple[int, ...]:
