@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -126,21 +127,21 @@ def load(path: str, pattern: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, *, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded with keep_ids) of each row of docs.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids with keep_ids) of each row of docs.
 
     docs needs doc_id and text; other columns are not looked at. Null text counts as empty: no tokens, hashes of the
     empty string. Null doc_id and repeated rows pass through, one row out for each row in. The file at path must be
     on every worker, as the libraries are.
     """
     ship(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         decimal = coder.decimal.__getitem__
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                n, shas, back, ids_out, bytes_out = [], [], [], [], []
+                n, shas, back, kept = [], [], [], []
                 for text in part["text"]:
                     ids = coder.encode(text.as_py() or "")
                     decoded = coder.decode(ids)
@@ -148,18 +149,29 @@ def encode_documents(docs: DataFrame, *, path: str, pattern: str, keep_ids: bool
                     shas.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(decoded).hexdigest())
                     if keep_ids:
-                        ids_out.append(ids)
-                        bytes_out.append(decoded)
+                        kept.append(np.array(ids, np.int32))
                 columns = [part["doc_id"], pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(bytes_out, pa.binary())]
-                    names += ["ids", "decoded"]
+                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def decode_documents(encoded: DataFrame, *, path: str, pattern: str) -> DataFrame:
+    """doc_id, decoded (bytes) of each row of encoded (doc_id, ids); null ids count as none."""
+    ship(encoded.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = load(path, pattern)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([coder.decode(ids.as_py() or []) for ids in batch["ids"]], pa.binary())], ["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

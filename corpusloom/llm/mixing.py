@@ -82,6 +82,23 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: a row for each time a document is taken, the last one cut after the words it gives.
+
+    Rows that repeat a doc_id with as many words are taken alike. Columns are those of docs.
+    """
+    names = docs.columns
+    mixed = mix_sources(docs, **options).groupBy("doc_id", "size").agg(F.max("taken").alias("_taken"))
+    mixed = mixed.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_taken")
+    sized = docs.withColumn("_words", word_count(F.col("text")))
+    taken = sized.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    times = F.ceil(F.col("_taken") / F.col("_size")).cast("long")
+    each = taken.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_turn") - 1) * F.col("_size"))
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), words.cast("int")), "")
+    return each.withColumn("text", F.when(words < F.col("_size"), start).otherwise(F.col("text"))).select(*names)
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
