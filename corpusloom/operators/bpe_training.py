@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import json
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,14 +87,13 @@ def read_train_bytes(path: str) -> int:
 
 def encode_column(ranks: dict[bytes, int]):
     """An Arrow UDF text -> ids of a trained vocabulary, merging by token id; specials never arise from text."""
-    import pandas as pd
     import regex
     from pyspark.sql.types import ArrayType, IntegerType
 
     usable = {t: i for t, i in ranks.items() if t.decode("utf-8", "replace") not in SPECIAL_TOKENS}
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(batches):
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         split, known = regex.compile(PRETOKEN).findall, {}
 
         def piece(text: str) -> list[int]:
@@ -122,13 +123,12 @@ def encode_column(ranks: dict[bytes, int]):
 
 def decode_column(ranks: dict[bytes, int]):
     """An Arrow UDF ids -> text, special tokens kept."""
-    import pandas as pd
     from pyspark.sql.types import StringType
 
     tokens = {i: t for t, i in ranks.items()}
 
     @F.pandas_udf(StringType())
-    def decode(batches):
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([None if ids is None else b"".join(tokens[int(i)] for i in ids).decode("utf-8", "replace") for ids in batch])
 

@@ -527,11 +527,11 @@ def running_best(spark, sf_dir):
     return runs.running_best(log(spark, sf_dir), ["run"], ["step"], "loss").select("run", "step", "best", "is_best")
 
 
-@query("""SELECT run, step, d AS steps_since, CASE WHEN s > 0 THEN round(65536 * d / s, 6) END AS tokens_per_second FROM (SELECT user_id AS run, event_id AS step, event_id - lag(event_id) OVER w AS d,
+@query("""SELECT run, step, d::DOUBLE AS steps_since, CASE WHEN s > 0 THEN round(65536 * d / s, 6) END AS tokens_per_second FROM (SELECT user_id AS run, event_id AS step, event_id - lag(event_id) OVER w AS d,
   epoch_us(ts)::DOUBLE / 1e6 - lag(epoch_us(ts)::DOUBLE / 1e6) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""")
 def throughput(spark, sf_dir):
     seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
-    return runs.throughput_rows(log(spark, sf_dir), ["run"], "step", seconds, 65_536).select("run", "step", "steps_since", F.round("tokens_per_second", 6).alias("tokens_per_second"))
+    return runs.throughput_rows(log(spark, sf_dir), ["run"], "step", seconds, 65_536).select("run", "step", F.col("steps_since").cast("double").alias("steps_since"), F.round("tokens_per_second", 6).alias("tokens_per_second"))
 
 
 @query("""SELECT run, step, is_best FROM (SELECT user_id AS run, event_id AS step, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, row_number() OVER (PARTITION BY user_id ORDER BY value NULLS LAST, event_id) = 1 AS is_best FROM events) WHERE n <= 3 OR is_best""")
