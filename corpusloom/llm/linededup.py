@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusloom.llm.cuckoo import CuckooFilter, filter_of
 from corpusloom.runtime import materialize, scratch, ship
@@ -72,15 +73,22 @@ def shard_of(shards: int):
 
 
 def drop_lines(docs: DataFrame, doomed: DataFrame, *, least: int = 10, keep_text: bool = True) -> DataFrame:
-    """docs (doc_id, text) without the lines whose key doomed (doc_id, k1, k2) names for that document."""
-    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * keep_text
-    lists = doomed.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys")).select(F.col("doc_id").alias("_id"), F.col("keys.k1").alias("a"), F.col("keys.k2").alias("b"))
-    keyed = docs.select("doc_id", "text").withColumn("_id", F.coalesce("doc_id", F.lit(LAST)))
+    """The rows of docs without the lines whose key doomed (doc_id, k1, k2) names for that document.
+
+    Returned: the columns of docs, text shortened (left out without keep_text), then n_lines, n_dropped, kept_sha256
+    in place of any of docs' columns of these names.
+    """
+    lists = doomed.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_keys")).select(F.col("doc_id").alias("_id"), F.col("_keys.k1").alias("_a"), F.col("_keys.k2").alias("_b"))
+    figures = ["n_lines", "n_dropped", "kept_sha256"]
+    carried = [c for c in docs.columns if c not in figures and c != "text"]
+    keyed = docs.select(*carried, "text").withColumn("_id", F.coalesce("doc_id", F.lit(LAST)))
+    schema = StructType([docs.schema[c] for c in carried] + [StructField("text", StringType())] * keep_text)
+    schema = schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, a, b in zip(batch["text"], batch["a"], batch["b"], strict=True):
+            for text, a, b in zip(batch["text"], batch["_a"], batch["_b"], strict=True):
                 lines = (text.as_py() or "").encode().split(b"\n")
                 kept = lines
                 if a.is_valid:
@@ -89,11 +97,11 @@ def drop_lines(docs: DataFrame, doomed: DataFrame, *, least: int = 10, keep_text
                 data = b"\n".join(kept)
                 rows.append((len(lines), len(lines) - len(kept), hashlib.sha256(data).hexdigest(), data.decode() if keep_text else ""))
             n, dropped, sha, texts = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * keep_text, names + ["text"] * keep_text)
+            columns = [batch[c] for c in carried] + [pa.array(texts, pa.string())] * keep_text
+            columns += [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, carried + ["text"] * keep_text + figures)
 
-    return keyed.join(lists, "_id", "left").select("doc_id", "text", "a", "b").mapInArrow(run, schema)
+    return keyed.join(lists, "_id", "left").select(*carried, "text", "_a", "_b").mapInArrow(run, schema)
 
 
 class LineIndex:
@@ -166,7 +174,7 @@ class LineIndex:
 
 
 def dedup_lines(docs: DataFrame, *, least: int = 10, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 (and text) of each row of docs (doc_id, text; other columns are not looked at).
+    """The rows of docs (doc_id, text; other columns pass through) as drop_lines returns them.
 
     Keys of at least `least` code points that at least two documents hold lose all their lines except in the smallest
     doc_id. Null or empty text: one empty line, kept. Null doc_id: all such rows count as one document after all
@@ -177,7 +185,7 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, keep_text: bool = True) ->
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_text=False)
 
 
 OP10_SQL = r"""
