@@ -21,13 +21,14 @@ def learning_rate(step: Column, total: Column | int, train: TrainConfig) -> Colu
 
 def parameters(vocab: Column, block: Column, layers: Column, width: Column, tied: bool = True) -> Column:
     """Parameters of a decoder without biases."""
+    vocab, block, layers, width = (c.cast("long") for c in (vocab, block, layers, width))
     embedding = vocab * width * (1 if tied else 2) + block * width
     return embedding + layers * (12 * width * width + 2 * width) + width
 
 
 def vram_gb(params: Column, micro_batch: Column, block: Column, layers: Column, width: Column) -> Column:
     """16 bytes a parameter, and activations at the measured factor of 36 in two bytes."""
-    return (16 * params + micro_batch * block * width * layers * 36 * 2) / F.lit(float(1024**3))
+    return (16 * params.cast("long") + micro_batch.cast("long") * block * width * layers * 36 * 2) / F.lit(float(1024**3))
 
 
 def checkpoint_gb(params: Column, keep: Column) -> Column:

@@ -41,8 +41,8 @@ def gates(generation: DataFrame, loss: DataFrame, *, step: int, checkpoint: str)
         "loss is of the checkpoint": (F.col("r.checkpoint_step") == step) & (F.col("r.checkpoint_fingerprint") == checkpoint),
         "held-out texts are not in the corpus": F.col("r.separation.n_overlap") == 0,
         "one tokenizer": F.col("g.run.tokenizer_fingerprint") == F.col("r.tokenizer_fingerprint"),
-        **{f"loss has {c}": F.col(f"r.result.{c}").cast("double").isNotNull() for c in LOSS},
-        **{f"generation has {c}": F.col(f"g.summary.{c}").cast("double").isNotNull() for c in GENERATION},
+        **{f"loss has {c}": F.col(f"r.result.{c}").try_cast("double").isNotNull() for c in LOSS},
+        **{f"generation has {c}": F.col(f"g.summary.{c}").try_cast("double").isNotNull() for c in GENERATION},
     }
     listed = F.array(*[F.struct(F.lit(name).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed")) for name, ok in checks.items()])
     return one.select(F.explode(listed).alias("x")).select("x.gate", "x.passed")
