@@ -135,8 +135,9 @@ def corpus_byte_budget(spark, sf_dir):
     return corpus.byte_budget(documents(spark, sf_dir), 1_000_000).select("doc_id", "bytes")
 
 
-@query("""SELECT doc_id, bytes FROM (SELECT doc_id, strlen(text)::BIGINT AS bytes, sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-  row_number() OVER (ORDER BY doc_id) AS nth FROM documents) WHERE nth > 1 AND before >= 1000000 ORDER BY doc_id LIMIT 50""")
+@query("""WITH after AS (SELECT doc_id, bytes FROM (SELECT doc_id, strlen(text)::BIGINT AS bytes, sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  row_number() OVER (ORDER BY doc_id) AS nth FROM documents) WHERE nth > 1 AND before >= 1000000 ORDER BY doc_id LIMIT 50)
+SELECT * FROM after UNION ALL SELECT * FROM (SELECT doc_id, strlen(text)::BIGINT AS bytes FROM documents ORDER BY doc_id DESC LIMIT 50) WHERE NOT EXISTS (SELECT 1 FROM after)""")
 def holdout_skip_sample(spark, sf_dir):
     return corpus.skip_then_sample(documents(spark, sf_dir), 1_000_000, 50).select("doc_id", "bytes")
 
