@@ -4,9 +4,11 @@ Tokens are hashes of word n-grams under one global order: rare ones by hash, the
 wanted similarity share a token among each one's first few (its prefix), so:
 
 1. Documents with equal sets become one class, represented by its smallest doc_id.
-2. Prefix tokens are dealt by token. Of the classes that share one, sorted by size, neighbours of fitting sizes are
-   tied: a tie for each class at most, whatever their number. Classes that ties connect are a candidate group; no
-   similar pair lies across two.
+2. Prefix tokens are dealt by token. Of the many classes that share a frequent one, sorted by size, neighbours of
+   fitting sizes are tied: a tie for each class at most, whatever their number. Of the few that share a rare one, each
+   pair of fitting sizes is counted, and tied if it shares as many prefix tokens as similarity takes: what a pair
+   shares is at most its shared prefix tokens and one side's tokens beyond its prefix. Classes that ties connect are
+   a candidate group; no similar pair lies across two.
 3. Each class of a candidate group sends its whole set to the group's task once, where a trie over the ordered sets
    is walked with shared partial overlaps and pruned by what can still follow.
 4. Groups larger than a block are cut into blocks with a few common pivots. Then the documents outside the group's
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.components import components
 from corpusloom.llm.hashing import mix64
 from corpusloom.llm.shingles import Shingler
-from corpusloom.llm.trie import link
+from corpusloom.llm.trie import link, needed
 from corpusloom.runtime import materialize, ship
 
 #: Tokens in this many prefixes or more count as frequent, and how many of them the order knows (the most frequent).
@@ -33,9 +35,11 @@ from corpusloom.runtime import materialize, ship
 FREQUENT, KNOWN = 8, 200_000
 #: Sets in a task's block, and pivots that all blocks of a group have in common.
 BLOCK, PIVOTS = 1_024, 16
+#: Classes that share a rare token up to which they are counted in pairs; more are tied as those of a frequent one.
+FEW = 16
 
 
-def prefix_size(n: int, percent: int) -> int:
+def prefix_size(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
@@ -124,11 +128,29 @@ class JaccardJoin:
             tokens, ids, n = (np.frombuffer(b"".join(group[c].to_pylist()), kind) for c, kind in (("tokens", np.uint64), ("ids", np.int64), ("n", np.int32)))
             order = np.lexsort((ids, n, tokens))
             tokens, ids, n = tokens[order], ids[order], n[order].astype(np.int64)
-            near = (tokens[1:] == tokens[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (ids[1:] != ids[:-1])
-            pairs = np.unique(np.stack([ids[:-1][near], ids[1:][near]], 1), axis=0)
-            return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-        return classes.select("doc_id", "n", "prefix").mapInArrow(deal, "bucket int, tokens binary, ids binary, n binary").groupBy("bucket").applyInArrow(tie, "u long, v long")
+            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            size = np.diff(np.append(starts, len(tokens)))
+            chained = np.repeat((size > FEW) | (tokens[starts] >> np.uint64(63) == 1), size)
+            out = []
+            for step in range(1, FEW):
+                a, b = slice(0, len(tokens) - step), slice(step, None)
+                near = (tokens[b] == tokens[a]) & (100 * n[a] >= percent * n[b]) & (ids[b] != ids[a])
+                if step > 1:
+                    near &= ~chained[a]
+                at = np.flatnonzero(near)
+                if not len(at) and not (tokens[b] == tokens[a]).any():
+                    break
+                x, y = n[at], n[at + step]
+                rest = np.maximum(x - prefix_size(x, percent), y - prefix_size(y, percent))
+                least = np.where(chained[at], 0, np.maximum(needed(x, y, percent) - rest, 1))
+                out.append(np.stack([np.minimum(ids[at], ids[at + step]), np.maximum(ids[at], ids[at + step]), least], 1))
+            rows = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+            rows, count = np.unique(rows, axis=0, return_counts=True)
+            return pa.table({"u": rows[:, 0], "v": rows[:, 1], "least": rows[:, 2], "shared": count.astype(np.int64)})
+
+        dealt = classes.select("doc_id", "n", "prefix").mapInArrow(deal, "bucket int, tokens binary, ids binary, n binary")
+        pairs = dealt.groupBy("bucket").applyInArrow(tie, "u long, v long, least long, shared long")
+        return pairs.groupBy("u", "v").agg(F.min("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("u", "v")
 
     def sets(self, members: DataFrame, frequent) -> DataFrame:
         """members (doc_id, cluster, blocks) with the documents' ordered sets and a block."""
@@ -189,18 +211,21 @@ class JaccardJoin:
     def across(self, large: DataFrame, edges: DataFrame) -> DataFrame:
         """Links between the parts of clusters of more than one block."""
         parts = components(edges).select(F.col("id").alias("doc_id"), F.col("component").alias("part"))
-        placed = materialize(large.join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")), "jaccard-placed")
-        count = placed.groupBy("cluster", "part").count()
+        places = large.select("doc_id", "cluster", "block", "blocks").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        places = materialize(places, "jaccard-places")
+        count = places.groupBy("cluster", "part").count()
         main = count.groupBy("cluster").agg(F.max(F.struct("count", "part")).alias("m")).select("cluster", F.col("m.part").alias("main"))
-        minor = placed.join(main, "cluster").where("part <> main")
-        # minor documents go to every block of their cluster, some at a time
-        turns = minor.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
-        columns = ["doc_id", "cluster", "block", "part", "tokens"]
+        minor = places.join(main, "cluster").withColumn("minor", F.col("part") != F.col("main")).drop("main")
+        # minor documents go to every block of their cluster, some at a time; clusters of one part are done
+        turns = minor.where("minor").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
+        turns = materialize(turns, "jaccard-turns")
+        if turns.isEmpty():
+            return edges.limit(0)
         turn = F.pmod(F.xxhash64("doc_id", F.lit("turn")), "turns").cast("int")
-        sent = minor.join(turns, "cluster").withColumn("turn", turn).withColumn("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        sent = sent.where(F.col("home") != F.col("block")).withColumn("block", F.col("home") * F.col("turns") + F.col("turn"))
-        kept = placed.join(turns, "cluster").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("block", F.col("block") * F.col("turns") + F.col("turn"))
-        return self.linked(sent.select(*columns).unionByName(kept.select(*columns)))
+        held = large.join(turns, "cluster").select("doc_id", "tokens", "turns").join(minor, "doc_id").withColumn("turn", turn)
+        held = held.withColumn("home", F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
+        sent = held.withColumn("home", F.explode("home")).withColumn("seat", F.explode(F.when(F.col("home") == F.col("block"), F.sequence(F.lit(0), F.col("turns") - 1)).otherwise(F.array("turn"))))
+        return self.linked(sent.select("doc_id", "cluster", (F.col("home") * F.col("turns") + F.col("seat")).alias("block"), "part", "tokens"))
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
