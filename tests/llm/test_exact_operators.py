@@ -198,7 +198,11 @@ def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(frame(spark, [])).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components(spark, monkeypatch, few):
+    import sys
+
+    monkeypatch.setattr(sys.modules["corpusloom.llm.components"], "FEW_EDGES", few)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(10, 60)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(80)] + [(7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
