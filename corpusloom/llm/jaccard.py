@@ -162,7 +162,8 @@ class JaccardJoin:
                 found = [ordered(s, frequent.value).tobytes() for s in shingle([t or "" for t in batch["text"].to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["cluster"], batch["blocks"], pa.array(found, pa.binary())], ["doc_id", "cluster", "blocks", "tokens"])
 
-        return self.docs.join(members, "doc_id").select("doc_id", "cluster", "blocks", "text").mapInArrow(run, "doc_id long, cluster long, blocks int, tokens binary")
+        # the members grow with the corpus: merged at every size, never sent to all tasks
+        return self.docs.join(members.hint("merge"), "doc_id").select("doc_id", "cluster", "blocks", "text").mapInArrow(run, "doc_id long, cluster long, blocks int, tokens binary")
 
     def linked(self, rows: DataFrame) -> DataFrame:
         """u, v that connect what links connect within each (cluster, block) of rows (doc_id, cluster, block, part, tokens); equal parts are connected already."""
