@@ -120,18 +120,16 @@ class LineIndex:
         shards = max(16, -(-references.count() // cls.SHARD_KEYS))
         return cls(spark, references, materialize(shard_filters(references.select("k1", "k2").distinct(), shards), "line-filters"), shards=shards, least=least)
 
-    def probed(self, references: DataFrame) -> DataFrame:
-        """references whose key a filter knows: the only ones that can have references already."""
+    def known(self, keys: DataFrame) -> DataFrame:
+        """Those of the distinct keys (k1, k2) that a filter knows: the only ones that can have references."""
+
         def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not right.num_rows:
+            if not left.num_rows or not right.num_rows:
                 return left.slice(0, 0)
-            known = CuckooFilter.from_bytes(right["filter"][0].as_py()).contains(left["k1"].to_numpy().view(np.uint64))
-            return left.filter(pa.array(known))
+            return left.filter(pa.array(CuckooFilter.from_bytes(right["filter"][0].as_py()).contains(left["k1"].to_numpy().view(np.uint64))))
 
-        # a few shards would gather a very common key's rows: only distinct keys go through the filters
-        keys = references.select("k1", "k2").distinct().withColumn("shard", shard_of(self.shards))
-        known = keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(probe, "k1 long, k2 long, shard int")
-        return references.join(known.select("k1", "k2"), ["k1", "k2"])
+        probed = keys.withColumn("shard", shard_of(self.shards)).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(probe, "k1 long, k2 long, shard int")
+        return probed.select("k1", "k2")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with docs added. Their doc_ids must be new."""
@@ -168,9 +166,11 @@ class LineIndex:
 
     def doomed(self, references: DataFrame | None = None) -> DataFrame:
         """doc_id, k1, k2 of the lines that go: their key is held by a smaller doc_id as well."""
+        asked = self.references if references is None else references
         repeated = counts(self.references).where("keeper < last").select("k1", "k2", "keeper")
-        held = self.probed(self.references if references is None else references)
-        return held.join(repeated, ["k1", "k2"]).where("doc_id > keeper").select("doc_id", "k1", "k2")
+        # one row a key up to here; written, so that the join with a very common key's references can be split
+        repeated = materialize(repeated.join(self.known(asked.select("k1", "k2").distinct()), ["k1", "k2"]), "line-repeated")
+        return asked.join(repeated, ["k1", "k2"]).where("doc_id > keeper").select("doc_id", "k1", "k2")
 
 
 def dedup_lines(docs: DataFrame, *, least: int = 10, keep_text: bool = True) -> DataFrame:
