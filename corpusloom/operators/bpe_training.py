@@ -1,20 +1,24 @@
-"""Byte-level BPE training: counts are distributed, merges happen on the driver over distinct pre-tokens."""
+"""Byte-level BPE training: pre-tokens, their counts and those of their pairs are distributed; the driver picks the merges."""
 
 from __future__ import annotations
 
 import base64
 import json
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import SPECIAL_TOKENS, TOKENIZER
+from corpusloom.runtime import materialize, ship
 
 #: Contractions, letters, digits and other signs, each with a space before it if there is one, then white space.
 PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: Commonest pairs that a round of training looks at, and merges after which the pre-tokens are written anew.
+AHEAD, REWRITE = 256, 24
 
 
 def pretoken_counts(docs: DataFrame, pattern: str = PRETOKEN) -> DataFrame:
@@ -23,47 +27,116 @@ def pretoken_counts(docs: DataFrame, pattern: str = PRETOKEN) -> DataFrame:
     return pieces.groupBy("piece").agg(F.count("*").alias("n"))
 
 
-def train_bpe(docs: DataFrame, *, vocab_size: int = TOKENIZER.vocab_size, min_frequency: int = TOKENIZER.min_frequency, most_pieces: int = 1_000_000) -> dict[bytes, int]:
+def _merged(ids: pa.ListArray, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words one after another and the row of each, once merges (left, right, new) are made in turn, from the left in each word."""
+    flat, row = ids.flatten().to_numpy(), np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
+    for left, right, new in merges:
+        at = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right) & (row[:-1] == row[1:]))
+        if left == right and len(at):  # of a run such as aaaa the first, third ... pair
+            nth = np.arange(len(at))
+            at = at[(nth - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, nth, 0))) % 2 == 0]
+        if len(at):
+            flat = flat.copy()
+            flat[at] = new
+            flat, row = np.delete(flat, at + 1), np.delete(row, at + 1)
+    return flat, row
+
+
+def _summed(codes: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes below size * size and the sum of n of each; float sums, exact below 2 ** 53."""
+    if size * size <= 1 << 20:
+        sums = np.bincount(codes, n, size * size)
+        codes = np.flatnonzero(sums)
+        return codes, sums[codes]
+    codes, at = np.unique(codes, return_inverse=True)
+    return codes, np.bincount(at, n, len(codes))
+
+
+def _byte_words(counted: DataFrame) -> DataFrame:
+    """ids, n: the byte ids of each pre-token of two bytes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [p.encode() for p in batch["piece"].to_pylist()]
+            flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32) + len(SPECIAL_TOKENS)
+            ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, flat), batch["n"]], ["ids", "n"])
+
+    return counted.where(F.octet_length("piece") > 1).mapInArrow(run, "ids array<int>, n long")
+
+
+def _merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """ids, n after the merges, without words that have become one token: they have no pairs any more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, row = _merged(batch["ids"], merges)
+            sizes = np.bincount(row, minlength=batch.num_rows)
+            ends = np.concatenate([[0], np.cumsum(sizes[sizes > 1])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(ends, flat[sizes[row] > 1].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids, batch["n"].filter(pa.array(sizes > 1))], ["ids", "n"])
+
+    return words.mapInArrow(run, "ids array<int>, n long")
+
+
+def _pair_counts(words: DataFrame, merges: list[tuple[int, int, int]], size: int) -> DataFrame:
+    """left, right, n: how often each pair of ids (below size) is adjacent once the merges are made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, sums = np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            flat, row = _merged(batch["ids"], merges)
+            inside = row[:-1] == row[1:]
+            pairs = (flat[:-1].astype(np.int64) * size + flat[1:])[inside]
+            found = _summed(pairs, batch["n"].to_numpy()[row[:-1][inside]], size)
+            codes, sums = _summed(np.concatenate([codes, found[0]]), np.concatenate([sums, found[1]]), size)
+        columns = [(codes // size).astype(np.int32), (codes % size).astype(np.int32), sums.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["left", "right", "n"])
+
+    return words.mapInArrow(run, "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def _settled(ranked: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The first of the pairs, best first, that one merge a round would take in this order too.
+
+    A merge lowers the counts of pairs that begin with its right id or end with its left one only, and a pair with its
+    new id is no commoner than the pair it comes from, nor before it in a tie. So all pairs up to the first that
+    touches an earlier one are settled; nothing is known beyond a pair of the same id twice, whose new pairs come from itself.
+    """
+    lefts, rights = set(), set()
+    for i, (left, right) in enumerate(ranked):
+        if right in lefts or left in rights:
+            return ranked[:i]
+        if left == right:
+            return ranked[: i + 1]
+        lefts.add(left)
+        rights.add(right)
+    return ranked
+
+
+def train_bpe(docs: DataFrame, *, vocab_size: int = TOKENIZER.vocab_size, min_frequency: int = TOKENIZER.min_frequency) -> dict[bytes, int]:
     """Token ids: special tokens, the 256 bytes, then merges by falling count (ties to the smaller pair of ids).
 
-    The driver gets at most most_pieces distinct pre-tokens, the commonest; pairs rarer than min_frequency are not merged.
+    All pre-tokens count. They stay in a table; the driver gets the AHEAD commonest pairs of each round and makes as
+    many merges of them as are settled. Pairs rarer than min_frequency are not merged.
     """
-    counted = pretoken_counts(docs).orderBy(F.desc("n"), "piece").limit(most_pieces).toArrow()
+    ship(docs.sparkSession)
     vocabulary = {name.encode(): i for i, name in enumerate(SPECIAL_TOKENS)}
     token = [b"" for _ in SPECIAL_TOKENS] + [bytes([b]) for b in range(256)]
     vocabulary |= {t: i for i, t in enumerate(token) if t}
-    words = [[b + len(SPECIAL_TOKENS) for b in piece.encode()] for piece in counted["piece"].to_pylist()]
-    times = counted["n"].to_pylist()
-    pairs: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, word in enumerate(words):
-        for pair in zip(word, word[1:]):
-            pairs[pair] += times[i]
-            where[pair].add(i)
-    while len(token) < vocab_size and pairs:
-        best, count = max(pairs.items(), key=lambda x: (x[1], -x[0][0], -x[0][1]))
-        if count < min_frequency:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words, merges = materialize(_byte_words(pretoken_counts(docs)).repartition(parts), "bpe-words"), []
+    while len(token) < vocab_size:
+        if len(merges) >= REWRITE:
+            words, merges = materialize(_merge_words(words, merges), "bpe-words"), []
+        pairs = _pair_counts(words, merges, len(token)).where(F.col("n") >= max(1, min_frequency))
+        best = _settled([(r.left, r.right) for r in pairs.orderBy(F.desc("n"), "left", "right").limit(AHEAD).collect()])
+        if not best:
             break
-        new = len(token)
-        token.append(token[best[0]] + token[best[1]])
-        vocabulary.setdefault(token[-1], new)
-        for i in where.pop(best):
-            old, merged, at = words[i], [], 0
-            while at < len(old):
-                if at + 1 < len(old) and (old[at], old[at + 1]) == best:
-                    merged.append(new)
-                    at += 2
-                else:
-                    merged.append(old[at])
-                    at += 1
-            for pair in zip(old, old[1:]):
-                pairs[pair] -= times[i]
-            for pair in zip(merged, merged[1:]):
-                pairs[pair] += times[i]
-                where[pair].add(i)
-            words[i] = merged
-        pairs.pop(best, None)
-        pairs = +pairs
+        for left, right in best[: vocab_size - len(token)]:
+            merges.append((left, right, len(token)))
+            token.append(token[left] + token[right])
+            vocabulary.setdefault(token[-1], len(token) - 1)
     return vocabulary
 
 

@@ -354,7 +354,7 @@ def bpe_round_trip(spark, sf_dir):
     """Train a small vocabulary, encode, decode, compare."""
     ship(spark)
     docs = documents(spark, sf_dir)
-    ranks = bpe_training.train_bpe(docs, vocab_size=400, most_pieces=5_000)
+    ranks = bpe_training.train_bpe(docs, vocab_size=400)
     encode, decode = bpe_training.encode_column(ranks), bpe_training.decode_column(ranks)
     return docs.select("doc_id", "text", encode("text").alias("ids")).select("doc_id", (decode("ids") == F.col("text")).alias("same"))
 
@@ -363,7 +363,7 @@ def bpe_round_trip(spark, sf_dir):
 def bpe_encode_lengths(spark, sf_dir):
     ship(spark)
     docs = documents(spark, sf_dir)
-    encode = bpe_training.encode_column(bpe_training.train_bpe(docs, vocab_size=400, most_pieces=5_000))
+    encode = bpe_training.encode_column(bpe_training.train_bpe(docs, vocab_size=400))
     return docs.select("doc_id", F.size(text.wrap_special(encode("text"), 1, 2)).cast("long").alias("n_tokens"))
 
 

@@ -1,13 +1,16 @@
 import math
 import random
+from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from corpusloom import config
 from corpusloom.functions import planning, text
 from corpusloom.operators import bpe_training, corpus, dedup, evaluation, overlap, packing, report, runs, sampling
 from corpusloom.operators.prefix import with_prefix
+from corpusloom.plans import catalogue
 
 
 def docs(spark, texts, first=0):
@@ -184,6 +187,72 @@ def test_bpe_training(spark, tmp_path):
     assert bpe_training.read_train_bytes(path) == config.TOKENIZER.train_bytes
 
 
+def brute_bpe(counts, vocab_size, min_frequency=2):
+    """Merges (left, right) by counting all pairs anew for each."""
+    words = {tuple(b + len(config.SPECIAL_TOKENS) for b in p.encode()): n for p, n in counts.items()}
+    merges = []
+    for new in range(256 + len(config.SPECIAL_TOKENS), vocab_size):
+        pairs = Counter()
+        for word, n in words.items():
+            for pair in zip(word, word[1:]):
+                pairs[pair] += n
+        best = min(pairs, key=lambda p: (-pairs[p], p), default=None)
+        if best is None or pairs[best] < min_frequency:
+            break
+        merges.append(best)
+        after = Counter()
+        for word, n in words.items():
+            out, at = [], 0
+            while at < len(word):
+                met = word[at : at + 2] == best
+                out.append(new if met else word[at])
+                at += 1 + met
+            after[tuple(out)] += n
+        words = after
+    return merges
+
+
+def brute_ranks(counts, vocab_size):
+    token = [b""] * len(config.SPECIAL_TOKENS) + [bytes([b]) for b in range(256)]
+    ranks = {t: i for i, t in enumerate(token) if t}
+    for left, right in brute_bpe(counts, vocab_size):
+        token.append(token[left] + token[right])
+        ranks.setdefault(token[-1], len(token) - 1)
+    return ranks | {s.encode(): i for i, s in enumerate(config.SPECIAL_TOKENS)}
+
+
+def test_bpe_training_matches_brute_force(spark):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("aab", k=rng.randint(1, 9))) for _ in range(60)) for _ in range(20)] + ["aaa aaaa aaaaa " * 9, "abab ababab é漢😀", None]
+    counts = Counter(p for t in texts for p in regex.findall(bpe_training.PRETOKEN, t or ""))
+    assert bpe_training.train_bpe(docs(spark, texts), vocab_size=330) == brute_ranks(counts, 330)
+    assert bpe_training.train_bpe(docs(spark, texts), vocab_size=2_000) == brute_ranks(counts, 2_000)  # until pairs are too rare
+    assert len(bpe_training.train_bpe(docs(spark, [None, "", "a"]), vocab_size=330)) == 256 + len(config.SPECIAL_TOKENS)
+
+
+def test_bpe_queries_train_on_all_pretokens(spark, tmp_path):
+    """6,000 pre-tokens that come twice, and 5,000 that come once and alone hold the commonest pair."""
+    rng = random.Random(6)
+    common = list({"".join(rng.choices("abcdefgh", k=7)) for _ in range(6_100)})[:6_000]
+    rare = [f"{w}qzqz" for w in common[:5_000]]
+    texts = [" ".join(common[i::50] * 2 + rare[i::50]) for i in range(50)]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = Counter(p for t in texts for p in regex.findall(bpe_training.PRETOKEN, t))
+    ranks = brute_ranks(counts, 400)
+
+    def length(piece):
+        parts = [bytes([b]) for b in piece.encode()]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            at = min(pairs)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return len(parts)
+
+    sizes = {p: length(p) for p in counts}
+    wanted = {i: 2 + sum(sizes[p] for p in regex.findall(bpe_training.PRETOKEN, t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in catalogue.bpe_encode_lengths(spark, str(tmp_path)).collect()} == wanted
+    assert all(r.same for r in catalogue.bpe_round_trip(spark, str(tmp_path)).collect())
+
+
 def test_release_report(spark, tmp_path):
     import json
 
