@@ -55,8 +55,8 @@ class WordIds:
     """Encodes texts with a tokenizers file that lower-cases, drops white space and never joins what it separates.
 
     For such a file a text's ids are those of its words one after another, so that each distinct word goes through
-    the library once (bounded memory: see Memo). A text that is ASCII is lower-cased first, which leaves the library
-    fewer distinct words; a full stop or comma after ASCII letters is a pre-token of its own.
+    the library once (bounded memory: see Memo). A text that is ASCII is lower-cased first, but for words that hold
+    an added token's string, which leaves the library fewer distinct words; a full stop or comma after ASCII letters is a pre-token of its own.
     """
 
     def __init__(self, path: str, remember: int = 500_000):
@@ -64,7 +64,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library turns into an id wherever a text holds them, matched before it lower-cases.
+        self.added = [t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.words = Memo(self._one, remember)
         self.point = {p: self._many([p.decode()])[0] for p in (b".", b",")}
@@ -92,7 +93,12 @@ class WordIds:
 
     def split(self, text: str) -> list[bytes]:
         data = text.encode()
-        return (data.lower() if text.isascii() else data).split()
+        if not text.isascii():
+            return data.split()
+        low = data.lower()
+        if any(t in low for t in self.added):  # those words keep their case, which decides
+            return [w if any(t in v for t in self.added) else v for w, v in zip(data.split(), low.split(), strict=True)]
+        return low.split()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""

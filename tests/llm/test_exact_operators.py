@@ -58,6 +58,22 @@ def test_token_store(spark):
         start += len(wanted)
 
 
+def test_token_store_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "Hello <|ENDOFTEXT|> World", "<|startoftext|>", "X<|endoftext|>Y<|StartOfText|>z.", "É <|endoftext|>, Ab<|startoftext|>", "<| endoftext |> <|other|>", "<|endoftext|><|endoftext|>. The End"]
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    store = TokenStore.write(docs, scratch(spark, "t"), tokenizer=path, end_id=1)
+    found = {r.doc_id: r for r in store.read(store.look_up(docs)).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        wanted = [*library.encode(t, add_special_tokens=False).ids, 1]
+        assert (found[i].start, found[i].ids) == (start, wanted)
+        start += len(wanted)
+
+
 def test_token_store_empty(spark):
     docs = frame(spark, [])
     store = TokenStore.write(docs, scratch(spark, "t"), tokenizer=P.path("word_bpe_49k.json"), end_id=1)
