@@ -3,9 +3,8 @@
 The index is a folder with two tables. `references` is exact: one row (shard, k1, k2, doc_id) for each document and
 line key that it holds, so a key's reference count is its number of rows and its keeper the smallest doc_id.
 `filters` has a cuckoo filter for each shard over the keys that at least one document holds. Inserting or deleting
-documents changes only the rows of those documents and rebuilds nothing else: a new document's keys that its shard's
-filter does not know have no reference yet and need no look into the counts, and a key whose last reference goes is
-deleted from the filter.
+documents changes only the rows of those documents: exact joins find the keys that are new, which go into the filter,
+and those whose last reference goes, which are deleted from it. The lines that go follow from the exact counts alone.
 """
 
 from __future__ import annotations
