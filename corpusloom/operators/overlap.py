@@ -61,6 +61,17 @@ def contains_hits(needles: DataFrame, docs: DataFrame, key: str = "item_id") ->
     return asked.select(key).join(found, key, "left").crossJoin(scanned).select(key, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "n_docs")
 
 
+def require_unseen(needles: DataFrame, docs: DataFrame, key: str = "item_id") -> int:
+    """The number of documents; raise where there are none or where any contains a needle's normalised text."""
+    n_docs = docs.count()
+    if not n_docs:
+        raise ValueError("the training corpus has no documents")
+    met = contains_hits(needles, docs, key).where("hits > 0").orderBy(key).collect()
+    if met:
+        raise ValueError("CONTAMINATION: prompts in the training corpus: " + ", ".join(f"{r[key]}={r.hits}" for r in met))
+    return n_docs
+
+
 def prompt_overlap(final: DataFrame, diagnostic: DataFrame, key: str) -> DataFrame:
     """Keys of the final prompts whose normalised text a diagnostic prompt has too."""
     other = diagnostic.select(normalize_text(F.col("text")).alias("norm")).distinct()

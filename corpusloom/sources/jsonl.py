@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,9 +49,10 @@ def parse_strict(lines: DataFrame, field: str = "text") -> DataFrame:
     return lines.where(F.btrim("value", F.lit(WHITE_SPACE)) != "").withColumn("text", string_field(F.col("value"), field)[2]).drop("value")
 
 
-def read_corpus(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
-    """file, text of all JSON Lines files of a folder; order by file, then by the line's place in it (sources keep an order column where that matters)."""
-    lines = spark.read.text(path, pathGlobFilter="*.jsonl").withColumn("file", F.col("_metadata.file_name"))
+def read_corpus(spark: SparkSession, path: str, field: str = "text", prefix: str = "") -> DataFrame:
+    """file, text of all JSON Lines files of a folder, or of those whose name begins with a source's prefix; order by file, then by the line's place in it (sources keep an order column where that matters)."""
+    start = re.sub(r"([\\*?\[\]{}])", r"\\\1", prefix)
+    lines = spark.read.text(path, pathGlobFilter=f"{start}*.jsonl").withColumn("file", F.col("_metadata.file_name"))
     return parse_lenient(lines, field)
 
 

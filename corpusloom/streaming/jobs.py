@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.functions.hashing import md5_hash
 from corpusloom.functions.text import normalize_text
 
 
+class Progress(StreamingQueryListener):
+    """Reports (run, rows read so far) of each query whenever another `every` rows have been read; to be added to spark.streams."""
+
+    def __init__(self, every: int, report: Callable[[str, int], None]):
+        self.every, self.report, self.rows = every, report, Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run, new = str(event.progress.runId), event.progress.numInputRows
+        self.rows[run] += new
+        if self.rows[run] // self.every > (self.rows[run] - new) // self.every:
+            self.report(run, self.rows[run])
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.rows.pop(str(event.runId), None)
+
+
 def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, *, min_chars: int, files_per_batch: int = 64) -> StreamingQuery:
     """Append normalised documents of min_chars or more to a Parquet folder, once each: the checkpoint's file log takes the place of counting what was accepted."""
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)

@@ -70,6 +70,16 @@ def test_containment_in_blocks(spark, monkeypatch):
         assert {r.item_id: r.hits for r in got} == wanted and {r.n_docs for r in got} == {4}
 
 
+def test_require_unseen(spark):
+    d = docs(spark, ["one two three", "four", None])
+    prompts = lambda *texts: spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "item_id string, text string")
+    assert overlap.require_unseen(prompts("five", "three two"), d) == 3
+    with pytest.raises(ValueError, match="p1=1, p2=1"):
+        overlap.require_unseen(prompts("five", "two", " four "), d)
+    with pytest.raises(ValueError, match="no documents"):
+        overlap.require_unseen(prompts("five"), d.limit(0))
+
+
 def test_windows(spark):
     tokens = list(range(23))
     parts, at = [], 0

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from corpusloom.streaming import jobs
@@ -21,6 +23,24 @@ def test_ingest_resumes(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 6
 
 
+def test_progress(spark, tmp_path):
+    source, sink, log = (f"file://{tmp_path}/{n}" for n in ("in", "out", "log"))
+    for first in range(0, 20, 4):
+        spark.createDataFrame([(first + i, "text") for i in range(4)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+    seen = []
+    progress = jobs.Progress(10, lambda run, rows: seen.append((run, rows)))
+    spark.streams.addListener(progress)
+    try:
+        q = jobs.ingest(spark, source, "doc_id long, text string", sink, log, min_chars=1, files_per_batch=1)
+        q.awaitTermination()
+        until = time.monotonic() + 20
+        while len(seen) < 2 and time.monotonic() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    assert seen == [(str(q.runId), 12), (str(q.runId), 20)]
+
+
 def test_first_seen(spark, tmp_path):
     path = f"file://{tmp_path}/docs"
     for i in range(2):

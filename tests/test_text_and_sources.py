@@ -127,3 +127,11 @@ def test_request_parameters(spark):
     assert (got[0].n_tokens, got[0].temperature) == (1000, 0.01)
     assert [r.fault for r in got] == [None, "top_p outside [0, 1]", "top_k below 1", "penalty below 1", None, None]
     assert got[5].n_tokens is None
+
+
+def test_read_corpus_by_source_prefix(spark, tmp_path):
+    for name in ("wiki_vi_0001", "wiki_vi_0002", "wikinews_vi_0001", "w*_0001"):
+        (tmp_path / f"{name}.jsonl").write_text(f'{{"text": "{name}"}}\n')
+    read = lambda prefix: sorted(r.text for r in jsonl.read_corpus(spark, str(tmp_path), prefix=prefix).collect())
+    assert read("wiki_vi_") == ["wiki_vi_0001", "wiki_vi_0002"]
+    assert read("w*_") == ["w*_0001"] and len(read("")) == 4
