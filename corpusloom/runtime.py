@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,10 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _SCRATCH: dict[str, str] = {}
+#: Bytes that one Arrow batch of rows may take on its way to a Python worker; bounds what a worker holds of long texts.
+BATCH_BYTES = 16 << 20
+#: Estimates from here on stand for sizes that the optimizer does not know (a petabyte).
+UNKNOWN = 1 << 50
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Arrow UDFs import it there."""
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(batch, "1g"))) > BATCH_BYTES:
+        spark.conf.set(batch, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -32,16 +40,34 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark finds it in; one that pyarrow can open too."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", full))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """This application's folder in spark.checkpoint.dir, which the driver and all executors see; deleted when the driver ends.
+
+    Where the setting is missing, a temporary folder serves a local master (tests); on a cluster that is an error, as
+    executors would each write to their own disk.
+    """
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="corpusloom-shared-")
             atexit.register(shutil.rmtree, root, True)
             root = f"file://{root}"
         _SCRATCH[app] = f"{root.rstrip('/')}/corpusloom-{uuid.uuid4().hex[:12]}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH[app])
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(where)
+        system.deleteOnExit(where)
     return _SCRATCH[app]
 
 
@@ -56,3 +82,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of df's size: for a table on disk, the bytes of its files. No job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts_for(df: DataFrame, each: int) -> int:
+    """Parts to deal df into so that one is about `each` bytes on disk; at least the session's number of shuffle partitions, which is the answer where the size is not known."""
+    size = plan_bytes(df)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each) if size < UNKNOWN else 0)
