@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import sliced, texts_of
 from corpusloom.llm.hashing import mix64
 from corpusloom.runtime import ship
 
@@ -221,7 +222,7 @@ def train(labelled: DataFrame, *, per_lang: int = 2_000, order: int = 4) -> Lang
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 found.setdefault(lang, Counter()).update(LETTERS(text.lower()))
         rows = [(lang, w, n) for lang, words in found.items() for w, n in words.items()]
@@ -255,8 +256,8 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
         scorer = Scorer(models) if models.langs else None
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
+        for batch in sliced(batches):
+            texts = texts_of(batch)
             totals = scorer.totals(texts) if scorer else np.zeros((len(texts), 2))
             found = totals[:, -1] > 0
             best, score, lowest, accepted = models.decide(totals)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import sliced, texts_of
 from corpusloom.llm.langid import remainder
 from corpusloom.runtime import ship
 
@@ -122,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 5_000, thresho
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t or "") for t in batch["text"].to_pylist()]
+        for batch in sliced(batches):
+            rows = [features(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     # sorted: the pairs drawn must not depend on the order in which tasks end
@@ -141,8 +142,8 @@ def score(docs: DataFrame, ranker: PairwiseRanker) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = ranker.scores(np.array([features(t.as_py() or "") for t in batch["text"]], np.float64))
+        for batch in sliced(batches):
+            scores = ranker.scores(np.array([features(t) for t in texts_of(batch)], np.float64))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores), pa.array((scores >= ranker.threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -153,8 +154,8 @@ def select_good(docs: DataFrame, ranker: PairwiseRanker) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = ranker.scores(np.array([features(t.as_py() or "") for t in batch["text"]], np.float64))
+        for batch in sliced(batches):
+            scores = ranker.scores(np.array([features(t) for t in texts_of(batch)], np.float64))
             yield batch.filter(pa.array(scores >= ranker.threshold))
 
     return docs.mapInArrow(run, docs.schema)
