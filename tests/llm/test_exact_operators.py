@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from corpusloom.llm import jaccard, linededup, mixing, topk
+from corpusloom.llm import jaccard, linededup, mixing, token_store, topk
 from corpusloom.llm.bpe import decode_documents, encode_documents
 from corpusloom.llm.components import components
 from corpusloom.llm.cuckoo import CuckooFilter, filter_of
@@ -33,29 +33,72 @@ def test_minimal_perfect_hash():
         assert sorted(m.lookup(h).tolist()) == list(range(n))
 
 
-def test_token_store(spark):
+def library_ids(rows):
+    """Each row's start and ids (end id included) by the unmodified library, in ascending doc_id order, null first."""
     from tokenizers import Tokenizer
 
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    out, start = [], 0
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        out.append((d, start, ids))
+        start += len(ids)
+    return out
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_token_store(spark, monkeypatch, parts):
+    monkeypatch.setattr(token_store, "STRETCH", 3)
     path = P.path("word_bpe_49k.json")
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    texts = [None, "", "Hello, World. It's 42!", "  naïve Café\n\tÉCOLE ", "x" * 20_000, "İstanbul ẖ Ή", "Hello, World. It's 42!"]
-    rows = [(10 * i, t, None) for i, t in enumerate(texts)] + [(None, "no key", None), (20, "second with this id", None), (20, "second with this id", None)]
-    store = TokenStore.write(frame(spark, rows), scratch(spark, "t"), tokenizer=path, end_id=1)
-    found = {r.doc_id: r for r in store.read(store.look_up(frame(spark, [*rows, (999, "absent", None)]))).collect()}
-    assert sorted(found) == [10 * i for i in range(len(texts))]
-    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 1]
-    start = len(ids("no key"))
-    for i, t in enumerate(texts):
-        wanted = ids(t)
-        r = found[10 * i]
-        if i == 2:  # one of the rows that share this id; all count in the starts
-            assert r.ids in (wanted, ids("second with this id"))
-            start += 2 * len(ids("second with this id"))
-        else:
-            assert (r.start, r.n_tokens, r.ids) == (start, len(wanted), wanted)
-            assert r.ids_crc32 == zlib.crc32(np.array(wanted, "<u4").tobytes())
-        start += len(wanted)
+    texts = [None, "", "Hello, World. It's 42!", "  naïve Café\n\tÉCOLE ", "x" * 20_000, "İstanbul ẖ H\u0331 Ή", "dogs'. 'tis a--b Straße* ²½", "a\u00a0b\u2003c\x1cd", "E\u0301te\u0301. é,"]
+    rows = [(10 * i, t) for i, t in enumerate(texts)] + [(None, "no key")] * 7 + [(20, "Hello, World. It's 42!")] * 4 + [(None, "no key")]
+    docs = frame(spark, [(*r, None) for r in rows]).repartition(parts)
+    store = TokenStore.write(docs, scratch(spark, "t"), tokenizer=path, end_id=1)
+    keys = token_store.row_keys(docs)
+    assert keys.count() == len(rows) and keys.distinct().count() == len(rows)
+    absent = spark.createDataFrame([(999, 0), (20, 5), (10, 1)], "doc_id long, nth long")
+    found = store.read(store.look_up(keys.unionByName(absent))).collect()
+    wanted = library_ids(rows)
+    assert sorted((r.start, r.doc_id, r.n_tokens, r.ids, r.ids_crc32) for r in found) == [(s, d, len(ids), ids, crc(ids)) for d, s, ids in wanted]
+    first = store.read(store.look_up(docs.select("doc_id"))).collect()
+    assert sorted(r.start for r in first) == sorted({d: s for d, s, _ in reversed(wanted)}.values())
+
+
+def test_token_store_random_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, coder, rng = Tokenizer.from_file(path), token_store.WordIds(path, most=5_000), random.Random(11)
+    alphabet = list(" \n\tabcXYZ.,'-!#09éÉßñøÜẞςΣİıǅ漢😀\u0301\u0307\u0331\u00a0\x1c\x85½²") + ["<|endoftext|>", "<|STARTOFTEXT|>", " the ", "'re"]
+    import pyarrow as pa
+
+    for _ in range(30):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(100)]
+        ids, n = coder.encode(pa.array(["skipped", *texts]).slice(1))
+        assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+        for got, text in zip(np.split(ids, np.cumsum(n)[:-1]), texts, strict=True):
+            assert got.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_op1_as_registered(spark, tmp_path):
+    rows = [(3, "One two."), (1, None), (2, "a <|endoftext|> b"), (2, "Second row"), (None, "no id"), (None, "no id"), (7, "word " * 30_000)]
+    frame(spark, [(*r, None) for r in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = token_store.op1(spark, str(tmp_path)).collect()
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in found), key=lambda r: r[0])
+    either = [[(s, d, len(ids), crc(ids)) for d, s, ids in library_ids(order)] for order in (rows, [*rows[:2], rows[3], rows[2], *rows[4:]])]
+    assert got in either
+
+
+def test_word_ids_refuses_other_files(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.BPE()).save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        token_store.WordIds(str(tmp_path / "t.json"))
 
 
 def test_token_store_added_tokens(spark):
@@ -210,6 +253,47 @@ def test_jaccard(spark, monkeypatch, block, frequent, few):
     assert got == sorted(wanted, key=repr)
 
 
+@pytest.mark.parametrize("few", [1, 3])
+def test_jaccard_of_common_phrases(spark, monkeypatch, few):
+    """Documents made of the same phrases: marked, tied by cells, and found linked or not as by brute force."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "HELD", 400)
+    rng = random.Random(few)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(rng.randint(3, 9))) for i in range(14)]
+    rows = []
+    for i in range(150):
+        chosen = rng.sample(phrases, rng.randint(1, 7))
+        rows.append((i, " ".join(chosen), ""))
+        if rng.random() < 0.3:
+            rows.append((1000 + i, " ".join([*chosen, *rng.sample(["new", "word"], rng.randint(0, 2))]), ""))
+    got = sorted(map(tuple, jaccard.jaccard_components(frame(spark, rows), words=4, percent=85).collect()))
+    assert got == sorted(brute_groups(rows, 4, 85))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_cells_of_similar_sets_meet(percent):
+    rng = np.random.default_rng(percent)
+    for n in [1, 2, 3, 5, 7, 12, 13, 20, 40, 100, 700, 4000] * 4:
+        base = rng.integers(0, 2**62, n, dtype=np.uint64)
+        most = 2 * n * (100 - percent) // (100 + percent)
+        for gone in range(0, most + 1, max(1, most // 3)):
+            new = rng.integers(0, 2**62, most - gone, dtype=np.uint64)
+            other = np.concatenate((base[gone:], new))
+            common = n - gone
+            if not common or 100 * common < percent * (n + len(new)):
+                continue
+            a, b = (jaccard.cells(np.sort(x), percent) for x in (base, other))
+            assert len(np.intersect1d(a, b))
+
+
+def test_jaccard_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, text, ""), (2, text + " tail", ""), (3, "w1 w2 w3 w4 w5", "")]
+    got = sorted(map(tuple, jaccard.jaccard_components(frame(spark, rows), words=4, percent=85).collect()))
+    assert got == [(1, 199_997, 1), (2, 199_998, 1), (3, 2, 3)]
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(frame(spark, [])).collect() == []
 
@@ -264,18 +348,75 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame(spark, [])).collect() == []
 
 
-def test_line_index_is_reversible(spark):
-    rows = [r for r in line_rows() if r[0] is not None and r[0] < 500]
-    rows = list({r[0]: r for r in rows}.values())
+def documents_of(rows):
+    return list({r[0]: r for r in rows if r[0] is not None and r[0] < 500}.values())
+
+
+def test_line_index_is_reversible(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PASS", 50)
+    rows = documents_of(line_rows())
     first, later, gone = [r for r in rows if r[0] % 3], [r for r in rows if r[0] % 3 == 0], [r for r in rows if r[0] % 4 == 1]
-    index = linededup.LineIndex.build(frame(spark, first)).insert(frame(spark, later))
-    both = linededup.drop_lines(frame(spark, rows), index.doomed())
-    assert lines_of(both) == brute_lines(rows)
+    before = linededup.LineIndex.build(frame(spark, first))
+    index = before.insert(frame(spark, later))
+    assert lines_of(linededup.drop_lines(frame(spark, rows), index.doomed())) == brute_lines(rows)
+    assert lines_of(linededup.drop_lines(frame(spark, first), before.doomed())) == brute_lines(first)
     kept = [r for r in rows if r not in gone]
     index = index.delete(frame(spark, gone))
     assert lines_of(linededup.drop_lines(frame(spark, kept), index.doomed())) == brute_lines(kept)
-    held = {(r.k1, r.k2) for r in index.references.collect()}
-    assert {(r.k1, r.k2) for r in index.known(index.references.select("k1", "k2").distinct()).collect()} == held
+    held = {(r.k1, r.k2) for r in index.references().collect()}
+    assert {(r.k1, r.k2) for r in index.known(index.references().select("k1", "k2").distinct()).collect()} == held
+    assert sum(r.n for r in index.filters().collect()) == len(held)
+    # deleted and inserted anew: as if never gone
+    index = index.insert(frame(spark, gone))
+    assert lines_of(linededup.drop_lines(frame(spark, rows), index.doomed())) == brute_lines(rows)
+    assert index.delete(frame(spark, [(10**6, "never inserted at all", None)])).references().count() == index.references().count()
+
+
+def test_line_filters_decide(spark):
+    """What the filters refuse is never counted, and shards that no line falls into are neither read nor written."""
+    rows = [(i, f"a line of {i} alone\nand another of {i}", None) for i in range(400)] + [(1000 + i, "held by three\nand four", None) for i in range(3)]
+    index = linededup.LineIndex.build(frame(spark, rows))
+    flagged = index.flagged().count()
+    assert 1 <= flagged <= 10  # of 801 keys; the rest were new to their filters
+    more = index.insert(frame(spark, [(5000, "a line of 7 alone", None)]))
+    changed = {s for s in more.versions if more.versions[s] != index.versions[s]}
+    assert len(changed) == 1 and {s for s in more.files if more.files[s] != index.files[s]} == changed
+    plan = more.references(sorted(changed))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
+    read = [r.f for r in more.references(sorted(changed)).selectExpr("input_file_name() AS f").distinct().collect()]
+    assert read and all(f"/shard={next(iter(changed))}/" in f for f in read)
+    assert more.flagged().count() == flagged + 1
+    unknown = more.known(frame(spark, [(1, "", None)]).selectExpr("explode(sequence(1, 2000)) AS x").selectExpr("xxhash64(x) AS k1", "bigint(x) AS k2"))
+    assert unknown.count() < 20
+
+
+def test_line_filters_grow(spark, monkeypatch):
+    monkeypatch.setattr(linededup.LineIndex, "SHARD_KEYS", 10**9)
+    index = linededup.LineIndex.build(frame(spark, [(0, "the first line of all", None)]))
+    text = lambda at: "\n".join(f"line number {i} of the corpus" for i in range(at, at + 20_000))
+    index = index.insert(frame(spark, [(1, text(0), None)])).insert(frame(spark, [(2, text(10_000), None)]))
+    assert index.doomed().count() == 10_000
+    assert sum(r.n for r in index.filters().collect()) == 30_001
+
+
+def test_pour_with_false_positives():
+    """Keys that a filter takes for others are found anyway, and inserted."""
+    import pyarrow as pa
+
+    class Gullible(CuckooFilter):
+        def contains(self, keys):
+            return super().contains(keys) | (keys % np.uint64(3) == 0)
+
+    keys = np.concatenate((np.arange(1, 301), np.arange(1, 31), [500, 501])).astype(np.int64)
+    refs = np.ones(len(keys), np.int64)
+    refs[-1] = 2
+    for size in (7, 1000):
+        linededup_pass, linededup.PASS = linededup.PASS, size
+        f = Gullible(400)
+        repeated = linededup.pour(f, pa.table({"k1": keys, "refs": refs, "held": keys == 300}))
+        linededup.PASS = linededup_pass
+        assert set(keys[repeated]) == {*range(1, 31), 300, 501}
+        assert CuckooFilter.contains(f, np.array([x for x in set(keys.tolist()) if x != 300], np.uint64)).all()
 
 
 def test_cuckoo_filter():
