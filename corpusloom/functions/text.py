@@ -42,10 +42,20 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
 
 
+def joined_ngrams(tokens: Column, n: int) -> Column:
+    """Contiguous runs of n words, each as one string with a space between words, which hold no white space themselves.
+
+    Strings, unlike arrays, are hashed when they are told apart.
+    """
+    if n == 1:
+        return tokens
+    follow = lambda x, i: F.concat_ws(" ", x, *[F.get(tokens, i + k) for k in range(1, n)])
+    return F.when(F.size(tokens) >= n, F.transform(F.slice(tokens, F.lit(1), F.size(tokens) - n + 1), follow)).otherwise(F.array().cast("array<string>"))
+
+
 def distinct_n(tokens: Column, n: int) -> Column:
-    """Distinct n-grams over all n-grams, 0.0 if there are none."""
-    grams = ngrams(tokens, n)
-    return F.when(F.size(tokens) >= n, F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(F.lit(0.0))
+    """Distinct n-grams of words over all n-grams, 0.0 if there are none."""
+    return F.when(F.size(tokens) >= n, F.size(F.array_distinct(joined_ngrams(tokens, n))) / (F.size(tokens) - n + 1)).otherwise(F.lit(0.0))
 
 
 def char_length(text: Column) -> Column:

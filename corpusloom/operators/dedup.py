@@ -23,9 +23,15 @@ def normalize_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def keep_first(docs: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
-    """The row of smallest `order` of each key. Only (key, order) is aggregated, before and after the shuffle, so a key with very many rows is one row a task; the texts are then picked by a semi join."""
-    first = docs.select(key.alias("_key"), F.col(order)).groupBy("_key").agg(F.min(order).alias(order)).select(order).distinct()
-    return docs.join(first, order, "left_semi")
+    """The row of smallest `order` of each key. Only (key, order) is aggregated, before and after the shuffle, so a key with very many rows is one row a task; the texts are then picked by a semi join.
+
+    Rows without `order` come after all others: one of them stays for each key that no other row has. Rows that share
+    an `order` stay or go together.
+    """
+    first = docs.where(F.col(order).isNotNull()).select(key.alias("_key"), F.col(order)).groupBy("_key").agg(F.min(order).alias(order))
+    unplaced = docs.where(F.col(order).isNull()).withColumn("_key", key)
+    alone = unplaced.join(first.select("_key"), "_key", "left_anti").dropDuplicates(["_key"]).select(*docs.columns)
+    return docs.join(first.select(order).distinct(), order, "left_semi").select(*docs.columns).unionByName(alone)
 
 
 def exact_dedup(docs: DataFrame, order: str = "doc_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import materialize
+
 
 def token_pairs(docs: DataFrame, tokens: Column, order: str = "doc_id") -> DataFrame:
     """order, x, y, n: how often y follows x in each document. Pairs are counted where the document is, before any shuffle."""
@@ -17,7 +19,8 @@ class BigramScorer:
     """Add-one estimates of the next token: -ln((c(x, y) + 1) / (c(x) + vocabulary))."""
 
     def __init__(self, pairs: DataFrame):
-        self.pairs = pairs.groupBy("x", "y").agg(F.sum("n").alias("c"))
+        # written: pairs, contexts and vocabulary are all read from these counts
+        self.pairs = materialize(pairs.groupBy("x", "y").agg(F.sum("n").alias("c")), "bigrams")
         self.contexts = self.pairs.groupBy("x").agg(F.sum("c").alias("cx"))
         self.size = self.pairs.select("x").union(self.pairs.select("y")).distinct().agg(F.count("*").alias("v"))
 

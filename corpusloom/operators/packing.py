@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.prefix import with_prefix
+from corpusloom.runtime import materialize
 
 
 def packed_offsets(docs: DataFrame, n_tokens: Column, by: list[str], order: str = "doc_id") -> DataFrame:
@@ -23,19 +24,24 @@ def train_windows(docs: DataFrame, ids: Column, block: int, order: str = "doc_id
     """window_id, x, y of the packed stream: block tokens and the same shifted by one; the part window at the end is dropped.
 
     A document's tokens are cut at window bounds first, so what is shuffled is slices of arrays and not single
-    tokens; each window then joins its few slices. Windows cross documents.
+    tokens; each window then joins its few slices. Windows cross documents. The ids are written once: they are read for
+    their number, their places and their slices.
     """
-    held = docs.select(order, ids.alias("ids")).withColumn("n", F.size("ids").cast("long")).where("n > 0")
+    held = materialize(docs.select(order, ids.alias("ids")).withColumn("n", F.size("ids").cast("long")).where("n > 0"), "token-ids")
     placed = with_prefix(held, [order], {"at": F.col("n")})
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     # window w reads tokens w*block .. (w+1)*block, the last of which is the first of the next window too
     first = F.greatest(F.lit(0), F.floor((F.col("at") - 1) / block)).cast("long")
     last = F.floor((F.col("at") + F.col("n") - 1) / block).cast("long")
-    cut = placed.withColumn("window_id", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.lit(0).cast("long"), F.col("window_id") * block - F.col("at"))
-    high = F.least(F.col("n"), (F.col("window_id") + 1) * block + 1 - F.col("at"))
-    cut = cut.withColumn("low", low).withColumn("part", F.slice("ids", (low + 1).cast("int"), F.greatest(F.lit(0), high - low).cast("int"))).where(F.size("part") > 0)
-    joined = cut.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct((F.col("at") + F.col("low")).alias("p"), "part"))).alias("parts"))
+
+    def slice_of(window: Column) -> Column:
+        low = F.greatest(F.lit(0).cast("long"), window * block - F.col("at"))
+        high = F.least(F.col("n"), (window + 1) * block + 1 - F.col("at"))
+        return F.struct(window.alias("window_id"), (F.col("at") + low).alias("p"), F.slice("ids", (low + 1).cast("int"), F.greatest(F.lit(0), high - low).cast("int")).alias("part"))
+
+    # cut inside the row: exploding windows beside whole documents would copy each document once a window
+    cut = placed.select(F.explode(F.transform(F.sequence(first, last), slice_of)).alias("s")).select("s.*").where(F.size("part") > 0)
+    joined = cut.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("p", "part"))).alias("parts"))
     whole = joined.select("window_id", F.flatten("parts.part").alias("t")).crossJoin(total).where(F.col("window_id") < F.floor((F.col("total") - 1) / block))
     return whole.select("window_id", F.slice("t", 1, block).alias("x"), F.slice("t", 2, block).alias("y"))
 
@@ -43,9 +49,13 @@ def train_windows(docs: DataFrame, ids: Column, block: int, order: str = "doc_id
 def eval_windows(docs: DataFrame, ids: Column, block: int, order: str = "doc_id") -> DataFrame:
     """order, start, x, y: each document's own windows, the short one at the end kept; fewer than two tokens give none."""
     held = docs.select(order, ids.alias("ids")).where(F.size("ids") >= 2)
-    cut = held.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("ids") - 2, F.lit(block))))
-    size = F.least(F.lit(block), F.size("ids") - 1 - F.col("start"))
-    return cut.select(order, F.col("start").cast("long").alias("start"), F.slice("ids", F.col("start") + 1, size).alias("x"), F.slice("ids", F.col("start") + 2, size).alias("y"))
+
+    def window(start: Column) -> Column:
+        size = F.least(F.lit(block), F.size("ids") - 1 - start)
+        return F.struct(start.cast("long").alias("start"), F.slice("ids", start + 1, size).alias("x"), F.slice("ids", start + 2, size).alias("y"))
+
+    cut = held.select(order, F.explode(F.transform(F.sequence(F.lit(0), F.size("ids") - 2, F.lit(block)), window)).alias("w"))
+    return cut.select(order, "w.*")
 
 
 def limited(windows: DataFrame, max_windows: int | None, max_docs: int | None, order: str = "doc_id") -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import HUMAN_RANGES
-from corpusloom.functions.text import distinct_n, ngrams, words
+from corpusloom.functions.text import distinct_n, joined_ngrams, words
 
 
 def max_repeat(tokens: Column, n: int = 4) -> Column:
     """How often the commonest n-gram occurs, 0 if there is none: the longest run of equal ones among the sorted n-grams."""
-    grams = F.array_sort(F.transform(ngrams(tokens, n), lambda g: F.array_join(g, "\x00")))
+    grams = F.sort_array(joined_ngrams(tokens, n))
     start = F.struct(F.lit("").alias("gram"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
     def step(state, gram):

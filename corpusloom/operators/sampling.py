@@ -68,6 +68,8 @@ def generate(context: DataFrame, scorer, profile, *, steps: int, eos: int, block
     """
     from corpusloom.runtime import materialize
 
+    if steps < 0:
+        raise ValueError("steps must not be negative")
     ended = context.select("row_id").distinct().where(F.lit(False))
     for step in range(steps):
         live = context.join(ended, "row_id", "left_anti")

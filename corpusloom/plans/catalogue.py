@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from corpusloom import config
 from corpusloom.functions import hashing, planning, requests, text
-from corpusloom.operators import bpe_training, corpus, dedup, evaluation, overlap, packing, repetition, runs, sampling
-from corpusloom.runtime import ship
-from corpusloom.sources import jsonl
+from corpusloom.operators import bpe_training, corpus, dedup, evaluation, overlap, packing, repetition, report, runs, sampling
+from corpusloom.runtime import materialize, scratch, ship
+from corpusloom.sources import jsonl, suites, tokens
+from corpusloom.streaming import jobs
 
 VAL_RATIO = 0.05
 BLOCK = 64
@@ -112,11 +113,14 @@ def split_counts(spark, sf_dir):
     return dedup.split_documents(dedup.exact_dedup(documents(spark, sf_dir)), VAL_RATIO).groupBy("split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query("SELECT 0::BIGINT AS shared, true AS covered")
+@query(f"""WITH s AS (SELECT md5(text) AS h, {_SPLIT} AS split FROM (SELECT text, {_norm('text')} AS norm FROM documents)), sides AS (SELECT h, count(DISTINCT split) AS n, min(split) AS split FROM s GROUP BY h)
+SELECT count(*) FILTER (n > 1)::BIGINT AS shared, count(*) FILTER (n = 1 AND split = 'train')::BIGINT AS train_texts, count(*) FILTER (n = 1 AND split = 'val')::BIGINT AS val_texts FROM sides""")
 def split_disjoint(spark, sf_dir):
+    """Texts of both splits, of train alone, of val alone: copies of a text stay on one side."""
     docs = dedup.split_documents(documents(spark, sf_dir), VAL_RATIO).withColumn("h", hashing.md5_hash(F.col("text")))
-    sides = docs.groupBy("h").agg(F.countDistinct("split").alias("sides"))
-    return sides.agg(F.count(F.when(F.col("sides") > 1, 1)).alias("shared"), F.min(F.col("sides") >= 1).alias("covered"))
+    sides = docs.groupBy("h").agg(F.countDistinct("split").alias("n"), F.min("split").alias("split"))
+    alone = lambda split: F.count(F.when((F.col("n") == 1) & (F.col("split") == split), 1))
+    return sides.agg(F.count(F.when(F.col("n") > 1, 1)).alias("shared"), alone("train").alias("train_texts"), alone("val").alias("val_texts"))
 
 
 @query()
@@ -192,6 +196,128 @@ def jsonl_strict_violations(spark, sf_dir):
     return jsonl.violations(docs.select((F.col("doc_id") + 1).alias("line_no"), line.alias("value")))
 
 
+@query(f"SELECT count(*)::BIGINT AS docs, sum(strlen(n))::BIGINT AS text_bytes FROM (SELECT {_norm(_DIRTY)} AS n FROM documents) WHERE n <> ''")
+def jsonl_sink(spark, sf_dir):
+    """Documents and bytes of what was written, counted as it is read back."""
+    return jsonl.write_jsonl(dirty(documents(spark, sf_dir)), scratch(spark, "jsonl"))
+
+
+@query("""SELECT source, shard::INT AS shard, file_no::INT AS file_no, count(*)::BIGINT AS n, sum(strlen(text))::BIGINT AS n_bytes FROM (SELECT source, text, doc_id % 3 AS shard, dense_rank() OVER (ORDER BY source || '_' || (doc_id % 3)) - 1 AS file_no FROM documents WHERE source <> '') GROUP BY ALL""")
+def corpus_files_in_order(spark, sf_dir):
+    """A corpus of three files a source, read as one and counted by file in the order of their names."""
+    path = scratch(spark, "corpus")
+    docs = documents(spark, sf_dir).where("source <> ''").withColumn("file", F.concat_ws("_", "source", (F.col("doc_id") % 3)))
+    write_named(docs.select("file", F.to_json(F.struct("text")).alias("value")), path)
+    read = jsonl.read_corpus(spark, path).withColumn("name", F.regexp_replace("file", r"\.jsonl$", ""))
+    found = read.groupBy("name", "file_no").agg(F.count("*").alias("n"), F.sum(text.byte_length(F.col("text"))).alias("n_bytes"))
+    return found.select(F.substring_index("name", "_", 1).alias("source"), F.substring_index("name", "_", -1).cast("int").alias("shard"), "file_no", "n", "n_bytes")
+
+
+def write_named(lines, path):
+    """Write lines (file, value) as path/<file>.jsonl, one file each; for small corpora."""
+    spark = lines.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    lines.repartition("file").write.partitionBy("file").text(f"{path}-parts")
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}-parts")
+    system = root.getFileSystem(conf)
+    system.mkdirs(jvm.org.apache.hadoop.fs.Path(path))
+    for folder in system.listStatus(root):
+        name = folder.getPath().getName().partition("=")
+        if name[1]:
+            (part,) = [f.getPath() for f in system.listStatus(folder.getPath())]
+            system.rename(part, jvm.org.apache.hadoop.fs.Path(f"{path}/{name[2]}.jsonl"))
+
+
+@query(f"SELECT count(*)::BIGINT AS docs, sum(strlen({_norm('text')}))::BIGINT AS text_bytes, 1::BIGINT AS sources FROM documents WHERE doc_id % 10 = 0 AND {_norm('text')} <> ''")
+def held_out_set(spark, sf_dir):
+    """A held-out set written from a file that must not change meanwhile, and read back."""
+    path = scratch(spark, "held-out")
+    docs = documents(spark, sf_dir).where(F.col("doc_id") % 10 == 0)
+    docs.select(F.to_json(F.struct("text")).alias("value")).coalesce(1).write.text(f"{path}-source")
+    done = jsonl.held_out(docs, path, f"{path}-source/*.txt")
+    return spark.range(1).select(F.lit(done["docs"]).cast("long").alias("docs"), F.lit(done["text_bytes"]).cast("long").alias("text_bytes"), F.lit(len(done["source"])).cast("long").alias("sources"))
+
+
+@query("SELECT item_id::VARCHAR AS id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS \"group\", text FROM benchmark QUALIFY row_number() OVER (PARTITION BY text ORDER BY item_id) = 1")
+def locked_suite(spark, sf_dir):
+    """A locked prompt suite, written as JSON and read with its marks checked."""
+    path = scratch(spark, "suite")
+    items = dedup.keep_first(table(spark, sf_dir, "benchmark"), F.col("text"), "item_id")
+    prompt = F.struct(F.col("item_id").cast("string").alias("id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("group"), F.col("text"))
+    marks = [F.lit("final").alias("purpose"), F.lit(False).alias("used_for_sampling_tuning"), F.lit(True).alias("eligible_for_final_claims"), F.lit("run").alias("run_config_fingerprint")]
+    items.agg(F.collect_list(prompt).alias("prompts")).select(F.to_json(F.struct(*marks, "prompts")).alias("value")).write.text(path)
+    return suites.read_final_suite(spark, path, "run")
+
+
+@query(f"""SELECT 7::INT AS checkpoint_step, count(*)::BIGINT AS n_docs, sum(strlen(text))::BIGINT AS n_tokens, round(avg(strlen(text)), 6)::DOUBLE AS nll, (SELECT count(*) FROM conversations)::BIGINT AS n_samples, (SELECT round(avg((turn % 2)::DOUBLE), 6) FROM conversations)::DOUBLE AS eos_rate FROM documents""")
+def release_figures(spark, sf_dir):
+    """Two artifacts written as JSON, read, put through every gate and joined; documents and turns stand in for what was measured."""
+    path = scratch(spark, "artifacts")
+    one = lambda x, name: x.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{path}/{name}")
+    measured = documents(spark, sf_dir).agg(F.count("*").alias("n_docs"), F.sum(text.byte_length(F.col("text"))).alias("n_tokens"), F.round(F.avg(text.byte_length(F.col("text"))), 6).alias("nll"), F.lit(2.0).alias("perplexity"))
+    loss = measured.select(F.lit("final_human_loss").alias("purpose"), F.lit(True).alias("eligible_for_final_claims"), F.lit(7).alias("checkpoint_step"), F.lit("c").alias("checkpoint_fingerprint"), F.lit("t").alias("tokenizer_fingerprint"), F.struct(F.lit(0).alias("n_overlap")).alias("separation"), F.struct(*report.LOSS).alias("result"))
+    means = [F.lit(0.5).alias(c) for c in report.GENERATION[2:5]]
+    turns = table(spark, sf_dir, "conversations").agg(F.count("*").alias("n_samples"), F.round(F.avg((F.col("turn") % 2).cast("double")), 6).alias("eos_rate"), *means, F.lit(3).alias("max_4gram_repeat"))
+    run = F.struct(F.lit(7).alias("checkpoint_step"), F.lit("c").alias("checkpoint_fingerprint"), F.lit("t").alias("tokenizer_fingerprint")).alias("run")
+    generation = turns.select(F.lit("final").alias("purpose"), F.lit(True).alias("eligible_for_final_claims"), F.lit(False).alias("used_for_sampling_tuning"), F.struct(F.lit(0).alias("exact_prompt_hits")).alias("contamination"), run, F.struct(*report.GENERATION).alias("summary"))
+    one(loss, "loss")
+    one(generation, "generation")
+    joined = report.release_report(report.read_artifact(spark, f"{path}/generation"), report.read_artifact(spark, f"{path}/loss"), step=7, checkpoint="c")
+    return joined.select("checkpoint_step", "n_docs", "n_tokens", "nll", "n_samples", "eos_rate")
+
+
+# streams over the tables
+
+
+@query(f"SELECT doc_id, length({_norm('text')})::BIGINT AS n_chars FROM documents WHERE length({_norm('text')}) >= 200")
+def stream_ingest(spark, sf_dir):
+    """The ingest job run to the end of its source, twice: the second run finds nothing new."""
+    path = scratch(spark, "stream-ingest")
+    documents(spark, sf_dir).select("doc_id", "text").repartition(4).write.parquet(f"{path}/in")
+    for _ in range(2):
+        jobs.ingest(spark, f"{path}/in", "doc_id long, text string", f"{path}/out", f"{path}/log", min_chars=200, files_per_batch=2).awaitTermination()
+    return spark.read.schema("doc_id long, text string").parquet(f"{path}/out").select("doc_id", text.char_length(F.col("text")).alias("n_chars"))
+
+
+@query(f"SELECT md5(n) AS h, length(n)::BIGINT AS n_chars FROM (SELECT DISTINCT {_norm('text')} AS n FROM documents)")
+def stream_first_seen(spark, sf_dir):
+    """Each text once, whichever batch brings it."""
+    path = scratch(spark, "stream-first")
+    documents(spark, sf_dir).select("doc_id", "text").repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    jobs.first_seen(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("doc_id long, text string, h string").parquet(f"{path}/out").select("h", text.char_length(text.normalize_text(F.col("text"))).alias("n_chars"))
+
+
+@query("""SELECT user_id AS run, event_id AS step, value AS loss FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def stream_latest_snapshot(spark, sf_dir):
+    """The newest row of each run, batch after batch."""
+    path = scratch(spark, "stream-latest")
+    schema = "run long, step long, loss double"
+    log(spark, sf_dir).select("run", "step", "loss").repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    jobs.latest_snapshot(stream, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return jobs.read_latest(spark, f"{path}/log").select("run", "step", "loss")
+
+
+@query("""SELECT conv_id, string_agg(text, '' ORDER BY turn) AS whole FROM (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id""")
+def stream_incremental_decode(spark, sf_dir):
+    """Turns as pieces of seven bytes, decoded as they come and put together again."""
+    path = scratch(spark, "stream-decode")
+    turns = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "").alias("whole"))
+    data = turns.select("conv_id", F.encode("whole", "UTF-8").alias("b")).where(F.octet_length("b") > 0)
+    size = F.ceil(F.octet_length("b") / 7)
+    cut = data.select("conv_id", "b", size.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("seq"))
+    pieces = cut.select("conv_id", "seq", F.substring(F.col("b"), (F.col("seq") * 7 + 1).cast("int"), F.lit(7)).alias("piece"), (F.col("seq") == F.col("n") - 1).alias("last"))
+    ship(spark)
+    pieces.coalesce(1).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("conv_id long, seq long, piece binary, last boolean").parquet(f"{path}/in")
+    jobs.incremental_decode(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    deltas = spark.read.schema("conv_id long, seq long, delta string").parquet(f"{path}/out")
+    joined = deltas.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda d: d["delta"]), "").alias("whole"))
+    return turns.select("conv_id").join(joined, "conv_id", "left").select("conv_id", F.coalesce("whole", F.lit("")).alias("whole"))
+
+
 # packing and windows
 
 
@@ -233,9 +359,55 @@ def resume_batches(spark, sf_dir):
     return packing.positions(spark.range(5, 40).withColumnRenamed("id", "step"), 37, 8, 11)
 
 
-@query("SELECT 1000::BIGINT AS n, 1000::BIGINT AS distinct_windows, 0::BIGINT AS least, 999::BIGINT AS most, 1000::BIGINT AS distinct_pos")
+@query("SELECT i AS number, count(*)::BIGINT AS as_window, count(*)::BIGINT AS as_place FROM range(1000) t(i) GROUP BY i")
 def permutation_covers_once(spark, sf_dir):
-    return packing.permutation(1000, 3, spark).agg(F.count("*").alias("n"), F.countDistinct("window_id").alias("distinct_windows"), F.min("pos").alias("least"), F.max("pos").alias("most"), F.countDistinct("pos").alias("distinct_pos"))
+    """How often each number occurs as a window and as a place."""
+    order = packing.permutation(1000, 3, spark)
+    both = order.select(F.col("window_id").alias("number"), F.lit(1).alias("w"), F.lit(0).alias("p")).unionByName(order.select(F.col("pos").cast("long").alias("number"), F.lit(0).alias("w"), F.lit(1).alias("p")))
+    return both.groupBy("number").agg(F.sum("w").alias("as_window"), F.sum("p").alias("as_place"))
+
+
+_TRAIN_WINDOWS = SQL["train_windows"]
+
+
+def train_sums(windows):
+    weighted = lambda c: F.aggregate(F.transform(c, lambda v, i: (v * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    return windows.select("window_id", weighted(F.col("x")).alias("x_sum"), weighted(F.col("y")).alias("y_sum"))
+
+
+@query(f"SELECT window_id, x_sum, y_sum FROM ({_TRAIN_WINDOWS})")
+def permuted_windows(spark, sf_dir):
+    """The windows of an epoch, looked up in its order: each comes once."""
+    made = materialize(packing.train_windows(documents(spark, sf_dir), word_ids(), BLOCK), "windows")
+    return train_sums(made.join(packing.permutation(made.count(), 2, spark), "window_id"))
+
+
+@query(f"SELECT window_id, x_sum, y_sum FROM ({_TRAIN_WINDOWS}) WHERE window_id % 5 = 0")
+def token_split_read_back(spark, sf_dir):
+    """Windows written as two splits, one of them read back; at least one must be there."""
+    made = materialize(packing.train_windows(documents(spark, sf_dir), word_ids(), BLOCK), "windows")
+    path = scratch(spark, "token-splits")
+    tokens.write_split(made.where("window_id % 5 <> 0"), path, "train", config.TOKENIZER.max_id)
+    tokens.write_split(made.where("window_id % 5 = 0"), path, "val", config.TOKENIZER.max_id)
+    return train_sums(tokens.require_windows(tokens.load_split(spark, path, "val")))
+
+
+@query(f"""WITH ids AS (SELECT doc_id, [1] || list_transform({_WORDS}, lambda w: length(w)::INT) || [2] AS t FROM documents), flat AS (SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS p, t FROM (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS k FROM ids))
+SELECT (p // 4096)::BIGINT AS part, count(*)::BIGINT AS n, sum(t * (p % 4096 + 1))::BIGINT AS weighted FROM flat GROUP BY 1""")
+def raw_token_files(spark, sf_dir):
+    """Ids written as raw 16-bit files and read back: sums by place in the whole stream."""
+    path = scratch(spark, "raw-tokens")
+    files = tokens.write_raw(documents(spark, sf_dir).select("doc_id", word_ids().alias("ids")), path, config.TOKENIZER.max_id)
+    back = tokens.read_raw(spark, path, 2, chunk=1000).join(F.broadcast(files), "file")  # a row a file
+    flat = back.select((F.col("start") + F.col("chunk_no") * 1000).alias("at"), F.posexplode("ids").alias("i", "t")).withColumn("p", F.col("at") + F.col("i"))
+    return flat.groupBy(F.floor(F.col("p") / 4096).alias("part")).agg(F.count("*").alias("n"), F.sum(F.col("t") * (F.col("p") % 4096 + 1)).cast("long").alias("weighted"))
+
+
+@query(f"""WITH ids AS (SELECT doc_id, [1] || list_transform({_WORDS}, lambda w: length(w)::INT) || [2] AS t FROM documents ORDER BY doc_id LIMIT 40)
+SELECT doc_id, s::BIGINT AS start FROM (SELECT doc_id, unnest(range(0, len(t) - 1, {BLOCK})) AS s FROM ids) ORDER BY doc_id, s LIMIT 100""")
+def eval_windows_limited(spark, sf_dir):
+    """The first 100 windows of the first 40 documents."""
+    return packing.limited(packing.eval_windows(documents(spark, sf_dir), word_ids(), BLOCK), 100, 40).select("doc_id", "start")
 
 
 # overlap and contamination
@@ -244,12 +416,33 @@ def permutation_covers_once(spark, sf_dir):
 @query(f"""WITH n AS (SELECT doc_id, {_norm('text')} AS t FROM documents), e AS (SELECT * FROM n WHERE doc_id % 10 = 0 AND t <> ''), r AS (SELECT * FROM n WHERE doc_id % 10 <> 0 AND t <> ''),
 met AS (SELECT t, min(doc_id) AS pos FROM r WHERE t IN (SELECT t FROM e) GROUP BY t)
 SELECT (SELECT count(*) FROM e)::BIGINT AS n_eval, (SELECT count(DISTINCT t) FROM e)::BIGINT AS n_distinct, (SELECT count(*) - count(DISTINCT t) FROM e)::BIGINT AS n_internal,
-  (SELECT count(*) FROM met)::BIGINT AS n_overlap, (SELECT count(*) FROM r)::BIGINT AS n_train, (SELECT string_agg(substr(t, 1, 160), '|' ORDER BY pos) FROM (SELECT * FROM met ORDER BY pos LIMIT 5)) AS examples, false AS clean""")
+  (SELECT count(*) FROM met)::BIGINT AS n_overlap, (SELECT count(*) FROM r)::BIGINT AS n_train, (SELECT string_agg(substr(t, 1, 160), '|' ORDER BY pos) FROM (SELECT * FROM met ORDER BY pos LIMIT 5)) AS examples,
+  (SELECT count(*) > 0 AND count(*) = count(DISTINCT t) FROM e) AND NOT EXISTS (SELECT 1 FROM met) AS clean""")
 def eval_overlap_report(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return overlap.overlap_report(docs.where(F.col("doc_id") % 10 == 0), docs.where(F.col("doc_id") % 10 != 0)).withColumn("examples", F.array_join("examples", "|"))
 
 
+@query(f"""WITH n AS (SELECT doc_id, {_norm('text')} AS t FROM documents), r AS (SELECT t FROM n WHERE doc_id % 10 <> 0 AND t <> ''), e AS (SELECT t FROM n WHERE doc_id % 10 = 0 AND t <> '' AND t NOT IN (SELECT t FROM r) QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1)
+SELECT (SELECT count(*) FROM e)::BIGINT AS n_eval, (SELECT count(DISTINCT t) FROM e)::BIGINT AS n_distinct, (SELECT count(*) FROM e WHERE t IN (SELECT t FROM r))::BIGINT AS n_overlap, (SELECT count(*) FROM r)::BIGINT AS n_train,
+  (SELECT count(*) > 0 AND count(*) = count(DISTINCT t) FROM e) AND NOT EXISTS (SELECT 1 FROM e WHERE t IN (SELECT t FROM r)) AS clean""")
+def eval_set_cleaned(spark, sf_dir):
+    """An evaluation set without its copies and without what train has passes as clean."""
+    docs = documents(spark, sf_dir).withColumn("h", hashing.md5_hash(text.normalize_text(F.col("text"))))
+    train = docs.where(F.col("doc_id") % 10 != 0)
+    held = dedup.exact_dedup(docs.where(F.col("doc_id") % 10 == 0)).join(train.select("h").distinct(), "h", "left_anti")
+    report = overlap.overlap_report(held, train)
+    overlap.require_clean(report)
+    return report.select("n_eval", "n_distinct", "n_overlap", "n_train", "clean")
+
+
+@query("SELECT count(*)::BIGINT AS n_docs FROM documents")
+def final_prompts_unseen(spark, sf_dir):
+    """Documents read to make sure that none holds a prompt; here none does, as each prompt carries a mark."""
+    needles = table(spark, sf_dir, "benchmark").withColumn("text", F.concat(F.lit("\u2603 "), F.col("text")))
+    return spark.range(1).select(F.lit(overlap.require_unseen(needles, documents(spark, sf_dir))).cast("long").alias("n_docs"))
+
+
 @query(f"""SELECT DISTINCT md5({_norm('text')}) AS h FROM documents WHERE doc_id % 10 = 0 INTERSECT SELECT md5({_norm('text')}) FROM documents WHERE doc_id % 10 <> 0""")
 def shared_hashes(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn("h", hashing.md5_hash(text.normalize_text(F.col("text"))))
@@ -269,9 +462,10 @@ def needle_prefix_scan(spark, sf_dir):
     return overlap.contains_hits(needles, documents(spark, sf_dir))
 
 
-@query(f"""SELECT conv_id, turn FROM conversations WHERE conv_id % 2 = 0 AND {_norm('text')} IN (SELECT {_norm('text')} FROM conversations WHERE conv_id % 2 = 1)""")
+@query(f"""SELECT conv_id, turn FROM conversations WHERE conv_id % 2 = 0 AND {_norm('substr(text, 1, 6)')} IN (SELECT {_norm('substr(text, 1, 6)')} FROM conversations WHERE conv_id % 2 = 1)""")
 def prompt_overlap(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    """The first six characters stand in for a turn's text, so that some are shared."""
+    turns = table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn")).withColumn("text", text.prefix(F.col("text"), 6))
     return overlap.prompt_overlap(turns.where("conv_id % 2 = 0"), turns.where("conv_id % 2 = 1"), "key").select("key.conv_id", "key.turn")
 
 
@@ -349,14 +543,15 @@ def pretoken_counts(spark, sf_dir):
     return bpe_training.pretoken_counts(documents(spark, sf_dir))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query("SELECT doc_id, md5(text) AS decoded_md5, strlen(text)::BIGINT AS n_bytes FROM documents")
 def bpe_round_trip(spark, sf_dir):
-    """Train a small vocabulary, encode, decode, compare."""
+    """Train a small vocabulary, encode, decode: the texts that come back."""
     ship(spark)
     docs = documents(spark, sf_dir)
     ranks = bpe_training.train_bpe(docs, vocab_size=400)
     encode, decode = bpe_training.encode_column(ranks), bpe_training.decode_column(ranks)
-    return docs.select("doc_id", "text", encode("text").alias("ids")).select("doc_id", (decode("ids") == F.col("text")).alias("same"))
+    back = docs.select("doc_id", encode("text").alias("ids")).select("doc_id", decode("ids").alias("back"))
+    return back.select("doc_id", hashing.md5_hash(F.col("back")).alias("decoded_md5"), text.byte_length(F.col("back")).alias("n_bytes"))
 
 
 @query()
@@ -425,6 +620,21 @@ def sampled_tokens(spark, sf_dir):
     return sampling.sample(every, every.where("token_id < 3").select("row_id", F.col("token_id").alias("pos"), "token_id"), config.DEFAULT_PROFILE, seed=7)
 
 
+@query("""WITH RECURSIVE g AS (SELECT vec_id AS row_id, 0 AS pos, (vec_id % 10)::INT AS token_id FROM embeddings UNION ALL
+  SELECT row_id, pos + 1, (SELECT y FROM range(10) t(y) ORDER BY (token_id * 7 + y * 3) % 11 DESC LIMIT 1)::INT FROM g WHERE pos < 6 AND (pos = 0 OR token_id <> 4))
+SELECT row_id, pos::INT AS pos, token_id FROM g""")
+def generated_tokens(spark, sf_dir):
+    """Greedy generation (top 1) of six tokens by a rule of the last token; rows stop at token 4."""
+    start = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.lit(0).alias("pos"), (F.col("vec_id") % 10).cast("int").alias("token_id"))
+
+    def scorer(context):
+        last = context.groupBy("row_id").agg(F.max_by("token_id", "pos").alias("x"))
+        return last.select("row_id", "x", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("token_id")).select("row_id", "token_id", ((F.col("x") * 7 + F.col("token_id") * 3) % 11).cast("double").alias("logit"))
+
+    greedy = config.SamplingProfile("greedy", 1.0, 1, None, 1.0)
+    return sampling.generate(start, scorer, greedy, steps=6, eos=4, block=8, seed=1).select("row_id", "pos", "token_id")
+
+
 # losses
 
 _PAIRS = f"SELECT doc_id, w[i] AS x, w[i + 1] AS y FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 2)"

@@ -6,13 +6,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from corpusloom.config import CORPUS, WHITE_SPACE
 from corpusloom.functions.text import byte_length, normalize_text
 
+#: File names that are sent to all tasks; of more files, the names are joined.
+MOST_FILES = 100_000
+
 
 def string_field(line: Column, field: str) -> tuple[Column, Column, Column]:
     """Of a line: whether it is JSON, whether it is an object, and the field's value if that is a string.
@@ -50,10 +54,15 @@ def parse_strict(lines: DataFrame, field: str = "text") -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, field: str = "text", prefix: str = "") -> DataFrame:
-    """file, text of all JSON Lines files of a folder, or of those whose name begins with a source's prefix; order by file, then by the line's place in it (sources keep an order column where that matters)."""
+    """file, text of all JSON Lines files of a folder, or of those whose name begins with a source's prefix; order by file, then by the line's place in it (sources keep an order column where that matters).
+
+    file_no counts the files by name, from 0: the order in which a corpus is read.
+    """
     start = re.sub(r"([\\*?\[\]{}])", r"\\\1", prefix)
     lines = spark.read.text(path, pathGlobFilter=f"{start}*.jsonl").withColumn("file", F.col("_metadata.file_name"))
-    return parse_lenient(lines, field)
+    names = lines.select("file").distinct()  # a row a file
+    numbered = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("file_no"))
+    return parse_lenient(lines, field).join(F.broadcast(numbered), "file") if len(lines.inputFiles()) <= MOST_FILES else parse_lenient(lines, field).join(numbered, "file")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -81,23 +90,29 @@ def inventory(rows: DataFrame) -> DataFrame:
 def shard_numbers(docs: DataFrame, by: str, order: str, first: int = 0, shard_bytes: int = CORPUS.shard_bytes) -> DataFrame:
     """docs with shard: a shard closes once its bytes reach shard_bytes, and counting starts anew.
 
-    A fold over (order, bytes) in order; only those two columns go to the group's task, in sorted batches, and the
-    state is one number. Sources, not rows, bound the tasks: the fold is sequential by definition.
+    A fold over (order, bytes) in order; only those two columns go to the source's task, which reads them sorted, batch
+    by batch, and holds one number. Sources, not rows, bound the tasks: the fold is sequential by definition. Null
+    sources are a source, null orders come first; rows that share both are one document to the fold and stay together.
     """
-    sizes = docs.select(by, order, byte_length(F.coalesce("text", F.lit(""))).alias("_bytes"))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        shard, held, out = first, 0, []
-        for b in frame["_bytes"]:
-            out.append(shard)
-            held += b
-            if held >= shard_bytes:
-                shard, held = shard + 1, 0
-        return frame[[by, order]].assign(shard=out)
-
-    schema = StructType([docs.schema[by], docs.schema[order]]).add("shard", "integer")
-    return docs.join(sizes.groupBy(by).applyInPandas(fold, schema), [by, order])
+    sizes = docs.groupBy(by, order).agg(F.sum(byte_length(F.coalesce("text", F.lit("")))).alias("_bytes"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, shard, held = (), first, 0
+        for batch in batches:
+            out = []
+            for own, b in zip(batch[0].to_pylist(), batch["_bytes"].to_pylist(), strict=True):
+                if source != (own,):
+                    source, shard, held = (own,), first, 0
+                out.append(shard)
+                held += b
+                if held >= shard_bytes:
+                    shard, held = shard + 1, 0
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(out, pa.int32())], ["_by", "_order", "shard"])
+
+    schema = StructType([StructField("_by", docs.schema[by].dataType), StructField("_order", docs.schema[order].dataType)]).add("shard", "integer")
+    placed = sizes.repartition(F.col(by)).sortWithinPartitions(by, order).mapInArrow(fold, schema)
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col(order).eqNullSafe(F.col("_order"))
+    return docs.join(placed, same).drop("_by", "_order")
 
 
 def write_shards(docs: DataFrame, path: str, by: str = "source") -> None:

@@ -86,12 +86,46 @@ def incremental_decode(tokens: DataFrame) -> DataFrame:
 
 
 def latest_snapshot(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of progress rows (run, step, ...) to path/history and keep path/latest the newest row of each run."""
+    """Append a stream of progress rows (run, step, ...) to path/history and keep the newest row of each run under path/latest, for read_latest.
+
+    Each batch has folders of its own, which a batch that is tried again writes anew; the newest rows come from those
+    of the batch before and the batch's own, not from the whole history.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows.write.mode("append").parquet(f"{path}/history")
-        history = rows.sparkSession.read.parquet(f"{path}/history")
-        others = [c for c in history.columns if c != "run"]
-        history.groupBy("run").agg(F.max_by(F.struct(*others), "step").alias("r")).select("run", "r.*").write.mode("overwrite").parquet(f"{path}/latest")
+        rows.persist()
+        rows.write.mode("overwrite").parquet(f"{path}/history/batch={number}")
+        before = _batches(rows.sparkSession, f"{path}/latest")
+        known = [b for b in before if b < number]
+        held = rows.unionByName(rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/latest/batch={max(known)}")) if known else rows
+        others = [c for c in rows.columns if c != "run"]
+        newest = held.groupBy("run").agg(F.max_by(F.struct(*others), "step").alias("r")).select("run", "r.*")
+        newest.write.mode("overwrite").parquet(f"{path}/latest/batch={number}")
+        rows.unpersist()
+        for old in sorted(known)[:-1]:  # the last one may still be read
+            _path(rows.sparkSession, f"{path}/latest/batch={old}", delete=True)
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _path(spark: SparkSession, path: str, *, delete: bool = False):
+    """The file system and path of a folder, which goes with delete."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if delete:
+        system.delete(where, True)
+    return system, where
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that are whole under path."""
+    system, where = _path(spark, path)
+    if not system.exists(where):
+        return []
+    folders = [f.getPath().toString() for f in system.listStatus(where)]
+    return [int(f.rpartition("=")[2]) for f in folders if "batch=" in f and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))]
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each run that latest_snapshot keeps under path."""
+    return spark.read.parquet(f"{path}/latest/batch={max(_batches(spark, f'{path}/latest'))}")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -260,7 +261,8 @@ def test_bpe_queries_train_on_all_pretokens(spark, tmp_path):
     sizes = {p: length(p) for p in counts}
     wanted = {i: 2 + sum(sizes[p] for p in regex.findall(bpe_training.PRETOKEN, t)) for i, t in enumerate(texts)}
     assert {r.doc_id: r.n_tokens for r in catalogue.bpe_encode_lengths(spark, str(tmp_path)).collect()} == wanted
-    assert all(r.same for r in catalogue.bpe_round_trip(spark, str(tmp_path)).collect())
+    back = {r.doc_id: (r.decoded_md5, r.n_bytes) for r in catalogue.bpe_round_trip(spark, str(tmp_path)).collect()}
+    assert back == {i: (hashlib.md5(t.encode()).hexdigest(), len(t)) for i, t in enumerate(texts)}
 
 
 def test_release_report(spark, tmp_path):
@@ -302,3 +304,54 @@ def test_guards(tmp_path):
         report.require_match("tokenizer", "f", "g", "f")
     with pytest.raises(FileExistsError):
         report.require_new(str(tmp_path))
+
+
+def test_keep_first_without_order(spark):
+    rows = [(None, "alone"), (None, "alone"), (None, "shared"), (3, "shared"), (5, "shared"), (7, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, dedup.exact_dedup(docs).collect()), key=repr)
+    assert kept == sorted([(None, "alone"), (3, "shared"), (7, None)], key=repr)
+
+
+def test_containment_counts(spark):
+    rng = random.Random(4)
+    docs = ["".join(rng.choices("ab é\n", k=rng.randint(0, 60))) for _ in range(80)]
+    needles = ["a", "ab", "b é", "abab", "zz", "ab", "é\n", " "]
+    import unicodedata
+
+    norm = lambda t: __import__("re").sub("\n{3,}", "\n\n", unicodedata.normalize("NFC", t)).strip()
+    asked = spark.createDataFrame(list(enumerate(needles)), "item_id long, text string")
+    corpus_ = spark.createDataFrame([(i, t) for i, t in enumerate([*docs, None])], "doc_id long, text string")
+    got = {r.item_id: (r.hits, r.n_docs) for r in overlap.contains_hits(asked, corpus_).collect()}
+    assert got == {i: (sum(norm(n) in norm(d) for d in docs), 81) for i, n in enumerate(needles) if norm(n)}
+    assert overlap.contains_hits(asked.limit(0), corpus_).collect() == []
+
+
+def test_joined_ngrams(spark):
+    from corpusloom.functions.text import distinct_n, joined_ngrams
+
+    frame = spark.createDataFrame([(["a", "b", "a", "b"],), ([],), (["x"],)], "w array<string>")
+    assert [r.g for r in frame.select(joined_ngrams(F.col("w"), 2).alias("g")).collect()] == [["a b", "b a", "a b"], [], []]
+    assert [r.d for r in frame.select(distinct_n(F.col("w"), 2).alias("d")).collect()] == [2 / 3, 0.0, 0.0]
+
+
+def test_raw_token_files(spark, tmp_path):
+    from corpusloom.sources import tokens
+
+    docs = spark.createDataFrame([(i, [i, 60_000, 7] if i % 3 else None) for i in range(50)] + [(50, [])], "doc_id long, ids array<int>")
+    files = tokens.write_raw(docs, f"{tmp_path}/raw", 65_535)
+    wanted = [x for i in range(50) if i % 3 for x in (i, 60_000, 7)]
+    assert sum(f.n for f in files.collect()) == len(wanted)
+    rows = sorted(map(tuple, tokens.read_raw(spark, f"{tmp_path}/raw", 2, chunk=10).collect()))
+    assert [x for *_, ids in rows for x in ids] == wanted and max(len(ids) for *_, ids in rows) == 10
+    with pytest.raises(Exception, match="outside"):
+        tokens.write_raw(docs, f"{tmp_path}/low", 100)
+    assert not list((tmp_path / "low").glob("*.bin"))
+
+
+def test_shard_numbers_with_nulls(spark):
+    from corpusloom.sources import jsonl
+
+    rows = [("a", 1, "xxxx"), ("a", 2, "xx"), ("a", 3, "x"), ("a", 3, "y"), ("a", None, "first"), (None, 1, "xxxxxx"), (None, 2, "x"), (None, None, None)]
+    got = jsonl.shard_numbers(spark.createDataFrame(rows, "source string, doc_id long, text string"), "source", "doc_id", shard_bytes=5)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([("a", None, "first", 0), ("a", 1, "xxxx", 1), ("a", 2, "xx", 1), ("a", 3, "x", 2), ("a", 3, "y", 2), (None, None, None, 0), (None, 1, "xxxxxx", 0), (None, 2, "x", 1)], key=repr)

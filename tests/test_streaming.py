@@ -76,5 +76,10 @@ def test_latest_snapshot(spark, tmp_path):
     spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.4), ("b", 7, 0.1)], "run string, step long, loss double").write.parquet(path)
     stream = spark.readStream.schema("run string, step long, loss double").parquet(path)
     jobs.latest_snapshot(stream, f"file://{tmp_path}/log", f"file://{tmp_path}/cp").awaitTermination()
-    assert {(r.run, r.step) for r in spark.read.parquet(f"file://{tmp_path}/log/latest").collect()} == {("a", 2), ("b", 7)}
-    assert spark.read.parquet(f"file://{tmp_path}/log/history").count() == 3
+    assert {(r.run, r.step) for r in jobs.read_latest(spark, f"file://{tmp_path}/log").collect()} == {("a", 2), ("b", 7)}
+    for step in (1, 9):
+        spark.createDataFrame([("b", step, 0.2)], "run string, step long, loss double").write.mode("append").parquet(path)
+        jobs.latest_snapshot(stream, f"file://{tmp_path}/log", f"file://{tmp_path}/cp").awaitTermination()
+    assert {(r.run, r.step) for r in jobs.read_latest(spark, f"file://{tmp_path}/log").collect()} == {("a", 2), ("b", 9)}
+    assert spark.read.parquet(f"file://{tmp_path}/log/history").count() == 5
+    assert len(list((tmp_path / "log" / "latest").iterdir())) == 2
