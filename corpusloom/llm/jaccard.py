@@ -7,9 +7,10 @@ wanted similarity share a token among each one's first few (its prefix), so:
 2. Prefix tokens are dealt by token. Of the few classes that share a rare one, each pair of fitting sizes is counted,
    and tied if it shares as many prefix tokens as similarity takes: what a pair shares is at most its shared prefix
    tokens and one side's tokens beyond its prefix. Classes that share a token with many others are only marked.
-3. Marked classes, made of common phrases as they are, are tied by cells: their tokens are dealt by hash into a few more
-   cells than a similar set can differ in tokens, so two similar sets have equal cells, and one cell's equality takes
-   all its tokens. Equal cells are tied to one of them, a tie for each class and cell, whatever their number.
+3. Marked classes, made of common phrases as they are, are tied by cells: their tokens are dealt by hash into more
+   cells than half the tokens in which a similar set can differ, so one cell differs in one token at most, and three of
+   its four quarters are equal. Classes with equal quarters are tied to one of them, a tie for each class and cell,
+   whatever their number.
 4. Classes that ties connect are a candidate group; no similar pair lies across two. Each class of a group sends its
    whole set to the group's task once, where a trie over the ordered sets is walked with shared partial overlaps and
    pruned by what can still follow.
@@ -36,8 +37,8 @@ from corpusloom.runtime import materialize, parts_for, ship
 #: Tokens in this many prefixes or more count as frequent, and how many of them the order knows (the most frequent).
 #: Both only steer the work: any order finds every link.
 FREQUENT, KNOWN = 8, 200_000
-#: Sets in a task's block, and pivots that all blocks of a group have in common.
-BLOCK, PIVOTS = 1_024, 16
+#: Sets in a task's block, pivots that all blocks of a group have in common, blocks that are compared together with the documents outside the largest part.
+BLOCK, PIVOTS, WIDE = 256, 16, 4
 #: Classes that share a token up to which they are counted in pairs; more are marked.
 FEW = 16
 #: Bytes of the table on disk for which there is one part at least.
@@ -65,29 +66,33 @@ def size_class(n: int, percent: int) -> int:
 
 
 def cell_count(of: int, percent: int) -> tuple[int, int]:
-    """For sets of a size class or the one below: how many cells, and how many a pair of similar sets can differ in."""
+    """For sets of a size class or the one below: how many cells, and in how many of them a pair of similar sets can differ in more than one token."""
     most = int((100.1 / percent) ** (of + 1)) + 1
-    differ = 2 * most * (100 - percent) // (100 + percent)
-    return differ + 1 + max(3, differ * 6 // 100), differ
+    twice = 2 * most * (100 - percent) // (100 + percent) // 2
+    return twice + 2 + twice * 4 // 100, twice
 
 
 def cells(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of which a similar set has one at least: of the cells that hold tokens, for both size classes that a similar set can be of.
+    """Hashes of which a similar set has one at least: of three quarters of a cell, for all cells and for both size classes that a similar set can be of.
 
-    Cells without tokens say nothing. As long as more hold tokens than similar sets differ in, one of those is equal
-    in both; a set for which that fails gives its prefix tokens as well, and meets the others of that kind by them.
+    There are more cells than half the tokens in which similar sets can differ, so one cell differs in one token at
+    most, and three of its quarters are equal. Quarters without tokens say nothing: a set that has too few cells with
+    tokens in two quarters gives its prefix tokens as well, and meets the others of that kind by them.
     """
     out = []
     own = size_class(len(tokens), percent)
     bare = tokens & np.uint64((1 << 63) - 1)
+    dealt, mixed = mix64(bare, 31), mix64(bare, 33)
     for of in (own, own + 1):
-        n, differ = cell_count(of, percent)
-        cell = (mix64(bare, 31) % np.uint64(n)).astype(np.int64)
-        sums = np.zeros(n, np.uint64)
-        np.add.at(sums, cell, mix64(bare, 33))
-        used = np.flatnonzero(np.bincount(cell, minlength=n))
-        out.append(mix64(sums[used]) + mix64(used.astype(np.uint64) + (np.uint64(of) << np.uint64(40)), 35))
-        if len(used) <= differ:
+        n, twice = cell_count(of, percent)
+        quarter = (dealt % np.uint64(n)).astype(np.int64) * 4 + (dealt >> np.uint64(62)).astype(np.int64)
+        sums = np.zeros(4 * n, np.uint64)
+        np.add.at(sums, quarter, mixed)
+        sums, held = sums.reshape(n, 4), np.bincount(quarter, minlength=4 * n).reshape(n, 4)
+        rest, left = sums.sum(1, dtype=np.uint64)[:, None] - sums, held.sum(1)[:, None] - held
+        which = np.flatnonzero(left.ravel())
+        out.append(mix64(rest.ravel()[which]) + mix64(which.astype(np.uint64) + (np.uint64(of) << np.uint64(40)), 35))
+        if (left > 0).all(1).sum() <= twice:
             out.append(mix64(tokens[: prefix_size(len(tokens), percent)], 37 + of))
     return np.concatenate(out)
 
@@ -100,10 +105,13 @@ def by_bucket(bucket: np.ndarray, n: int, *columns: np.ndarray) -> tuple[pa.Arra
     return pa.array(used.astype(np.int32)), [pa.array([x[order[edge[b] : edge[b + 1]]].tobytes() for b in used], pa.binary()) for x in columns]
 
 
-def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id of packed ones."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch["marked"].to_pylist()), np.int64))], ["doc_id"])
+def aside(known: np.ndarray, used: pa.Array, packed: list[pa.Array], names: list[str], buckets: int) -> pa.RecordBatch:
+    """Rows of used buckets with their packed columns, and a row of what is known already, as ids, for one of as many buckets below zero."""
+    from pyspark import TaskContext
+
+    own = pa.array([-1 - TaskContext.get().partitionId() % buckets], pa.int32())
+    first = [pa.array([known.tobytes() if name == "ids" else b""], pa.binary()) for name in names]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([own, used]), *(pa.concat_arrays(x) for x in zip(first, packed, strict=True))], ["bucket", *names])
 
 
 class JaccardJoin:
@@ -172,9 +180,7 @@ class JaccardJoin:
                 nth, many = np.arange(len(tokens)) - np.repeat(starts, size), np.repeat(size > FEW, size)
                 marked, sent = np.unique(ids[order[many]]), order[nth <= FEW]
                 used, packed = by_bucket((tokens[sent] % np.uint64(buckets)).astype(np.int32), buckets, tokens[sent], ids[sent], n[sent])
-                marks = [pa.array([marked.tobytes(), *[b""] * len(used)], pa.binary())]
-                empty = pa.array([b""], pa.binary())
-                return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([-1], pa.int32()), used]), *(pa.concat_arrays([empty, x]) for x in packed), *marks], ["bucket", "tokens", "ids", "n", "marked"])
+                return aside(marked, used, packed, ["tokens", "ids", "n"], buckets)
 
             for batch in batches:
                 lists = [np.frombuffer(p, np.uint64) for p in batch["prefix"].to_pylist()]
@@ -187,6 +193,9 @@ class JaccardJoin:
                 yield fold()
 
         def tie(group: pa.Table) -> pa.Table:
+            if group["bucket"][0].as_py() < 0:
+                marked = np.unique(np.frombuffer(b"".join(group["ids"].to_pylist()), np.int64))
+                return pa.table({"u": marked, "v": marked, "least": np.ones(len(marked), np.int64), "shared": np.ones(len(marked), np.int64)})
             tokens, ids, n = (np.frombuffer(b"".join(group[c].to_pylist()), kind) for c, kind in (("tokens", np.uint64), ("ids", np.int64), ("n", np.int32)))
             order = np.lexsort((ids, n, tokens))
             tokens, ids, n = tokens[order], ids[order], n[order].astype(np.int64)
@@ -205,11 +214,10 @@ class JaccardJoin:
             rows, count = np.unique(np.concatenate(out), axis=0, return_counts=True)
             return pa.table({"u": rows[:, 0], "v": rows[:, 1], "least": rows[:, 2], "shared": count.astype(np.int64)})
 
-        dealt = materialize(classes.select("doc_id", "n", "prefix").mapInArrow(deal, "bucket int, tokens binary, ids binary, n binary, marked binary"), "jaccard-dealt")
-        pairs = materialize(dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(tie, "u long, v long, least long, shared long"), "jaccard-pairs")
+        dealt = classes.select("doc_id", "n", "prefix").mapInArrow(deal, "bucket int, tokens binary, ids binary, n binary")
+        pairs = materialize(dealt.groupBy("bucket").applyInArrow(tie, "u long, v long, least long, shared long"), "jaccard-pairs")
         tied = pairs.where("u <> v").groupBy("u", "v").agg(F.min("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("u", "v")
-        marks = dealt.where("bucket < 0").select("marked").mapInArrow(unpack, "doc_id long").unionByName(pairs.where("u = v").select(F.col("u").alias("doc_id")))
-        return tied, materialize(marks.distinct(), "jaccard-marked")
+        return tied, materialize(pairs.where("u = v").select(F.col("u").alias("doc_id")).distinct(), "jaccard-marked")
 
     def cell_ties(self, marked: DataFrame, frequent) -> DataFrame:
         """u, v: ties of the marked classes (doc_id) by equal cells."""
@@ -230,8 +238,7 @@ class JaccardJoin:
                 # a cell that many classes of this task have goes on once, the others are tied to it here
                 first, ties = star(hashes, ids)
                 used, packed = by_bucket((hashes[first] % np.uint64(buckets)).astype(np.int32), buckets, hashes[first], ids[first])
-                rows = [pa.concat_arrays([pa.array([b""], pa.binary()), x]) for x in packed]
-                return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([-1], pa.int32()), used]), *rows, pa.array([ties.tobytes(), *[b""] * len(used)], pa.binary())], ["bucket", "hashes", "ids", "ties"])
+                return aside(ties, used, packed, ["hashes", "ids"], buckets)
 
             for batch in sliced(batches):
                 for doc_id, tokens in zip(batch["doc_id"].to_pylist(), shingle(texts_of(batch)), strict=True):
@@ -244,20 +251,16 @@ class JaccardJoin:
                 yield fold()
 
         def tie(group: pa.Table) -> pa.Table:
+            if group["bucket"][0].as_py() < 0:
+                pairs = np.unique(np.frombuffer(b"".join(group["ids"].to_pylist()), np.int64).reshape(-1, 2), axis=0)
+                return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
             hashes, ids = (np.frombuffer(b"".join(group[c].to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("ids", np.int64)))
             pairs = star(hashes, ids)[1]
             return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                pairs = np.frombuffer(b"".join(batch["ties"].to_pylist()), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
         # the marked classes grow with the corpus: merged at every size, never sent to all tasks
         texts = self.docs.join(marked.hint("merge"), "doc_id")
-        dealt = materialize(texts.mapInArrow(deal, "bucket int, hashes binary, ids binary, ties binary"), "jaccard-cells")
-        across = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(tie, "u long, v long")
-        return across.unionByName(dealt.where("bucket < 0").select("ties").mapInArrow(local, "u long, v long"))
+        return texts.mapInArrow(deal, "bucket int, hashes binary, ids binary").groupBy("bucket").applyInArrow(tie, "u long, v long")
 
     def sets(self, members: DataFrame, frequent) -> DataFrame:
         """members (doc_id, cluster, blocks) with the documents' ordered sets and a block."""
@@ -327,8 +330,9 @@ class JaccardJoin:
         count = places.groupBy("cluster", "part").count()
         main = count.groupBy("cluster").agg(F.max(F.struct("count", "part")).alias("m")).select("cluster", F.col("m.part").alias("main"))
         minor = places.join(main, "cluster").withColumn("minor", F.col("part") != F.col("main")).drop("main")
-        # minor documents go to every block of their cluster, some at a time; clusters of one part are done
-        turns = minor.where("minor").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
+        # minor documents go to all of their cluster, WIDE blocks together and some at a time; clusters of one part are done
+        minor = minor.withColumn("block", F.floor(F.col("block") / WIDE).cast("int")).withColumn("blocks", F.ceil(F.col("blocks") / WIDE).cast("int"))
+        turns = minor.where("minor").groupBy("cluster").agg(F.ceil(F.count("*") / (BLOCK * WIDE)).cast("int").alias("turns"))
         turns = materialize(turns, "jaccard-turns")
         if turns.isEmpty():
             return edges.limit(0)
