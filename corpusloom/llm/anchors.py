@@ -1,4 +1,4 @@
-"""Sampled suffixes of byte strings: anchors chosen by content, and hashes of any substring."""
+"""Sampled suffixes of strings of bytes or words: anchors chosen by content, and hashes of any substring."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from corpusloom.llm.hashing import mix64
 
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
-_BYTES = mix64(np.arange(256), 17)
+#: A random number for each byte.
+BYTES = mix64(np.arange(256), 17)
 
 
 class SubstringHashes:
-    """64-bit hashes of substrings of a buffer: equal substrings, wherever they stand, have equal hashes."""
+    """64-bit hashes of substrings of a buffer of random numbers, one for each symbol: equal substrings, wherever they stand, have equal hashes."""
 
     up = np.ones(1, np.uint64)
     down = np.ones(1, np.uint64)
@@ -23,7 +24,7 @@ class SubstringHashes:
                 powers = np.full(len(data) + 1, base, np.uint64)
                 powers[0] = 1
                 setattr(SubstringHashes, name, np.multiply.accumulate(powers))
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * self.up[: len(data)], dtype=np.uint64)))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * self.up[: len(data)], dtype=np.uint64)))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts]) + (ends - starts).astype(np.uint64)
@@ -35,7 +36,7 @@ class SubstringHashes:
 
 
 def anchors(data: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Cover all windows of `length` bytes of the texts data[first:last] by anchors.
+    """Cover all windows of `length` symbols of the texts data[first:last] by anchors.
 
     A window's anchor is the half-length substring in it of least hash, the leftmost of equal ones; equal windows have
     it at the same place. Returned for each run of windows that share an anchor: text, lo, hi (first and last window

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from corpusloom.llm.hashing import mix64
@@ -30,19 +32,30 @@ class Shingler:
         self.words, self.up, self.down = words, _powers(_BASE, 1), _powers(_BACK, 1)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out, part, size = [], [], 0
+        return [x for part in self._parts(texts) for x in self._sets(*self._words(part))]
+
+    def word_hashes(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text the hashes of its words, in order."""
+        out = []
+        for part in self._parts(texts):
+            words, at = self._words(part)
+            out += [words[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return out
+
+    def _parts(self, texts: list[str]) -> Iterator[list[bytes]]:
+        part, size = [], 0
         for text in texts:
             data = text.encode()
             if part and size + len(data) > TOGETHER:
-                out += self._part(part)
+                yield part
                 part, size = [], 0
             part.append(data)
             size += len(data) + 1
-        return out + self._part(part)
+        if part:
+            yield part
 
-    def _part(self, texts: list[bytes]) -> list[np.ndarray]:
-        if not texts:
-            return []
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, and where each text's begin and end."""
         data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
         if len(data) > len(self.up):
             self.up, self.down = _powers(_BASE, len(data)), _powers(_BACK, len(data))
@@ -51,8 +64,9 @@ class Shingler:
         starts, ends = edge[::2], edge[1::2]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * self.up[: len(data)], dtype=np.uint64)))
         words = mix64((sums[ends] - sums[starts]) * self.down[starts]) + (ends - starts).astype(np.uint64)
-        firsts = np.cumsum([1, *(len(t) + 1 for t in texts)])
-        at = np.searchsorted(starts, firsts)
+        return words, np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+
+    def _sets(self, words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         runs = words
         for k in range(1, self.words):
             runs = mix64(runs[: len(words) - k]) * np.uint64(_BASE) + words[k:]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -37,11 +38,38 @@ def test_against_brute_force(spark, monkeypatch, hot):
         texts.append("".join(parts))
     rows = [(i if i != 7 else None, t, 1) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
-    found = {r.doc_id: tuple(r)[1:] for r in remove_repeats(docs, length=40, keep_text=False).collect()}
-    wanted = dict(zip([r[0] for r in rows], brute(texts, 40), strict=True))
+    found = {r.doc_id: tuple(r)[1:] for r in remove_repeats(docs, length=40, passage=9, keep_text=False).collect()}
+    wanted = {r[0]: (*a, b) for r, a, b in zip(rows, brute(texts, 40), brute_words(texts, 10), strict=True)}
     assert found == wanted
 
 
+def brute_words(texts, n):
+    """Words covered by runs of n words that also start elsewhere."""
+    split = [(t or "").lower().split() for t in texts]  # the texts' letters beside a-z have no other case
+    seen = Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+    return [len({k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(i, i + n)}) for w in split]
+
+
+def test_op2_as_registered(spark):
+    """The registered query against brute force over a whole table."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    texts = [r.text for r in rows]
+    wanted = {r.doc_id: (*a, b) for r, a, b in zip(rows, brute(texts, 400), brute_words(texts, 51), strict=True)}
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.op2(spark, sf).collect()} == wanted
+
+
+def test_text_in_pieces(spark, monkeypatch):
+    """Texts longer than a piece, copies among them."""
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 50)
+    rng = random.Random(8)
+    long = "".join(rng.choices("ab ", k=3_000))
+    texts = [long, "x" + long[100:2_500], long, None, "b" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: tuple(r)[1:5] for r in remove_repeats(docs, length=40, keep_text=True).collect()}
+    assert found == dict(enumerate(brute(texts, 40)))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(docs, length=40).collect() == []
