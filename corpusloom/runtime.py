@@ -84,6 +84,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so once the driver's JVM has collected what stood for them, which a driver with little to do may put off for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size: for a table on disk, the bytes of its files. No job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
