@@ -230,7 +230,7 @@ class Repeats:
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = symbols()
-            for batch in sliced(batches):
+            for batch in sliced(batches, most=1 << 20):  # each byte may start a window of a very common run
                 cold: list[tuple] = []
                 very: list[tuple] = []
                 for row, tag, data, lo, hi, token, hot in zip(batch["row"].to_pylist(), batch["tag"].to_pylist(), own.symbols(texts_of(batch)), *(batch[c] for c in ("lo", "hi", "token", "hot")), strict=True):

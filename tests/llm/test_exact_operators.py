@@ -161,6 +161,44 @@ def test_top_k(spark):
     assert topk.exact_top_k(vectors.limit(0), vectors.limit(0)).collect() == []
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    from corpusloom.llm import blocks
+
+    for name, n in (("CANDIDATES", 90), ("QUERIES", 4), ("LEAST", 20)):
+        monkeypatch.setattr(blocks, name, n)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 7)) * np.array([9, 1, 1, 0.1, 0.1, 0.1, 0])
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10).toPandas()
+    v = np.floor(x * 1024).astype(np.int64)
+    for q in range(0, 1500, 100):
+        wanted = sorted((-int(c @ v[q]), i) for i, c in enumerate(v) if i != q)[:10]
+        assert [(-r.score, r.vec_id) for r in got[got.query_id == q].sort_values("rank").itertuples()] == wanted
+
+
+def test_no_random_access_stops_early():
+    """One heavy dimension: few entries tell the best. Random directions: the lists are read to their ends."""
+    rng = np.random.default_rng(6)
+    for scale, early in ((np.array([50, 1, 1, 1.0]), True), (np.ones(40), False)):
+        x = np.floor(rng.normal(size=(3000, len(scale))) * scale * 1024).astype(np.int64)
+        if early:
+            x[7, 0] = 60 * 1024
+        lists = topk.SortedLists(np.arange(3000), x)
+        sample = np.sort(np.delete(x, 7, 0)[:500] @ x[7])[-10]
+        q, v, s, read = topk.no_random_access(lists, np.array([7]), x[7:8] / 1024, np.array([sample]), 10)
+        wanted = sorted((-int(c @ x[7]), i) for i, c in enumerate(x) if i != 7)[:10]
+        assert list(zip((-s).tolist(), v.tolist())) == wanted
+        assert (read.max() < 1000) == early and (read.min() > 2000) != early
+
+
+def test_top_k_refuses_what_does_not_fit():
+    with pytest.raises(OverflowError):
+        topk.scaled(np.array([[1e300]]))
+    with pytest.raises(OverflowError):
+        topk.product(np.array([[2**40]]), np.array([[2**40]]))
+    assert topk.product(np.array([[2**30, 1]]), np.array([[2**31, 3]])).tolist() == [[2**61 + 3]]
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(order)}

@@ -71,11 +71,24 @@ def test_quality_edges(spark):
 
 def test_multi_index_is_exact():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 2**63, 700, dtype=np.uint64) & np.uint64(0xFFFFFF)
-    for bits, radius in ((24, 3), (24, 9), (24, 24)):
+    for bits in (24, 100):
+        codes = mih.encode(rng.normal(size=(700, bits)), np.eye(bits))
         index = mih.MultiIndex(codes, bits)
-        for q in codes[:20]:
-            assert set(index.within(q, radius).tolist()) == set(np.flatnonzero(np.bitwise_count(codes ^ q) <= radius).tolist())
+        for radius in (0, 1, 3, 7, 9, 24, 40, bits):
+            for q in codes[:20]:
+                assert set(index.within(q, radius).tolist()) == set(np.flatnonzero(np.bitwise_count(codes ^ q).sum(1) <= radius).tolist())
+
+
+def test_multi_index_prunes_where_neighbours_are_near():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(200, 64))
+    x = np.repeat(centres, 20, axis=0) + 0.25 * rng.normal(size=(4000, 64))
+    rotation, radius = mih.learn(x)
+    index = mih.MultiIndex(mih.encode(x, rotation), 128)
+    share = np.mean([len(index.probed(c, radius)) for c in index.codes[:100]]) / len(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = [len(set(index.within(index.codes[i], radius)) & set(np.argsort(-(unit @ unit[i]))[1:6])) for i in range(0, 4000, 40)]
+    assert share < 0.2 and np.mean(hits) / 5 >= 0.9
 
 
 def test_nearest_recall_and_edges(spark):
