@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialize, ship
+from corpusloom.runtime import materialize, qualified, scratch, ship
 
-#: Candidates and queries in a pair of blocks, about.
-CANDIDATES, QUERIES = 16_384, 1_024
+#: Candidates and queries in a pair of blocks, about; candidates in a block at the least, while blocks are fewer than tasks.
+CANDIDATES, QUERIES, LEAST = 16_384, 1_024, 2_048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -34,37 +38,74 @@ def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], values[order]
 
 
-def search(candidates: DataFrame, queries: DataFrame, find: Callable, k: int, score: str) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best, higher scores first, ties to the smaller vec_id.
+def search(candidates: DataFrame, queries: DataFrame, prepare: Callable, find: Callable, k: int, columns: str, least) -> DataFrame:
+    """query_id, rank, vec_id and columns (score first) of each query's k best, higher scores first, ties to the smaller vec_id.
 
-    find(ids, vectors, query_ids, query_vectors, k) returns arrays (query_id, vec_id, score) with at least each
-    query's k best of the block. Blocks are dealt by a hash of vec_id and paired with every block of queries by an
-    equal key; no task holds more than one pair of blocks, and k rows a query and block are what leaves it.
+    Candidates are dealt to blocks by a hash of vec_id, once. A block's index, prepare(ids, vectors), is built once and
+    written to the shared folder; a task reads it for each block of queries. find(index, query_ids, query_vectors,
+    thresholds, k) returns columns by name with at least each query's k best of the block among those that score at
+    least its threshold. The thresholds are the queries' k-th best scores in the first block, `least` where it has
+    fewer. No task holds more than a block's index and a block of queries, and k rows a query and block are what
+    leaves it.
     """
     spark = candidates.sparkSession
     ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    score = columns.split()[0]
+    schema = f"query_id long, vec_id long, {columns}"
     # a query comes once: of rows that repeat a vec_id, the smallest vector asks
-    asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    across, down = max(parts, -(-candidates.count() // CANDIDATES)), max(1, -(-queries.count() // QUERIES))
-
-    def deal(frame: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return frame.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
-
-    left = deal(candidates, "cb", across, "qb", down).groupBy("cb", "qb")
-    right = deal(asked, "qb", down, "cb", across).groupBy("cb", "qb")
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            q, v, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64 if score == "long" else np.float64)
-        else:
-            q, v, s = find(*matrix(a), *matrix(b), k)
-        return pa.table({"query_id": q, "vec_id": v, "score": s})
-
-    local = left.cogroup(right).applyInArrow(run, f"query_id long, vec_id long, score {score}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    asked = materialize(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    across, down = max(1, -(-candidates.count() // CANDIDATES)), max(1, -(-asked.count() // QUERIES))
+    # small blocks while there are fewer than tasks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across = max(across, min(parts, -(-candidates.count() // LEAST)))
+    folder = qualified(spark, scratch(spark, "indexes"))
+    store, place = fs.FileSystem.from_uri(folder)
+    store.create_dir(place, recursive=True)
+
+    def build(group: pa.Table) -> pa.Table:
+        block = group["cb"][0].as_py()
+        data = pickle.dumps(prepare(*matrix(group)), protocol=5)
+        store, place = fs.FileSystem.from_uri(folder)
+        draft = f"{place}/.{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(draft) as out:
+            out.write(data)
+        store.move(draft, f"{place}/{block:06d}.idx")
+        return pa.table({"cb": pa.array([block], pa.int32()), "rows": pa.array([group.num_rows], pa.int64())})
+
+    dealt = candidates.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit("cb")), F.lit(across)).cast("int").alias("cb"))
+    built = sorted(r.cb for r in dealt.groupBy("cb").applyInArrow(build, "cb int, rows long").select("cb").collect())
+
+    def run(group: pa.Table) -> pa.Table:
+        index = load(folder, group["cb"][0].as_py())
+        order = np.argsort(group["vec_id"].to_numpy(), kind="stable")
+        ids, vectors = matrix(group)
+        return pa.table(find(index, ids, vectors, group["least"].to_numpy()[order], k))
+
+    def against(wanted: list[int], asking: DataFrame) -> DataFrame:
+        spread = asking.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit("qb")), F.lit(down)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(min(wanted)), F.lit(max(wanted)))))
+        if len(wanted) <= max(wanted) - min(wanted):  # blocks that no vector fell into
+            spread = spread.where(~F.col("cb").isin(sorted(set(range(min(wanted), max(wanted))) - set(wanted))))
+        return spread.groupBy("cb", "qb").applyInArrow(run, schema)
+
+    if not built:
+        return spark.createDataFrame([], f"query_id long, rank int, vec_id long, {columns}")
+    order = Window.partitionBy("query_id").orderBy(F.desc(score), "vec_id")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = materialize(best(against(built[:1], asked.withColumn("least", F.lit(least)))), "first-block")
+    if len(built) > 1:
+        kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col(score).alias("least"))
+        asking = asked.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(least)))
+        found = best(found.drop("rank").unionByName(against(built[1:], asking)))
+    names = [c.split()[0] for c in columns.split(", ")]
+    return found.select("query_id", "rank", "vec_id", *names)
+
+
+@lru_cache(maxsize=1)
+def load(folder: str, block: int):
+    """A block's index; a worker keeps the last one."""
+    store, place = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{place}/{block:06d}.idx") as f:
+        return pickle.loads(f.read())
 
 
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

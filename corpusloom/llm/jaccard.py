@@ -32,13 +32,13 @@ from corpusloom.llm.components import components
 from corpusloom.llm.hashing import mix64
 from corpusloom.llm.shingles import Shingler
 from corpusloom.llm.trie import link, needed
-from corpusloom.runtime import materialize, parts_for, ship
+from corpusloom.runtime import materialize, parts_for, release, ship
 
 #: Tokens in this many prefixes or more count as frequent, and how many of them the order knows (the most frequent).
 #: Both only steer the work: any order finds every link.
 FREQUENT, KNOWN = 8, 200_000
 #: Sets in a task's block, pivots that all blocks of a group have in common, blocks that are compared together with the documents outside the largest part.
-BLOCK, PIVOTS, WIDE = 256, 16, 4
+BLOCK, PIVOTS, WIDE = 224, 16, 4
 #: Classes that share a token up to which they are counted in pairs; more are marked.
 FEW = 16
 #: Bytes of the table on disk for which there is one part at least.
@@ -303,7 +303,9 @@ class JaccardJoin:
         ties, marked = self.ties(classes)
         if not marked.isEmpty():
             ties = ties.unionByName(self.cell_ties(marked, frequent))
+        release(self.spark)
         clusters = components(ties).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster")
+        release(self.spark)
         sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         members = self.sets(clusters.join(sizes, "cluster"), frequent)
         members = materialize(members.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "jaccard-members")

@@ -1,9 +1,11 @@
 """Exact top-k search by aggregation of sorted lists without random access.
 
 Every dimension's values stand in a sorted list. A query reads the lists of its positive weights from the top and
-those of its negative weights from the bottom, in steps. A candidate's score lies between what has been read of it
-plus the least that its unread lists can add, and the same plus what the lists' frontiers allow. Reading stops when
-no candidate outside a small set can reach the k-th best lower bound; that set's scores are then resolved.
+those of its negative weights from the bottom, all to the same depth. A candidate's score lies between what has been
+read of it plus the least that its unread lists can add, and the same plus what the lists' frontiers allow. A query
+has a threshold from the start, its k-th best score in a first block of candidates, which all other blocks share. It
+reads until no unseen candidate can reach the threshold, then until few seen ones can; those read their remaining
+lists, and their scores are final. A query whose frontiers stay too high reads its lists to the end.
 """
 
 from __future__ import annotations
@@ -14,62 +16,88 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks
 
-#: Parts of the lists' length after which the bounds are compared.
-STEPS = (0.25, 0.5, 0.75, 1.0)
-#: Queries that read the lists together.
-TOGETHER = 64
+#: Parts of the lists at whose ends the frontiers are looked at.
+STEPS = 64
 
 
-def no_random_access(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, query_vectors: np.ndarray, k: int):
-    values, weights = np.floor(vectors * 1024).astype(np.int64), np.floor(query_vectors * 1024).astype(np.int64)
-    n, dims = values.shape
-    lists = np.argsort(values, axis=0, kind="stable").T  # for each dimension the candidates in ascending order
-    listed = np.take_along_axis(values.T, lists, axis=1)
+class SortedLists:
+    """The lists of a block of candidates."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = ids, values
+        n, dims = values.shape
+        order = np.argsort(values, axis=0, kind="stable")
+        self.listed = np.take_along_axis(values, order, axis=0)  # each dimension's values in ascending order
+        self.place = np.empty((n, dims), np.int64)  # a candidate's place in each list
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n)[:, None], (n, dims)), axis=0)
+        #: Entries read of each list before the frontiers are looked at.
+        self.depths = np.unique(-(-n * np.arange(1, STEPS) // STEPS)) if n else np.zeros(0, np.int64)
+        self.depths = self.depths[self.depths < n]
+
+    def frontiers(self, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """For queries (weights above and below 0) and depths, what a candidate that no list has shown can score at most."""
+        n = len(self.ids)
+        return up @ self.listed[n - 1 - self.depths].T + down @ self.listed[self.depths].T
+
+    def read(self, weights: np.ndarray, threshold: int, first: int, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and scores of the candidates that can reach the threshold, and the depth read for them; `first` is the first of the depths at which no unseen one can."""
+        n = len(self.ids)
+        up, down = np.maximum(weights, 0), np.minimum(weights, 0)
+        for at in range(first, len(self.depths)):
+            depth = int(self.depths[at])
+            seen = np.where(weights > 0, self.place >= n - depth, (self.place < depth) & (weights < 0))
+            high = (self.values * seen) @ weights + ~seen @ (up * self.listed[n - 1 - depth] + down * self.listed[depth])
+            alive = np.flatnonzero((high >= threshold) & seen.any(1) & (self.ids != own))
+            if len(alive) <= max(4 * k, n // 16):
+                # their remaining lists are read on, for them alone
+                score = (self.values[alive] * seen[alive]) @ weights + (self.values[alive] * ~seen[alive]) @ weights
+                return alive, score, depth
+        alive = np.flatnonzero(self.ids != own)
+        return alive, self.values[alive] @ weights, n
+
+
+def no_random_access(lists: SortedLists, query_ids: np.ndarray, query_vectors: np.ndarray, thresholds: np.ndarray, k: int):
+    """query_id, vec_id, score and read (entries read of each list) of at least each query's k best that reach its threshold."""
+    weights = scaled(query_vectors)
+    if not len(lists.ids):
+        return (np.zeros(0, np.int64),) * 4
+    up, down = np.maximum(weights, 0), np.minimum(weights, 0)
+    reached = lists.frontiers(up, down) < thresholds[:, None] if len(lists.depths) else np.zeros((len(weights), 0), bool)
+    first = np.where(reached.any(1), reached.argmax(1) if reached.shape[1] else 0, len(lists.depths))
+    whole = np.flatnonzero(first == len(lists.depths))
     out = []
-    for first in range(0, len(query_ids), TOGETHER):
-        asked, w = query_ids[first : first + TOGETHER], weights[first : first + TOGETHER]
-        own = ids[None, :] == asked[:, None]
-        seen_sum = np.zeros((len(asked), n), np.int64)
-        unread = np.ones((2, dims, n))  # from the top, from the bottom
-        up, down = np.maximum(w, 0), np.minimum(w, 0)
-        done, waiting = 0, np.ones(len(asked), bool)
-        for step in STEPS:
-            depth = n if step == 1 else int(n * step)
-            for d in range(dims):
-                for side, part, block in ((0, w[:, d] > 0, slice(n - depth, n - done)), (1, w[:, d] < 0, slice(done, depth))):
-                    who = np.flatnonzero(part & waiting)
-                    here = lists[d, block]
-                    if len(who) and len(here):
-                        seen_sum[np.ix_(who, here)] += w[who, d, None] * listed[d, block][None]
-                    unread[side, d, here] = 0
-            done = depth
-            rows = np.flatnonzero(waiting)
-            if depth == n:
-                high = low = seen_sum[rows]
-            else:
-                frontier, least = (listed[:, n - depth - 1], listed[:, depth]), (listed[:, 0], listed[:, -1])
-                high = seen_sum[rows] + np.ceil((up[rows] * frontier[0]) @ unread[0] + (down[rows] * frontier[1]) @ unread[1])
-                low = seen_sum[rows] + np.floor((up[rows] * least[0]) @ unread[0] + (down[rows] * least[1]) @ unread[1])
-            for r, hi, lo in zip(rows, high, low, strict=True):
-                free = ~own[r]
-                lows = lo[free]
-                if depth < n:
-                    if len(lows) <= k:
-                        continue
-                    kth = np.partition(lows, len(lows) - k)[len(lows) - k]
-                    alive = np.flatnonzero(free & (hi >= kth))
-                    if len(alive) > max(4 * k, n // 20):
-                        continue
-                    scores = values[alive] @ w[r]
-                else:
-                    alive = np.flatnonzero(free)
-                    scores = seen_sum[r, alive]
-                best = blocks.top(scores, ids[alive], k)
-                out.append((np.full(len(best), asked[r]), ids[alive][best], scores[best]))
-                waiting[r] = False
-            if not waiting.any():
-                break
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    for part in (whole[i : i + 64] for i in range(0, len(whole), 64)):
+        # to the end of every list: all scores are final
+        scores = product(lists.values, weights[part])
+        for q, row in zip(part, scores.T, strict=True):
+            alive = np.flatnonzero((lists.ids != query_ids[q]) & (row >= thresholds[q]))
+            best = alive[blocks.top(row[alive], lists.ids[alive], k)]
+            out.append((np.full(len(best), query_ids[q]), lists.ids[best], row[best], np.full(len(best), len(lists.ids))))
+    for q in np.flatnonzero(first < len(lists.depths)):
+        alive, score, depth = lists.read(weights[q], int(thresholds[q]), int(first[q]), int(query_ids[q]), k)
+        keep = score >= thresholds[q]
+        alive, score = alive[keep], score[keep]
+        best = blocks.top(score, lists.ids[alive], k)
+        out.append((np.full(len(best), query_ids[q]), lists.ids[alive[best]], score[best], np.full(len(best), depth)))
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+
+
+def product(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Integer products, in floats where those are exact."""
+    most = np.abs(values).max(initial=0).astype(float) * np.abs(weights).max(initial=0).astype(float) * values.shape[1]
+    if most < 2**52:
+        return (values.astype(np.float64) @ weights.astype(np.float64).T).astype(np.int64)
+    if most >= 2**63:
+        raise OverflowError("an inner product does not fit 64 bits")
+    return values @ weights.T
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """floor(1024 * x); a component that does not fit 64 bits is an error."""
+    out = np.floor(vectors * 1024)
+    if np.abs(out).max(initial=0) >= 2**62:
+        raise OverflowError("a component times 1024 does not fit 64 bits")
+    return out.astype(np.int64)
 
 
 def exact_top_k(candidates: DataFrame, queries: DataFrame, *, k: int = 10) -> DataFrame:
@@ -78,14 +106,25 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, *, k: int = 10) -> Da
     Both need vec_id and embedding; components become floor(1024 * x). A candidate with the query's own vec_id is
     left out. Vectors that are null, empty, of another length than most, or hold null or non-finite components take
     no part, nor do rows without vec_id. Repeated rows are candidates each; a repeated query asks once. Fewer than k
-    candidates: all of them. Ties go to the smaller vec_id. Empty tables: no rows.
+    candidates: all of them. Ties go to the smaller vec_id. Empty tables: no rows. Products beyond 64 bits: an error.
+    read is the number of entries of each list that the row's block was read to, entries the lists' length there.
     """
-    return blocks.search(blocks.usable(candidates), blocks.usable(queries), no_random_access, k, "long")
+    least = -(2**62)
+
+    def prepare(ids, vectors):
+        return SortedLists(ids, scaled(vectors))
+
+    def find(lists, query_ids, query_vectors, thresholds, k):
+        q, v, s, read = no_random_access(lists, query_ids, query_vectors, thresholds, k)
+        return {"query_id": q, "vec_id": v, "score": s, "read": read, "entries": np.full(len(q), len(lists.ids))}
+
+    return blocks.search(blocks.usable(candidates), blocks.usable(queries), prepare, find, k, "score long, read long, entries long", least)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """exact_top_k over embeddings, asked by every vec_id divisible by 100. Nulls, ties, repeated rows and empty tables as there; other columns are not looked at."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0)).select("query_id", "rank", "vec_id", "score")
 
 
 OP4_SQL = """
