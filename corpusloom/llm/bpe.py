@@ -197,6 +197,7 @@ def decode_documents(encoded: DataFrame, *, path: str, pattern: str) -> DataFram
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """encode_documents over documents. Nulls, empty and very long texts, repeated rows and empty tables as there; other columns are not looked at."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -205,7 +205,7 @@ class JaccardJoin:
             marked = np.unique(ids[many])
             tokens, ids, n = tokens[~many], ids[~many], n[~many]
             out = [np.stack([marked, marked, np.ones(len(marked), np.int64)], 1)]
-            for step in range(1, FEW):
+            for step in range(1, min(FEW, len(tokens))):
                 a, b = slice(0, len(tokens) - step), slice(step, None)
                 at = np.flatnonzero((tokens[b] == tokens[a]) & (100 * n[a] >= percent * n[b]) & (ids[b] != ids[a]))
                 x, y = n[at], n[at + step]

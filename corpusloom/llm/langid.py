@@ -8,13 +8,13 @@ character; a temperature and a limit for rejection are calibrated on training do
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +22,8 @@ from corpusloom.llm.batches import sliced, texts_of
 from corpusloom.llm.hashing import mix64
 from corpusloom.runtime import ship
 
-#: Letters only: what word characters are without digits and the underscore.
-LETTERS = re.compile(r"[^\W\d_]+").findall
+#: Runs of letters, of Unicode category L: neither digits nor other numbers such as \u00b2 or \u2167.
+LETTERS = regex.compile(r"\p{L}+").findall
 START, END = 2, 3
 
 
@@ -135,10 +135,9 @@ class LanguageModels:
         accepted = lowest <= (self.limits[best] if self.limits is not None else np.inf)
         return best, score, lowest, accepted
 
-    def calibrate(self, texts: list[str], langs: list[str], keep: float = 0.999) -> None:
-        """Temperature of least log loss; per language the cross-entropy that a share `keep` of its texts stays under."""
-        scorer = Scorer(self)
-        totals = scorer.totals(texts)
+    def calibrate(self, totals: np.ndarray, langs: list[str], keep: float = 0.999) -> None:
+        """From summed word_scores of texts and their languages: temperature of least log loss; per language the cross-entropy that a share `keep` of its texts stays under."""
+        totals = totals.reshape(-1, len(self.langs) + 1)
         used = totals[:, -1] > 0
         truth = np.array([self.langs.index(x) if x in self.langs else -1 for x in langs])
         used &= truth >= 0
@@ -237,8 +236,17 @@ def train(labelled: DataFrame, *, per_lang: int = 2_000, order: int = 4) -> Lang
         words.setdefault(lang, Counter())[word] = n
     words = {lang: c for lang, c in words.items() if c} or {lang: Counter(["a"]) for lang in sizes}
     models = LanguageModels.fit(words, order)
-    kept = chosen.where(fifth & (F.col("key") < 200_000 * share[F.col("lang")])).select("text", "lang").collect()
-    models.calibrate([r["text"] for r in kept], [r["lang"] for r in kept])
+    # scored where they are: what comes to the driver is a number a language for each, and the sample's size is bounded
+    shared = labelled.sparkSession.sparkContext.broadcast(models)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(scorer.totals(texts_of(batch)).tolist(), pa.list_(pa.float64()))], ["lang", "totals"])
+
+    kept = chosen.where(fifth & (F.col("key") < 200_000 * share[F.col("lang")])).select("text", "lang")
+    measured = kept.mapInArrow(measure, "lang string, totals array<double>").toArrow()
+    models.calibrate(np.array(measured["totals"].to_pylist(), np.float64), measured["lang"].to_pylist())
     return models
 
 
@@ -246,7 +254,7 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, accepted of each row of docs (doc_id, text; other columns are not looked at).
 
     lang_pred is a learned language, or `und` with score 0 where the text is null or has no letters, or where nothing
-    was learned. accepted is false where the cross-entropy is above the language's calibrated limit: text of no learned
+    was learned. Very long texts are scored whole. Empty table: no rows. accepted is false where the cross-entropy is above the language's calibrated limit: text of no learned
     language. Ties go to the first language by name. Null doc_id and repeated rows pass through.
     """
     spark = docs.sparkSession
@@ -273,6 +281,7 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """identify over documents, learned from those whose crc32(doc_id) mod 4 is not 2; held_out tells the others. A null doc_id counts as empty text. Nulls, texts without letters, ties, repeated rows and empty tables as in train and identify; source and other columns are not looked at."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     models = train(docs.where(remainder(F.col("doc_id"), 4) != 2))
     found = identify(docs, models)

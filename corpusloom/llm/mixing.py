@@ -55,12 +55,13 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     is taken whole as often as it fits, and the rest comes from the documents with the smallest keys, the last one
     in part. cap bounds repeats, so no document gives more than ceil(cap) times its size.
 
-    Null text: size 0, nothing taken. Null source: a source of its own, last. Null doc_id: one key for all such
-    rows. Equal keys are ordered by doc_id and size, so repeated rows give the same rows in any order. Empty table:
+    Null text: size 0, nothing taken. Null source: a source of its own, last. Null doc_id: the key is of the text.
+    Equal keys are ordered by doc_id and size, so repeated rows give the same rows in any order. Empty table:
     no rows. A source without words gets target 0.
     """
     spark = docs.sparkSession
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    unnamed = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unnamed.alias("_unnamed")), "mix-sizes")
     targets = materialize(source_targets(sized, weights=weights, share=share, cap=cap), "mix-targets").withColumnRenamed("source", "_source")
     #: As many ranges of each source as keep all tasks of the session's shuffles busy.
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -70,7 +71,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
         .drop("_source")
         .withColumn("epochs", whole)
         .withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
-        .withColumn("key", F.md5(F.concat_ws("|", F.lit(seed), F.col("epochs"), F.col("doc_id")).cast("binary")))
+        .withColumn("key", F.md5(F.concat_ws("|", F.lit(seed), F.col("epochs"), F.col("doc_id"), F.col("_unnamed")).cast("binary")))
         .withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * ranges).cast("int"))
     )
     totals = keyed.groupBy("sid", "range").agg(F.sum("size").alias("range_size"))
@@ -100,13 +101,14 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """mix_sources over documents. Nulls, empty texts, ties, repeated rows and empty tables as there; other columns are not looked at."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS unnamed FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM sized GROUP BY source
 ), weighted AS (
@@ -121,7 +123,7 @@ WITH sized AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), placed AS (
   SELECT *, round(target)::BIGINT - epochs * source_size AS rest,
-    coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 'mix', epochs, doc_id)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 'mix', epochs, doc_id, unnamed)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM keyed
 )
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM placed

@@ -137,7 +137,7 @@ def score(docs: DataFrame, ranker: PairwiseRanker) -> DataFrame:
     """doc_id, score, predicted of each row of docs (doc_id, text; other columns are not looked at).
 
     Null and empty texts have the features of no words and a score as any other. Null doc_id and repeated rows pass
-    through. predicted is 1 where the score reaches the ranker's threshold.
+    through, equal texts have equal scores, very long texts are looked at whole. Empty table: no rows. predicted is 1 where the score reaches the ranker's threshold.
     """
     ship(docs.sparkSession)
 
@@ -150,7 +150,7 @@ def score(docs: DataFrame, ranker: PairwiseRanker) -> DataFrame:
 
 
 def select_good(docs: DataFrame, ranker: PairwiseRanker) -> DataFrame:
-    """The rows of docs that score() predicts 1, with all their columns."""
+    """The rows of docs (text and any other columns) that score() predicts 1, with all their columns; nulls, empty texts and repeated rows as there."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +168,7 @@ def known_labels(spark, sf_dir: str) -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """score over documents, learned from the labels whose crc32(doc_id) mod 5 is not 0; held_out tells the others. A null doc_id counts as empty text. Nulls, empty texts, repeated rows and empty tables as in train and score; lang, source and other columns are not looked at."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = score(docs, train(docs, known_labels(spark, sf_dir)))
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
