@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -158,6 +159,38 @@ def read_train_bytes(path: str) -> int:
         return TOKENIZER.train_bytes
 
 
+def merge_piece(piece: bytes, ids: dict[bytes, int]) -> list[int]:
+    """The ids of a pre-token: of all adjacent pairs whose union has an id, the one of least id is merged, the leftmost of equal ones, until there is none.
+
+    A heap holds the pairs and tokens know their neighbours, so a piece of n bytes takes n log n steps.
+    """
+    tokens: list[bytes] = [piece[i : i + 1] for i in range(len(piece))]
+    left, right = list(range(-1, len(piece) - 1)), [*range(1, len(piece)), -1]
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        union = tokens[a] + tokens[b]
+        if union in ids:
+            heapq.heappush(heap, (ids[union], a, len(union)))
+
+    for i in range(len(piece) - 1):
+        offer(i, i + 1)
+    while heap:
+        found, a, size = heapq.heappop(heap)
+        b = right[a]
+        # a pair that has changed since it was pushed is another one now
+        if not tokens[a] or b < 0 or len(tokens[a]) + len(tokens[b]) != size or ids.get(tokens[a] + tokens[b]) != found:
+            continue
+        tokens[a], tokens[b] = tokens[a] + tokens[b], b""
+        right[a] = after = right[b]
+        if after >= 0:
+            left[after] = a
+            offer(a, after)
+        if left[a] >= 0:
+            offer(left[a], a)
+    return [ids[t] for t in tokens if t]
+
+
 def encode_column(ranks: dict[bytes, int]):
     """An Arrow UDF text -> ids of a trained vocabulary, merging by token id; specials never arise from text."""
     import regex
@@ -169,22 +202,13 @@ def encode_column(ranks: dict[bytes, int]):
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         split, known = regex.compile(PRETOKEN).findall, {}
 
-        def piece(text: str) -> list[int]:
-            parts = [bytes([b]) for b in text.encode()]
-            while len(parts) > 1:
-                rank, at = min((usable.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-                if rank == 1 << 40:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return [usable[p] for p in parts]
-
         def ids(text: str | None) -> list[int]:
             out = []
             for p in split(text or ""):
                 if p not in known:
                     if len(known) > 200_000:
                         known.clear()
-                    known[p] = piece(p)
+                    known[p] = merge_piece(p.encode(), usable)
                 out += known[p]
             return out
 

@@ -355,3 +355,19 @@ def test_shard_numbers_with_nulls(spark):
     rows = [("a", 1, "xxxx"), ("a", 2, "xx"), ("a", 3, "x"), ("a", 3, "y"), ("a", None, "first"), (None, 1, "xxxxxx"), (None, 2, "x"), (None, None, None)]
     got = jsonl.shard_numbers(spark.createDataFrame(rows, "source string, doc_id long, text string"), "source", "doc_id", shard_bytes=5)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([("a", None, "first", 0), ("a", 1, "xxxx", 1), ("a", 2, "xx", 1), ("a", 3, "x", 2), ("a", 3, "y", 2), (None, None, None, 0), (None, 1, "xxxxxx", 0), (None, 2, "x", 1)], key=repr)
+
+
+def test_merge_piece_against_rescanning():
+    rng = random.Random(9)
+    for _ in range(300):
+        ids = {bytes([b]): b for b in b"abc"}
+        for n in range(rng.randint(0, 25)):
+            a, b = rng.choice(list(ids)), rng.choice(list(ids))
+            ids.setdefault(a + b, 300 + n)
+        piece = bytes(rng.choices(b"abc", k=rng.randint(1, 40)))
+        parts = [bytes([b]) for b in piece]
+        while pairs := [(ids[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ids]:
+            at = min(pairs)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        assert bpe_training.merge_piece(piece, ids) == [ids[p] for p in parts]
+    assert bpe_training.merge_piece(b"", {}) == [] and len(bpe_training.merge_piece(b"ab" * 200_000, {b"a": 0, b"b": 1, b"ab": 2})) == 200_000
