@@ -120,8 +120,8 @@ def write_shards(docs: DataFrame, path: str, by: str = "source") -> None:
     docs.select(by, "shard", "text").write.mode("append").partitionBy(by, "shard").json(path)
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, digest (BLAKE2b-128 of the bytes) of files; prune by length before asking for digests."""
+def file_fingerprints(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
+    """path, length, digest (BLAKE2b-128 of the bytes) of files; with length, of files of that size only: the others are not read."""
     import hashlib
 
     @F.pandas_udf("string")
@@ -129,7 +129,15 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             yield batch.map(lambda b: hashlib.blake2b(b, digest_size=16).hexdigest())
 
-    return spark.read.format("binaryFile").load(path).select("path", "length", digest("content").alias("digest"))
+    files = spark.read.format("binaryFile").load(path)
+    files = files if length is None else files.where(F.col("length") == length)
+    return files.select("path", "length", digest("content").alias("digest"))
+
+
+def copies_of(spark: SparkSession, path: str, file: str) -> DataFrame:
+    """path of the files under path that have the same bytes as file; only those of its size are read."""
+    wanted = file_fingerprints(spark, file).first()
+    return file_fingerprints(spark, path, wanted.length).where(F.col("digest") == wanted.digest).select("path")
 
 
 def held_out(docs: DataFrame, path: str, source: str) -> dict:

@@ -135,3 +135,31 @@ def test_read_corpus_by_source_prefix(spark, tmp_path):
     read = lambda prefix: sorted(r.text for r in jsonl.read_corpus(spark, str(tmp_path), prefix=prefix).collect())
     assert read("wiki_vi_") == ["wiki_vi_0001", "wiki_vi_0002"]
     assert read("w*_") == ["w*_0001"] and len(read("")) == 4
+
+
+def test_run_spec_and_diagnostic_suite(spark, tmp_path):
+    spec = suites.run_spec(checkpoint_step=7, checkpoint_fingerprint="c", seeds=(1, 2), max_new=5)
+    assert spec["fingerprint"] == hashing.fingerprint_json({k: v for k, v in spec.items() if k != "fingerprint"})
+    assert spec["fingerprint"] != suites.run_spec(checkpoint_step=7, checkpoint_fingerprint="c", seeds=(1, 3), max_new=5)["fingerprint"]
+    with pytest.raises(ValueError, match="negative"):
+        suites.run_spec(checkpoint_step=7, checkpoint_fingerprint="c", seeds=(1,), max_new=-1)
+    suite = {"purpose": "diagnostic", "eligible_for_final_claims": False, "used_for_sampling_tuning": True, "prompts": [{"id": "1", "group": "g", "text": "t"}]}
+    (tmp_path / "a.json").write_text(json.dumps(suite))
+    assert suites.read_diagnostic_suite(spark, str(tmp_path / "a.json")).count() == 1
+    (tmp_path / "b.json").write_text(json.dumps(suite | {"purpose": "final"}))
+    with pytest.raises(ValueError, match="diagnostic"):
+        suites.read_diagnostic_suite(spark, str(tmp_path / "b.json"))
+
+
+def test_copies_of(spark, tmp_path):
+    for name, data in (("a", "x" * 50), ("b", "y" * 50), ("c", "x" * 50), ("d", "x" * 51)):
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / name).write_text(data)
+    (tmp_path / "own").write_text("x" * 50)
+    assert sorted(r.path[-1] for r in jsonl.copies_of(spark, str(tmp_path / "files"), str(tmp_path / "own")).collect()) == ["a", "c"]
+
+
+def test_corpus_files_are_numbered(spark, tmp_path):
+    for name in ("b_0002", "a_0001", "b_0001"):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"text": name}))
+    assert {r.text: r.file_no for r in jsonl.read_corpus(spark, str(tmp_path)).collect()} == {"a_0001": 0, "b_0001": 1, "b_0002": 2}
