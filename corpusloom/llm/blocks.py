@@ -17,6 +17,8 @@ from corpusloom.runtime import materialize, qualified, scratch, ship
 
 #: Candidates and queries in a pair of blocks, about; candidates in a block at the least, while blocks are fewer than tasks.
 CANDIDATES, QUERIES, LEAST = 16_384, 1_024, 2_048
+#: Parts that pairs of blocks are dealt to, at the most; more pairs share parts.
+MOST_PARTS = 20_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -85,7 +87,8 @@ def search(candidates: DataFrame, queries: DataFrame, prepare: Callable, find: C
         spread = asking.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit("qb")), F.lit(down)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(min(wanted)), F.lit(max(wanted)))))
         if len(wanted) <= max(wanted) - min(wanted):  # blocks that no vector fell into
             spread = spread.where(~F.col("cb").isin(sorted(set(range(min(wanted), max(wanted))) - set(wanted))))
-        return spread.groupBy("cb", "qb").applyInArrow(run, schema)
+        # few bytes make much work: a stated number of parts, which the planner does not merge by their bytes
+        return spread.repartition(max(parts, min(len(wanted) * down, MOST_PARTS)), "cb", "qb").groupBy("cb", "qb").applyInArrow(run, schema)
 
     if not built:
         return spark.createDataFrame([], f"query_id long, rank int, vec_id long, {columns}")

@@ -5,7 +5,7 @@ those of its negative weights from the bottom, all to the same depth. A candidat
 read of it plus the least that its unread lists can add, and the same plus what the lists' frontiers allow. A query
 has a threshold from the start, its k-th best score in a first block of candidates, which all other blocks share. It
 reads until no unseen candidate can reach the threshold, then until few seen ones can; those read their remaining
-lists, and their scores are final. A query whose frontiers stay too high reads its lists to the end.
+lists, and their scores are final. A query whose frontiers stay too high for half its lists reads them to the end.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks
 
-#: Parts of the lists at whose ends the frontiers are looked at.
-STEPS = 64
+#: Parts of the lists at whose ends the frontiers are looked at, and how many of them a query compares bounds in: once
+#: half its lists are read, reading on to the ends takes less than comparing.
+STEPS, COMPARED = 64, 32
+#: Candidates whose bounds are looked at before all others'.
+PROBE = 256
 
 
 class SortedLists:
@@ -31,7 +34,7 @@ class SortedLists:
         self.place = np.empty((n, dims), np.int64)  # a candidate's place in each list
         np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n)[:, None], (n, dims)), axis=0)
         #: Entries read of each list before the frontiers are looked at.
-        self.depths = np.unique(-(-n * np.arange(1, STEPS) // STEPS)) if n else np.zeros(0, np.int64)
+        self.depths = np.unique(-(-n * np.arange(1, COMPARED + 1) // STEPS)) if n else np.zeros(0, np.int64)
         self.depths = self.depths[self.depths < n]
 
     def frontiers(self, up: np.ndarray, down: np.ndarray) -> np.ndarray:
@@ -39,21 +42,30 @@ class SortedLists:
         n = len(self.ids)
         return up @ self.listed[n - 1 - self.depths].T + down @ self.listed[self.depths].T
 
-    def read(self, weights: np.ndarray, threshold: int, first: int, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Places and scores of the candidates that can reach the threshold, and the depth read for them; `first` is the first of the depths at which no unseen one can."""
+    def high(self, rows: slice, weights: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the candidates of rows, what each can score at most after reading to a depth, and which lists have shown it."""
         n = len(self.ids)
-        up, down = np.maximum(weights, 0), np.minimum(weights, 0)
-        for at in range(first, len(self.depths)):
+        place, up, down = self.place[rows], np.maximum(weights, 0), np.minimum(weights, 0)
+        seen = np.where(weights > 0, place >= n - depth, (place < depth) & (weights < 0))
+        return (self.values[rows] * seen) @ weights + ~seen @ (up * self.listed[n - 1 - depth] + down * self.listed[depth]), seen
+
+    def read(self, weights: np.ndarray, threshold: int, first: int, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Places and scores of the candidates that can reach the threshold, and the depth read for them; `first` is the first of the depths at which no unseen one can. None: too many can at all depths."""
+        n, at = len(self.ids), first
+        few = max(4 * k, n // 16)
+        while at < len(self.depths):
             depth = int(self.depths[at])
-            seen = np.where(weights > 0, self.place >= n - depth, (self.place < depth) & (weights < 0))
-            high = (self.values * seen) @ weights + ~seen @ (up * self.listed[n - 1 - depth] + down * self.listed[depth])
-            alive = np.flatnonzero((high >= threshold) & seen.any(1) & (self.ids != own))
-            if len(alive) <= max(4 * k, n // 16):
-                # their remaining lists are read on, for them alone
-                score = (self.values[alive] * seen[alive]) @ weights + (self.values[alive] * ~seen[alive]) @ weights
-                return alive, score, depth
-        alive = np.flatnonzero(self.ids != own)
-        return alive, self.values[alive] @ weights, n
+            # the first candidates, dealt by a hash as all are, tell whether the others' bounds are worth a look
+            high, _ = self.high(slice(0, PROBE), weights, depth)
+            if (high >= threshold).mean() * n <= 2 * few:
+                high, seen = self.high(slice(None), weights, depth)
+                alive = np.flatnonzero((high >= threshold) & seen.any(1) & (self.ids != own))
+                if len(alive) <= few:
+                    # their remaining lists are read on, for them alone
+                    values, seen = self.values[alive], seen[alive]
+                    return alive, (values * seen) @ weights + (values * ~seen) @ weights, depth
+            at = max(at + 1, at * 5 // 4)
+        return None
 
 
 def no_random_access(lists: SortedLists, query_ids: np.ndarray, query_vectors: np.ndarray, thresholds: np.ndarray, k: int):
@@ -64,21 +76,22 @@ def no_random_access(lists: SortedLists, query_ids: np.ndarray, query_vectors: n
     up, down = np.maximum(weights, 0), np.minimum(weights, 0)
     reached = lists.frontiers(up, down) < thresholds[:, None] if len(lists.depths) else np.zeros((len(weights), 0), bool)
     first = np.where(reached.any(1), reached.argmax(1) if reached.shape[1] else 0, len(lists.depths))
-    whole = np.flatnonzero(first == len(lists.depths))
-    out = []
-    for part in (whole[i : i + 64] for i in range(0, len(whole), 64)):
-        # to the end of every list: all scores are final
-        scores = product(lists.values, weights[part])
-        for q, row in zip(part, scores.T, strict=True):
-            alive = np.flatnonzero((lists.ids != query_ids[q]) & (row >= thresholds[q]))
-            best = alive[blocks.top(row[alive], lists.ids[alive], k)]
-            out.append((np.full(len(best), query_ids[q]), lists.ids[best], row[best], np.full(len(best), len(lists.ids))))
-    for q in np.flatnonzero(first < len(lists.depths)):
-        alive, score, depth = lists.read(weights[q], int(thresholds[q]), int(first[q]), int(query_ids[q]), k)
-        keep = score >= thresholds[q]
-        alive, score = alive[keep], score[keep]
+    out, whole = [], []
+
+    def keep(q: int, alive: np.ndarray, score: np.ndarray, depth: int) -> None:
+        reach = score >= thresholds[q]
+        alive, score = alive[reach], score[reach]
         best = blocks.top(score, lists.ids[alive], k)
         out.append((np.full(len(best), query_ids[q]), lists.ids[alive[best]], score[best], np.full(len(best), depth)))
+
+    for q in range(len(weights)):
+        found = lists.read(weights[q], int(thresholds[q]), int(first[q]), int(query_ids[q]), k)
+        keep(q, *found) if found else whole.append(q)
+    for part in (whole[i : i + 64] for i in range(0, len(whole), 64)):
+        # to the end of every list: all scores are final
+        for q, row in zip(part, product(lists.values, weights[part]).T, strict=True):
+            alive = np.flatnonzero(lists.ids != query_ids[q])
+            keep(q, alive, row[alive], len(lists.ids))
     return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
 
 
