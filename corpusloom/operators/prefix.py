@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.runtime import materialize
 
 
+def _range_of(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are at most value: first by the first one of each stretch, then within its stretch, so that a row is compared with few of very many bounds."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds)) + 1
+    stretches = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    listed = lambda x: F.array(*[F.lit(float(b)) for b in x])
+    upto = lambda x: F.size(F.filter(x, lambda b: b <= value))
+    if len(stretches) == 1:
+        return upto(listed(bounds))
+    stretch = upto(listed([s[0] for s in stretches[1:]]))
+    return stretch * width + upto(F.element_at(F.array(*map(listed, stretches)), stretch + 1))
+
+
 def with_prefix(df: DataFrame, order: list[str], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """df with, for each name in sums, the sum of its value over all rows before (0 for the first), in the order of the columns.
 
@@ -18,8 +34,7 @@ def with_prefix(df: DataFrame, order: list[str], sums: dict[str, Column], by: li
     spark = df.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 0.001) if ranges > 1 else []
-    bounds = sorted(set(bounds))
-    at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= F.col(order[0]).cast("double"))) if bounds else F.lit(0)
+    at = _range_of(F.col(order[0]).cast("double"), sorted(set(bounds)))
     by = by or []
     placed = df.withColumns({f"_{name}": value for name, value in sums.items()}).withColumn("_range", F.coalesce(F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(at), F.lit(-1)))
     totals = placed.groupBy(*by, "_range").agg(*[F.sum(f"_{name}").alias(f"_{name}_total") for name in sums])

@@ -371,3 +371,12 @@ def test_merge_piece_against_rescanning():
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         assert bpe_training.merge_piece(piece, ids) == [ids[p] for p in parts]
     assert bpe_training.merge_piece(b"", {}) == [] and len(bpe_training.merge_piece(b"ab" * 200_000, {b"a": 0, b"b": 1, b"ab": 2})) == 200_000
+
+
+def test_range_of_bounds(spark):
+    from corpusloom.operators.prefix import _range_of
+
+    for n in (0, 1, 2, 3, 10, 57):
+        bounds = [float(3 * i) for i in range(n)]
+        got = spark.range(-2, 3 * n + 3).select("id", _range_of(F.col("id").cast("double"), bounds).alias("r")).collect()
+        assert {r.id: r.r for r in got} == {i: sum(b <= i for b in bounds) for i in range(-2, 3 * n + 3)}
