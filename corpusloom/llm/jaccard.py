@@ -38,7 +38,7 @@ from corpusloom.runtime import materialize, parts_for, release, ship
 #: Both only steer the work: any order finds every link.
 FREQUENT, KNOWN = 8, 200_000
 #: Sets in a task's block, pivots that all blocks of a group have in common, blocks that are compared together with the documents outside the largest part.
-BLOCK, PIVOTS, WIDE = 160, 16, 6
+BLOCK, PIVOTS, WIDE = 112, 14, 8
 #: Classes that share a token up to which they are counted in pairs; more are marked.
 FEW = 16
 #: Bytes of the table on disk for which there is one part at least.
