@@ -44,7 +44,7 @@ FEW = 16
 #: Bytes of the table on disk for which there is one part at least.
 TASK_BYTES = 64 << 20
 #: Tokens or cells that a task holds before it folds equal ones together.
-HELD = 1_000_000
+HELD = 400_000
 
 
 def prefix_size(n, percent: int):
