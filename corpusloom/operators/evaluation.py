@@ -9,10 +9,15 @@ from corpusloom.runtime import materialize
 
 
 def token_pairs(docs: DataFrame, tokens: Column, order: str = "doc_id") -> DataFrame:
-    """order, x, y, n: how often y follows x in each document. Pairs are counted where the document is, before any shuffle."""
-    t = docs.select(order, tokens.alias("t")).where(F.size("t") >= 2)
-    pairs = t.select(order, F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.element_at("t", i).alias("x"), F.element_at("t", i + 1).alias("y")))).alias("p"))
-    return pairs.groupBy(order, "p.x", "p.y").agg(F.count("*").alias("n"))
+    """order, x, y, n (1): each place in a document where y follows x. Who counts them groups them as needed, in one shuffle."""
+    t = docs.select(order, tokens.alias("t"))
+    follow = F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("x"), F.get("t", i + 1).alias("y")))
+    return t.select(order, F.explode(follow).alias("p")).select(order, "p.x", "p.y", F.lit(1).cast("long").alias("n"))
+
+
+def pair_counts(pairs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """order, x, y, n: how often y follows x in each document."""
+    return pairs.groupBy(order, "x", "y").agg(F.sum("n").alias("n"))
 
 
 class BigramScorer:
@@ -22,7 +27,7 @@ class BigramScorer:
         # written: pairs, contexts and vocabulary are all read from these counts
         self.pairs = materialize(pairs.groupBy("x", "y").agg(F.sum("n").alias("c")), "bigrams")
         self.contexts = self.pairs.groupBy("x").agg(F.sum("c").alias("cx"))
-        self.size = self.pairs.select("x").union(self.pairs.select("y")).distinct().agg(F.count("*").alias("v"))
+        self.size = self.contexts.select("x").union(self.pairs.select("y")).distinct().agg(F.count("*").alias("v"))
 
     def cross_entropy(self, pairs: DataFrame) -> DataFrame:
         """pairs with ce, the summed cross-entropy of their n occurrences."""

@@ -27,7 +27,7 @@ def train_windows(docs: DataFrame, ids: Column, block: int, order: str = "doc_id
     tokens; each window then joins its few slices. Windows cross documents. The ids are written once: they are read for
     their number, their places and their slices.
     """
-    held = materialize(docs.select(order, ids.alias("ids")).withColumn("n", F.size("ids").cast("long")).where("n > 0"), "token-ids")
+    held = materialize(docs.select(order, ids.alias("ids")).withColumn("n", F.size("ids").cast("long")), "token-ids").where("n > 0")
     placed = with_prefix(held, [order], {"at": F.col("n")})
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     # window w reads tokens w*block .. (w+1)*block, the last of which is the first of the next window too
@@ -48,13 +48,15 @@ def train_windows(docs: DataFrame, ids: Column, block: int, order: str = "doc_id
 
 def eval_windows(docs: DataFrame, ids: Column, block: int, order: str = "doc_id") -> DataFrame:
     """order, start, x, y: each document's own windows, the short one at the end kept; fewer than two tokens give none."""
-    held = docs.select(order, ids.alias("ids")).where(F.size("ids") >= 2)
+    # no filter on the ids' number: it would make them twice
+    held = docs.select(order, ids.alias("ids"))
+    starts = F.when(F.size("ids") >= 2, F.sequence(F.lit(0), F.greatest(F.size("ids") - 2, F.lit(0)), F.lit(block))).otherwise(F.array().cast("array<int>"))
 
     def window(start: Column) -> Column:
         size = F.least(F.lit(block), F.size("ids") - 1 - start)
         return F.struct(start.cast("long").alias("start"), F.slice("ids", start + 1, size).alias("x"), F.slice("ids", start + 2, size).alias("y"))
 
-    cut = held.select(order, F.explode(F.transform(F.sequence(F.lit(0), F.size("ids") - 2, F.lit(block)), window)).alias("w"))
+    cut = held.select(order, F.explode(F.transform(starts, window)).alias("w"))
     return cut.select(order, "w.*")
 
 

@@ -67,9 +67,11 @@ def summary(samples: DataFrame, profile: str, eos: Column) -> DataFrame:
 def percentiles(docs: DataFrame) -> DataFrame:
     """p10, median and p90 of distinct-2 by length class: what the published ranges are for human-written text."""
     split = docs.select(words(F.col("text")).alias("w"))
-    measured = split.select(distinct_n(F.col("w"), 2).alias("d"), F.size("w").alias("n")).where("n >= 2")
+    # texts of one word have no pair: null, which percentiles pass over; a filter would split every text twice
+    measured = split.select(F.when(F.size("w") >= 2, distinct_n(F.col("w"), 2)).alias("d"), F.size("w").alias("n"))
     bound = None
     for row in HUMAN_RANGES[:-1]:
         bound = F.when(F.col("n") <= row[0], row[0]) if bound is None else bound.when(F.col("n") <= row[0], row[0])
     classed = measured.withColumn("max_words", bound.otherwise(HUMAN_RANGES[-1][0]).cast("long"))
-    return classed.groupBy("max_words").agg(F.count("*").alias("n_docs"), *[F.round(F.percentile("d", p), 9).alias(name) for name, p in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))])
+    found = classed.groupBy("max_words").agg(F.count("d").alias("n_docs"), *[F.round(F.percentile("d", p), 9).alias(name) for name, p in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))])
+    return found.where("n_docs > 0")

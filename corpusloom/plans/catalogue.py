@@ -645,7 +645,7 @@ scored AS (SELECT p.doc_id, -ln((coalesce(c, 0) + 1) / (coalesce(cx, 0) + v.v)::
 
 def scored(spark, sf_dir):
     pairs = evaluation.token_pairs(documents(spark, sf_dir), text.words(F.col("text")))
-    return evaluation.BigramScorer(pairs.where(F.col("doc_id") % 10 != 0)).cross_entropy(pairs.where(F.col("doc_id") % 10 == 0))
+    return evaluation.BigramScorer(pairs.where(F.col("doc_id") % 10 != 0)).cross_entropy(evaluation.pair_counts(pairs.where(F.col("doc_id") % 10 == 0)))
 
 
 @query(f"WITH {_SCORED} SELECT round(avg(ce), 9) AS nll, round(exp(avg(ce)), 6) AS perplexity, count(*)::BIGINT AS n_tokens, count(DISTINCT doc_id)::BIGINT AS n_docs FROM scored")
