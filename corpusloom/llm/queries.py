@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, jaccard, langid, linededup, mih, mixing, quality, suffix_dedup, token_store, topk
+from corpusloom.llm import bpe, jaccard, langid, linededup, mih, mixing, quality, resampling, suffix_dedup, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op9_jaccard": jaccard.op9,
     "op10_line_dedup": linededup.op10,
+    "op11_resample": resampling.op11,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op8_mix_sources": mixing.OP8_SQL,
     "op9_jaccard": jaccard.OP9_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
+    "op11_resample": resampling.OP11_SQL,
 }
