@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, jaccard, langid, linededup, mih, mixing, quality, resampling, suffix_dedup, token_store, topk
+from corpusloom.llm import bpe, jaccard, langid, linededup, mih, mixing, periodic, quality, resampling, suffix_dedup, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard": jaccard.op9,
     "op10_line_dedup": linededup.op10,
     "op11_resample": resampling.op11,
+    "op12_periodic_runs": periodic.op12,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op9_jaccard": jaccard.OP9_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
     "op11_resample": resampling.OP11_SQL,
+    "op12_periodic_runs": periodic.OP12_SQL,
 }
