@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, jaccard, langid, linededup, mih, mixing, periodic, quality, resampling, suffix_dedup, token_store, topk
+from corpusloom.llm import bpe, jaccard, langid, linededup, mih, mixing, periodic, quality, resampling, suffix_dedup, token_store, topk, toxicity
 
 QUERIES = {
     "op1_token_store": token_store.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": linededup.op10,
     "op11_resample": resampling.op11,
     "op12_periodic_runs": periodic.op12,
+    "op13_toxicity": toxicity.op13,
 }
 
 SQL = {
