@@ -1,4 +1,12 @@
-"""Byte-level BPE training: pre-tokens, their counts and those of their pairs are distributed; the driver picks the merges."""
+"""Byte-level BPE training over a distributed table of pre-tokens.
+
+The table is never read for one merge. A round takes the commonest pairs as candidates and cuts all words into
+segments, the stretches in which every adjacent pair is a candidate; equal segments are added up. A merge that comes
+before the first pair left out can only happen within segments, and so can all that it leads to: the parts of a new pair
+were as common before. The driver thus learns from a table of segments, whose tokens are bounded by a parameter, as
+many merges as the candidates allow (hundreds to all of them), and the words are rewritten once a round. An index from
+pair to places and counts kept by differences let a merge touch only the places that hold its pair.
+"""
 
 from __future__ import annotations
 
@@ -10,49 +18,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import SPECIAL_TOKENS, TOKENIZER
-from corpusloom.runtime import materialize, ship
+from corpusloom.runtime import materialize, read_file, ship, write_file
 
-#: Contractions, letters, digits and other signs, each with a space before it if there is one, then white space.
-PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-#: Commonest pairs that a round of training looks at, and merges after which the pre-tokens are written anew.
-AHEAD, REWRITE = 256, 24
+#: Fixed value: the published byte-level pattern. Contractions, letters, digits and other signs, each with a space before it if there is one, then white space, of which the last leaves itself to a word that follows.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: In Java's regular expressions, white space is that of Unicode only with this flag before the pattern.
+JAVA = "(?U)"
+#: Tokens that the segments of a round may have, and candidates of the first round that does not take all pairs.
+SEGMENT_TOKENS, CANDIDATES = 1_000_000, 256
+#: A pair is one number: the left id above this many bits of the right one.
+SHIFT = 21
 
 
 def pretoken_counts(docs: DataFrame, pattern: str = PRETOKEN) -> DataFrame:
     """piece, n: how often each pre-token occurs. Partial counts are taken before the shuffle."""
-    pieces = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))).alias("piece"))
+    pieces = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(JAVA + pattern), F.lit(0))).alias("piece"))
     return pieces.groupBy("piece").agg(F.count("*").alias("n"))
 
 
-def _merged(ids: pa.ListArray, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words one after another and the row of each, once merges (left, right, new) are made in turn, from the left in each word."""
-    flat, row = ids.flatten().to_numpy(), np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
-    for left, right, new in merges:
-        at = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right) & (row[:-1] == row[1:]))
-        if left == right and len(at):  # of a run such as aaaa the first, third ... pair
-            nth = np.arange(len(at))
-            at = at[(nth - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, nth, 0))) % 2 == 0]
-        if len(at):
-            flat = flat.copy()
-            flat[at] = new
-            flat, row = np.delete(flat, at + 1), np.delete(row, at + 1)
-    return flat, row
-
-
-def _summed(codes: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes below size * size and the sum of n of each; float sums, exact below 2 ** 53."""
-    if size * size <= 1 << 20:
-        sums = np.bincount(codes, n, size * size)
-        codes = np.flatnonzero(sums)
-        return codes, sums[codes]
-    codes, at = np.unique(codes, return_inverse=True)
-    return codes, np.bincount(at, n, len(codes))
-
-
 def _byte_words(counted: DataFrame) -> DataFrame:
     """ids, n: the byte ids of each pre-token of two bytes or more."""
 
@@ -66,12 +54,52 @@ def _byte_words(counted: DataFrame) -> DataFrame:
     return counted.where(F.octet_length("piece") > 1).mapInArrow(run, "ids array<int>, n long")
 
 
-def _merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """ids, n after the merges, without words that have become one token: they have no pairs any more."""
+def _alternate(at: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Of the sorted places of a pair of the same id twice, those that merge from the left: the first, third ... of a stretch; reach: the place of the pair's right part."""
+    nth = np.arange(len(at))
+    fresh = np.concatenate([[True], at[1:] != reach[:-1]]) if len(at) else np.zeros(0, bool)
+    return at[(nth - np.maximum.accumulate(np.where(fresh, nth, 0))) % 2 == 0] if len(at) else at
+
+
+def _apply(flat: np.ndarray, row: np.ndarray, codes: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and their rows once the merges are made in the order of their new ids (made, by sorted code).
+
+    In each row the merge of least new id is made wherever its pair stands, then the next: what making one merge after
+    another over all rows comes to, as a pair of a merge never arises again from later ones.
+    """
+    while len(flat) > 1 and len(codes):
+        pairs = (flat[:-1] << SHIFT) + flat[1:]
+        at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
+        new = np.where((codes[at] == pairs) & (row[:-1] == row[1:]), made[at], np.iinfo(np.int64).max)
+        some = np.flatnonzero(new < np.iinfo(np.int64).max)
+        if not len(some):
+            break
+        first = np.flatnonzero(np.diff(row[some], prepend=-1))
+        least = np.repeat(np.minimum.reduceat(new[some], first), np.diff(np.append(first, len(some))))
+        some = some[new[some] == least]
+        twice = flat[some] == flat[some + 1]
+        some = np.sort(np.concatenate([some[~twice], _alternate(some[twice], some[twice] + 1)]))
+        flat = flat.copy()
+        flat[some] = new[some]
+        flat, row = np.delete(flat, some + 1), np.delete(row, some + 1)
+    return flat, row
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words one after another, and the row of each."""
+    ids = batch["ids"]
+    return ids.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
+
+
+def _merge_words(words: DataFrame, merges: list[tuple[int, int]], first_id: int) -> DataFrame:
+    """ids, n after the merges, whose new ids count up from first_id, without words that have become one token: they have no pairs any more."""
+    codes = np.array([(left << SHIFT) + right for left, right in merges], np.int64)
+    order = np.argsort(codes)
+    codes, made = codes[order], first_id + order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, row = _merged(batch["ids"], merges)
+            flat, row = _apply(*_flat(batch), codes, made)
             sizes = np.bincount(row, minlength=batch.num_rows)
             ends = np.concatenate([[0], np.cumsum(sizes[sizes > 1])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(ends, flat[sizes[row] > 1].astype(np.int32))
@@ -80,80 +108,191 @@ def _merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFr
     return words.mapInArrow(run, "ids array<int>, n long")
 
 
-def _pair_counts(words: DataFrame, merges: list[tuple[int, int, int]], size: int) -> DataFrame:
-    """left, right, n: how often each pair of ids (below size) is adjacent once the merges are made."""
+def _pair_counts(words: DataFrame) -> DataFrame:
+    """code, n: how often each pair of ids is adjacent. A task sums its batches first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sums = np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
-            flat, row = _merged(batch["ids"], merges)
+            flat, row = _flat(batch)
             inside = row[:-1] == row[1:]
-            pairs = (flat[:-1].astype(np.int64) * size + flat[1:])[inside]
-            found = _summed(pairs, batch["n"].to_numpy()[row[:-1][inside]], size)
-            codes, sums = _summed(np.concatenate([codes, found[0]]), np.concatenate([sums, found[1]]), size)
-        columns = [(codes // size).astype(np.int32), (codes % size).astype(np.int32), sums.astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["left", "right", "n"])
+            codes, at = np.unique(((flat[:-1] << SHIFT) + flat[1:])[inside], return_inverse=True)
+            sums = np.zeros(len(codes), np.int64)
+            np.add.at(sums, at, batch["n"].to_numpy()[row[:-1][inside]])
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], ["code", "n"])
 
-    return words.mapInArrow(run, "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _settled(ranked: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The first of the pairs, best first, that one merge a round would take in this order too.
+def _segments(words: DataFrame, candidates: np.ndarray) -> DataFrame:
+    """segment (ids as little-endian 32-bit numbers), n: the stretches of words in which every adjacent pair is one of the sorted candidates, equal ones added up."""
 
-    A merge lowers the counts of pairs that begin with its right id or end with its left one only, and a pair with its
-    new id is no commoner than the pair it comes from, nor before it in a tie. So all pairs up to the first that
-    touches an earlier one are settled; nothing is known beyond a pair of the same id twice, whose new pairs come from itself.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, row = _flat(batch)
+            codes = (flat[:-1] << SHIFT) + flat[1:]
+            at = np.minimum(np.searchsorted(candidates, codes), len(candidates) - 1)
+            joined = (candidates[at] == codes) & (row[:-1] == row[1:])
+            starts = np.flatnonzero(np.concatenate([[True], ~joined])) if len(flat) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(flat)))
+            long = sizes > 1
+            ends = np.concatenate([[0], np.cumsum(sizes[long])]).astype(np.int32)
+            data = flat[np.repeat(long, sizes)].astype("<i4")
+            segments = pa.Array.from_buffers(pa.binary(), int(long.sum()), [None, pa.py_buffer(ends * 4), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([segments, pa.array(batch["n"].to_numpy()[row[starts[long]]])], ["segment", "n"])
+
+    return words.mapInArrow(run, "segment binary, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+
+
+def learn(flat: np.ndarray, sizes: np.ndarray, n: np.ndarray, first_id: int, most: int, min_frequency: int, floor: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """Merges (left, right) of segments (ids one after another, their sizes, and how often each occurs), the commonest pair first, ties to the smaller pair; new ids count up from first_id.
+
+    At most `most`, none rarer than min_frequency, and none from `floor` on, the (-count, code) of the first pair that
+    the segments do not show in full. An index leads from a pair to the places that held it when it arose; counts only
+    fall after that, so a pair is looked at anew when it comes to the top with a count that no longer holds.
     """
-    lefts, rights = set(), set()
-    for i, (left, right) in enumerate(ranked):
-        if right in lefts or left in rights:
-            return ranked[:i]
+    token, weight = flat.astype(np.int64), np.repeat(n.astype(np.int64), sizes)
+    after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+    ends = np.cumsum(sizes) - 1
+    after[ends], before[ends - sizes + 1] = -1, -1
+    held = np.flatnonzero(after >= 0)
+    codes = (token[held] << SHIFT) + token[after[held]]
+    order = np.argsort(codes, kind="stable")
+    held, codes = held[order], codes[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    totals = np.add.reduceat(weight[held], first) if len(first) else np.zeros(0, np.int64)
+    upto = np.append(first[1:], len(held))
+    enough = totals >= max(1, min_frequency)
+    count = dict(zip(codes[first][enough].tolist(), totals[enough].tolist(), strict=True))
+    places = dict(zip(codes[first][enough].tolist(), zip(first[enough].tolist(), upto[enough].tolist(), strict=True), strict=True))
+    later: dict[int, np.ndarray] = {}
+    heap = [(-c, code) for code, c in count.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int]] = []
+    while heap and len(merges) < most:
+        c, code = heapq.heappop(heap)
+        now = count.get(code, 0)
+        if now != -c:
+            if now >= max(1, min_frequency):
+                heapq.heappush(heap, (-now, code))
+            continue
+        if floor is not None and (c, code) >= floor:
+            break
+        left, right, new = code >> SHIFT, code & ((1 << SHIFT) - 1), first_id + len(merges)
+        merges.append((left, right))
+        if code in later:
+            at = later.pop(code)
+        else:
+            low, high = places.pop(code)
+            at = held[low:high]
+        at = at[(token[at] == left) & (after[at] >= 0)]
+        at = at[token[after[at]] == right]
         if left == right:
-            return ranked[: i + 1]
-        lefts.add(left)
-        rights.add(right)
-    return ranked
+            at = _alternate(at, after[at])
+        second = after[at]
+        previous, following = before[at], after[second]
+        gone = np.unique(np.concatenate([previous[previous >= 0], at, second[following >= 0]]))
+        lost, which = np.unique((token[gone] << SHIFT) + token[after[gone]], return_inverse=True)
+        less = np.zeros(len(lost), np.int64)
+        np.add.at(less, which, weight[gone])
+        for pair, by in zip(lost.tolist(), less.tolist(), strict=True):
+            if pair in count:
+                count[pair] -= by
+        token[at], token[second] = new, -1
+        after[at] = following
+        before[following[following >= 0]] = at[following >= 0]
+        previous = before[at]
+        fresh = np.unique(np.concatenate([previous[previous >= 0], at[after[at] >= 0]]))
+        arisen = (token[fresh] << SHIFT) + token[after[fresh]]
+        order = np.argsort(arisen, kind="stable")
+        fresh, arisen = fresh[order], arisen[order]
+        first = np.flatnonzero(np.diff(arisen, prepend=-1))
+        if not len(first):
+            continue
+        totals = np.add.reduceat(weight[fresh], first)
+        upto = np.append(first[1:], len(fresh))
+        for i in np.flatnonzero(totals >= max(1, min_frequency)).tolist():
+            pair, c = int(arisen[first[i]]), int(totals[i])
+            count[pair], later[pair] = c, fresh[first[i] : upto[i]]
+            heapq.heappush(heap, (-c, pair))
+    return merges
 
 
-def train_bpe(docs: DataFrame, *, vocab_size: int = TOKENIZER.vocab_size, min_frequency: int = TOKENIZER.min_frequency) -> dict[bytes, int]:
-    """Token ids: special tokens, the 256 bytes, then merges by falling count (ties to the smaller pair of ids).
+def train_merges(docs: DataFrame, *, vocab_size: int, min_frequency: int, segment_tokens: int = SEGMENT_TOKENS, candidates: int = CANDIDATES) -> list[tuple[int, int]]:
+    """Pairs of ids in the order of their merging; new ids follow the special tokens and the 256 bytes.
 
-    All pre-tokens count. They stay in a table; the driver gets the AHEAD commonest pairs of each round and makes as
-    many merges of them as are settled. Pairs rarer than min_frequency are not merged.
+    The commonest pair first, ties to the smaller pair of ids. All pre-tokens count, whatever their number:
+    segment_tokens bounds what the driver holds of them, and with it how many merges a round yields, not which.
     """
     ship(docs.sparkSession)
-    vocabulary = {name.encode(): i for i, name in enumerate(SPECIAL_TOKENS)}
-    token = [b"" for _ in SPECIAL_TOKENS] + [bytes([b]) for b in range(256)]
-    vocabulary |= {t: i for i, t in enumerate(token) if t}
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words, merges = materialize(_byte_words(pretoken_counts(docs)).repartition(parts), "bpe-words"), []
-    while len(token) < vocab_size:
-        if len(merges) >= REWRITE:
-            words, merges = materialize(_merge_words(words, merges), "bpe-words"), []
-        pairs = _pair_counts(words, merges, len(token)).where(F.col("n") >= max(1, min_frequency))
-        best = _settled([(r.left, r.right) for r in pairs.orderBy(F.desc("n"), "left", "right").limit(AHEAD).collect()])
-        if not best:
+    words = materialize(_byte_words(pretoken_counts(docs)).repartition(parts), "bpe-words")
+    base, merges = len(SPECIAL_TOKENS) + 256, []
+    while base + len(merges) < vocab_size:
+        held = words.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("t")).first().t
+        ranked = _pair_counts(words).where(F.col("n") >= max(1, min_frequency))
+        whole = held <= segment_tokens
+        if not whole:
+            top = ranked.orderBy(F.desc("n"), "code").limit(candidates + 1).collect()
+        while True:
+            if whole:
+                cut, floor = words.select("ids", "n"), None
+            else:
+                taken = top[:candidates]
+                floor = (-top[candidates].n, top[candidates].code) if len(top) > candidates else None
+                cut = materialize(_segments(words, np.sort(np.array([r.code for r in taken], np.int64))), "bpe-segments") if taken else None
+            size = None if whole or cut is None else cut.agg(F.coalesce(F.sum(F.octet_length("segment")), F.lit(0)).alias("b")).first().b // 4
+            if whole or cut is None or size <= segment_tokens or candidates == 1:
+                break
+            candidates = max(1, candidates // 2)
+        if cut is None:
+            break
+        table = cut.toArrow().combine_chunks()
+        if whole:
+            lists = table["ids"].combine_chunks()
+            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        else:
+            data = table["segment"].combine_chunks()
+            flat, sizes = np.frombuffer(b"".join(data.to_pylist()), "<i4"), pa.compute.binary_length(data).to_numpy() // 4
+        found = learn(flat, sizes, table["n"].to_numpy(), base + len(merges), vocab_size - base - len(merges), min_frequency, floor)
+        if not found:
             break
-        for left, right in best[: vocab_size - len(token)]:
-            merges.append((left, right, len(token)))
-            token.append(token[left] + token[right])
-            vocabulary.setdefault(token[-1], len(token) - 1)
+        words = materialize(_merge_words(words, found, base + len(merges)), "bpe-words")
+        merges += found
+        if not whole and 2 * size < segment_tokens:
+            candidates *= 4 if 16 * size < segment_tokens else 2
+    return merges
+
+
+def train_bpe(docs: DataFrame, *, vocab_size: int = TOKENIZER.vocab_size, min_frequency: int = TOKENIZER.min_frequency, **bounds: int) -> dict[bytes, int]:
+    """Token ids: special tokens, the 256 bytes, then merges by falling count (ties to the smaller pair of ids), as train_merges finds them.
+
+    Null and empty texts teach nothing; pairs rarer than min_frequency are not merged. Two merges that spell the same
+    token share the first one's id. bounds: segment_tokens and candidates of train_merges, which change no result.
+    """
+    token = [b"" for _ in SPECIAL_TOKENS] + [bytes([b]) for b in range(256)]
+    vocabulary = {name.encode(): i for i, name in enumerate(SPECIAL_TOKENS)} | {t: i for i, t in enumerate(token) if t}
+    for left, right in train_merges(docs, vocab_size=vocab_size, min_frequency=min_frequency, **bounds):
+        token.append(token[left] + token[right])
+        vocabulary.setdefault(token[-1], len(token) - 1)
     return vocabulary
 
 
 def save_vocabulary(vocabulary: dict[bytes, int], path: str, *, min_frequency: int, train_bytes: int | None) -> None:
-    """The vocabulary as lines of base64 token and id, its figures beside it as JSON."""
-    with open(path, "w") as out:
-        out.writelines(f"{base64.b64encode(t).decode()} {i}\n" for t, i in sorted(vocabulary.items(), key=lambda x: x[1]))
-    with open(f"{path}.meta.json", "w") as out:
-        json.dump({"vocab_size": len(vocabulary), "min_frequency": min_frequency, "train_bytes": train_bytes or 0}, out)
+    """The vocabulary as lines of base64 token and id, its figures beside it as JSON; in any file system that Spark knows."""
+    lines = [f"{base64.b64encode(t).decode()} {i}\n" for t, i in sorted(vocabulary.items(), key=lambda x: x[1])]
+    write_file(path, "".join(lines).encode())
+    write_file(f"{path}.meta.json", json.dumps({"vocab_size": len(vocabulary), "min_frequency": min_frequency, "train_bytes": train_bytes or 0}).encode())
+
+
+def read_vocabulary(path: str) -> dict[bytes, int]:
+    """What save_vocabulary wrote."""
+    return {base64.b64decode(token): int(i) for token, i in (line.split() for line in read_file(path).decode().splitlines())}
 
 
 def read_train_bytes(path: str) -> int:
     """train_bytes of a vocabulary's figures; the configured one where they are missing, broken or incomplete."""
     try:
-        with open(f"{path}.meta.json") as lines:
-            value = json.load(lines)["train_bytes"]
+        value = json.loads(read_file(f"{path}.meta.json"))["train_bytes"]
         return value if isinstance(value, int) and not isinstance(value, bool) else TOKENIZER.train_bytes
     except (OSError, ValueError, KeyError, TypeError):
         return TOKENIZER.train_bytes

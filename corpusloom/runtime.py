@@ -11,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -48,6 +49,41 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", full))
 
 
+def _file(path: str):
+    """A path and its file system, as Spark sees them."""
+    spark = SparkSession.active()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where, spark._jvm
+
+
+def write_file(path: str, data: bytes) -> None:
+    """Write a small file in any file system that Spark knows; it is renamed from a draft when it is whole."""
+    system, where, jvm = _file(path)
+    draft = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{uuid.uuid4().hex}.tmp")
+    out = system.create(draft, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    system.delete(where, False)
+    if not system.rename(draft, where):
+        raise OSError(f"cannot write {path}")
+
+
+def read_file(path: str) -> bytes:
+    """The bytes of a small file in any file system that Spark knows; OSError if there is none or it cannot be read."""
+    system, where, jvm = _file(path)
+    if not system.exists(where):
+        raise FileNotFoundError(path)
+    stream = system.open(where)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    except Py4JJavaError as error:
+        raise OSError(f"cannot read {path}") from error
+    finally:
+        stream.close()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in spark.checkpoint.dir, which the driver and all executors see; deleted when the driver ends.
 

@@ -1,5 +1,7 @@
 import hashlib
+import heapq
 import math
+import os
 import random
 from collections import Counter
 
@@ -223,10 +225,48 @@ def brute_bpe(counts, vocab_size, min_frequency=2):
     return merges
 
 
-def brute_ranks(counts, vocab_size):
+def quick_bpe(counts, vocab_size, min_frequency=2):
+    """As brute_bpe, but only the words that hold the merged pair are counted anew."""
+    words = [([b + len(config.SPECIAL_TOKENS) for b in p.encode()], n) for p, n in counts.items()]
+    pairs, where, heap, merges = Counter(), {}, [], []
+    for i, (word, n) in enumerate(words):
+        for pair in zip(word, word[1:]):
+            pairs[pair] += n
+            where.setdefault(pair, set()).add(i)
+    heap = [(-n, p) for p, n in pairs.items()]
+    heapq.heapify(heap)
+    while heap and 256 + len(config.SPECIAL_TOKENS) + len(merges) < vocab_size:
+        n, best = heapq.heappop(heap)
+        if -n != pairs[best]:
+            continue
+        if -n < min_frequency:
+            break
+        new, touched = 256 + len(config.SPECIAL_TOKENS) + len(merges), set()
+        merges.append(best)
+        for i in where.pop(best):
+            word, n = words[i]
+            out, at = [], 0
+            while at < len(word):
+                met = tuple(word[at : at + 2]) == best
+                out.append(new if met else word[at])
+                at += 1 + met
+            for pair in zip(word, word[1:]):
+                pairs[pair] -= n
+                touched.add(pair)
+            for pair in zip(out, out[1:]):
+                pairs[pair] += n
+                touched.add(pair)
+                where.setdefault(pair, set()).add(i)
+            words[i] = (out, n)
+        for pair in touched:
+            heapq.heappush(heap, (-pairs[pair], pair))
+    return merges
+
+
+def brute_ranks(counts, vocab_size, trainer=None):
     token = [b""] * len(config.SPECIAL_TOKENS) + [bytes([b]) for b in range(256)]
     ranks = {t: i for i, t in enumerate(token) if t}
-    for left, right in brute_bpe(counts, vocab_size):
+    for left, right in (trainer or brute_bpe)(counts, vocab_size):
         token.append(token[left] + token[right])
         ranks.setdefault(token[-1], len(token) - 1)
     return ranks | {s.encode(): i for i, s in enumerate(config.SPECIAL_TOKENS)}
@@ -241,6 +281,41 @@ def test_bpe_training_matches_brute_force(spark):
     assert len(bpe_training.train_bpe(docs(spark, [None, "", "a"]), vocab_size=330)) == 256 + len(config.SPECIAL_TOKENS)
 
 
+def random_words(rng, n, letters, longest):
+    return ["".join(rng.choices(letters, k=rng.randint(1, longest))) for _ in range(n)]
+
+
+def test_bpe_rounds_change_no_merge(spark):
+    """Few candidates and small segments make many rounds; the merges are those of one over all words."""
+    rng = random.Random(11)
+    for letters, n in (("ab", 200), ("aabc", 400), ("abcdefgh", 900)):
+        texts = [" ".join(random_words(rng, n, letters, 12)), "a" * 50 + " " + "ab" * 30 + "  \n\n x"]
+        counts = Counter(p for t in texts for p in regex.findall(bpe_training.PRETOKEN, t))
+        wanted = quick_bpe(counts, 700)
+        assert wanted == brute_bpe(counts, 700)
+        d = docs(spark, texts)
+        assert bpe_training.train_merges(d, vocab_size=700, min_frequency=2) == wanted
+        for tokens, candidates in ((300, 16), (60, 4)) if letters != "abcdefgh" else ((600, 64),):
+            cap = 256 + len(config.SPECIAL_TOKENS) + (60 if tokens == 60 else 441)
+            assert bpe_training.train_merges(d, vocab_size=cap, min_frequency=2, segment_tokens=tokens, candidates=candidates) == wanted[: cap - 259]
+
+
+def test_published_pretokens(spark):
+    texts = ["a  b", "x\n\n y", "  lead", "trail   ", "it's  'll 12a", "\u00a0\u00a0w \u3000z", "\t\tq"]
+    found = {(r.piece, r.n) for r in bpe_training.pretoken_counts(docs(spark, texts)).collect()}
+    assert found == set(Counter(p for t in texts for p in regex.findall(bpe_training.PRETOKEN, t)).items())
+    assert regex.findall(bpe_training.PRETOKEN, "x\n\n  y") == ["x", "\n\n ", " y"]
+
+
+def test_vocabulary_files(spark, tmp_path):
+    ranks = bpe_training.train_bpe(docs(spark, ["abab abab \u00e9\u00e9 \u00e9\u00e9"]), vocab_size=262)
+    path = f"file://{tmp_path}/deep/v"
+    for size in (7, 9):  # written over
+        bpe_training.save_vocabulary(ranks, path, min_frequency=2, train_bytes=size)
+        assert bpe_training.read_vocabulary(path) == ranks and bpe_training.read_train_bytes(path) == size
+    assert sorted(x for x in os.listdir(tmp_path / "deep") if not x.endswith(".crc")) == ["v", "v.meta.json"]
+
+
 def test_bpe_queries_train_on_all_pretokens(spark, tmp_path):
     """6,000 pre-tokens that come twice, and 5,000 that come once and alone hold the commonest pair."""
     rng = random.Random(6)
@@ -249,7 +324,7 @@ def test_bpe_queries_train_on_all_pretokens(spark, tmp_path):
     texts = [" ".join(common[i::50] * 2 + rare[i::50]) for i in range(50)]
     spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     counts = Counter(p for t in texts for p in regex.findall(bpe_training.PRETOKEN, t))
-    ranks = brute_ranks(counts, 400)
+    ranks = brute_ranks(counts, config.TOKENIZER.vocab_size, quick_bpe)
 
     def length(piece):
         parts = [bytes([b]) for b in piece.encode()]
@@ -258,6 +333,7 @@ def test_bpe_queries_train_on_all_pretokens(spark, tmp_path):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return len(parts)
 
+    assert len(ranks) > 10_000
     sizes = {p: length(p) for p in counts}
     wanted = {i: 2 + sum(sizes[p] for p in regex.findall(bpe_training.PRETOKEN, t)) for i, t in enumerate(texts)}
     assert {r.doc_id: r.n_tokens for r in catalogue.bpe_encode_lengths(spark, str(tmp_path)).collect()} == wanted
