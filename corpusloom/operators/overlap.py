@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import md5_hash
 from corpusloom.functions.text import normalize_text, prefix
-from corpusloom.runtime import ship
-
-#: Largest needle table, in bytes of text, that is sent to all tasks; see contains_hits.
-NEEDLE_BYTES = 8 << 20
+from corpusloom.operators.seeds import containing
 
 
 def hashed(docs: DataFrame, order: str) -> DataFrame:
@@ -50,45 +43,15 @@ def require_clean(report: DataFrame) -> None:
 def contains_hits(needles: DataFrame, docs: DataFrame, key: str = "item_id") -> DataFrame:
     """key, hits, n_docs: how many documents contain each needle's normalised text.
 
-    The needles are a stated query set: their size is measured, and as long as it is small they go to every task, which
-    finds all of them in one reading of each document by an automaton over them. A larger set is dealt by blocks of
-    NEEDLE_BYTES, one pass a block.
+    Needles of any number and length are found by a join of seeds (seeds.py). Needles that are empty after
+    normalisation are left out; equal needles have equal hits; null and empty texts contain nothing.
     """
-    spark = docs.sparkSession
-    ship(spark)
     asked = needles.select(key, normalize_text(F.col("text")).alias("needle")).where("needle <> ''")
-    size = asked.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0)).alias("b")).first().b
-    blocks = max(1, -(-size // NEEDLE_BYTES))
-    norm = docs.select(normalize_text(F.col("text")).alias("norm"))
-    found = None
-    for block in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block).select("needle").distinct()
-        hits = norm.mapInArrow(_finder([r.needle for r in mine.collect()]), "needle string, hits long").groupBy("needle").agg(F.sum("hits").alias("hits"))
-        found = hits if found is None else found.unionByName(hits)
+    found = containing(asked, docs.select(normalize_text(F.col("text")).alias("norm")))
     scanned = docs.agg(F.count("*").alias("n_docs"))
     return asked.join(found, "needle", "left").crossJoin(scanned).select(key, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "n_docs")
 
 
-def _finder(needles: list[str]):
-    """An Arrow function: texts (norm) -> needle, hits, the number of a task's texts that contain each needle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for i, needle in enumerate(needles):
-            automaton.add_word(needle, i)
-        automaton.make_automaton()
-        hits = Counter()
-        for batch in batches:
-            for text in batch["norm"]:
-                if needles and (text := text.as_py()):
-                    hits.update({i for _, i in automaton.iter(text)})
-        yield pa.RecordBatch.from_arrays([pa.array([needles[i] for i in hits], pa.string()), pa.array(hits.values(), pa.int64())], ["needle", "hits"])
-
-    return run
-
-
 def require_unseen(needles: DataFrame, docs: DataFrame, key: str = "item_id") -> int:
     """The number of documents; raise where there are none or where any contains a needle's normalised text."""
     n_docs = docs.count()

@@ -462,11 +462,11 @@ def needle_prefix_scan(spark, sf_dir):
     return overlap.contains_hits(needles, documents(spark, sf_dir))
 
 
-@query(f"""SELECT conv_id, turn FROM conversations WHERE conv_id % 2 = 0 AND {_norm('substr(text, 1, 6)')} IN (SELECT {_norm('substr(text, 1, 6)')} FROM conversations WHERE conv_id % 2 = 1)""")
+@query(f"""SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND {_norm('text')} IN (SELECT {_norm('text')} FROM documents WHERE doc_id % 2 = 1)""")
 def prompt_overlap(spark, sf_dir):
-    """The first six characters stand in for a turn's text, so that some are shared."""
-    turns = table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn")).withColumn("text", text.prefix(F.col("text"), 6))
-    return overlap.prompt_overlap(turns.where("conv_id % 2 = 0"), turns.where("conv_id % 2 = 1"), "key").select("key.conv_id", "key.turn")
+    """Documents stand in for prompts: those of even id are the final ones, the others the diagnostic ones."""
+    docs = documents(spark, sf_dir)
+    return overlap.prompt_overlap(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "doc_id")
 
 
 @query(f"""WITH p AS (SELECT (conv_id % 300)::VARCHAR AS id, {_norm("coalesce(text, '')")} AS t FROM conversations)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom import config
 from corpusloom.functions import planning, text
 from corpusloom.operators import bpe_training, corpus, dedup, evaluation, overlap, packing, report, runs, sampling
+from corpusloom.operators import seeds
 from corpusloom.operators.prefix import with_prefix
 from corpusloom.plans import catalogue
 
@@ -68,11 +69,39 @@ def test_containment_in_blocks(spark, monkeypatch):
     d = docs(spark, ["the cat", "a dog sat", "cat dog", None])
     wanted = {0: 2, 1: 1, 2: 0}
     for size in (8 << 20, 4):
-        monkeypatch.setattr(overlap, "NEEDLE_BYTES", size)
+        monkeypatch.setattr(seeds, "SEED_BYTES", size)
         got = overlap.contains_hits(needles, d).collect()
         assert {r.item_id: r.hits for r in got} == wanted and {r.n_docs for r in got} == {4}
 
 
+@pytest.mark.parametrize("size", [8 << 20, 8])
+def test_containment_of_all_lengths(spark, monkeypatch, size):
+    """Needles of every tier, cut from long and short texts or foreign to them, with a prefix that many share."""
+    monkeypatch.setattr(seeds, "SEED_BYTES", size)
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abc é漢😀", k=n)).strip() for n in (0, 1, 2, 5, 30, 90, 400, 4_000)] + ["x" * 500]
+    texts += ["shared preamble of the prompts: " + "".join(rng.choices("pqr", k=40)) for _ in range(40)] + [texts[6], None]
+    needles = ["x", "xx" * 40, "q", "zz", "漢😀"] + [t for t in texts[9:29]]
+    for t in texts[4:8]:
+        needles += [t[i : i + n] for n in (1, 2, 3, 6, 7, 14, 15, 30, 31, 62, 63, 64, 200) for i in (0, len(t) // 3) if t[i : i + n].strip() == t[i : i + n] != ""]
+    needles = sorted(set(needles))
+    asked = spark.createDataFrame([(n,) for n in needles], "needle string")
+    held = spark.createDataFrame([(t,) for t in texts], "norm string")
+    got = {r.needle: r.hits for r in seeds.containing(asked, held).collect()}
+    assert got == {n: c for n in needles if (c := sum(n in (t or "") for t in texts))}
+
+
+def test_windows_of_a_long_text_in_pieces():
+    text = "".join(random.Random(3).choices("abcd", k=2 * seeds.TOGETHER + 777))
+    pieces = list(seeds._pieces(["ab", text, ""]))
+    assert {i for numbers, _ in pieces for i in numbers} == {0, 1, 2}
+    mine = [p for numbers, held in pieces for i, p in zip(numbers, held) if i == 1]
+    points = lambda t: __import__("numpy").frombuffer(t.encode("utf-32-le"), "<u4")
+    whole = seeds.window_seeds(points(text), [3, 5])
+    for k in (3, 5):
+        assert set(whole[k].tolist()) == {x for p in mine for x in seeds.window_seeds(points(p), [k])[k].tolist()}
+
+
 def test_require_unseen(spark):
     d = docs(spark, ["one two three", "four", None])
     prompts = lambda *texts: spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "item_id string, text string")
