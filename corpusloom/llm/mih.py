@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks
 
-#: Vectors that the rotation and the radius are learned from, at most about.
+#: Vectors of a length that the rotation and the radius are learned from, at most.
 SAMPLE = 4_096
 
 
@@ -110,15 +110,16 @@ class Block:
         self.index = MultiIndex(encode(vectors, rotation), rotation.shape[1])
 
 
-def finder(rotation: np.ndarray, radius: int):
-    """The functions that blocks.search takes: an index of a block, and its nearest to queries."""
-    bits = rotation.shape[1]
+def finder(learned: dict[int, tuple[np.ndarray, int]]):
+    """The functions that blocks.search takes: an index of a block, and its nearest to queries; learned: rotation and radius by length."""
 
     def prepare(ids, vectors):
-        return Block(ids, vectors, rotation)
+        return Block(ids, vectors, learned[vectors.shape[1]][0])
 
     def find(block, query_ids, query_vectors, thresholds, k):
         ids, vectors, norms = block.ids, block.vectors, block.norms
+        rotation, radius = learned[vectors.shape[1]]
+        bits = rotation.shape[1]
         query_norms, asked = np.sqrt((query_vectors * query_vectors).sum(1)), encode(query_vectors, rotation)
         out = []
         for i, code in enumerate(asked):
@@ -146,22 +147,20 @@ def nearest(candidates: DataFrame, queries: DataFrame, *, k: int = 5, bits: int
     """query_id, rank, vec_id, score: for each query its k nearest found by cosine (double precision).
 
     Both need vec_id and embedding. A candidate with the query's own vec_id is left out. Vectors that are null, empty,
-    zero, of another length than most, or hold null or non-finite components take no part, nor do rows without
-    vec_id. Repeated rows are candidates each; a repeated query asks once. Every row is indexed; the rotation and the
-    radius come from a sample of about SAMPLE rows, taken by a hash of vec_id. A block in which fewer than k codes lie
+    zero, or hold null or non-finite components take no part, nor do rows without vec_id; a query is compared with the
+    candidates of its own length. Repeated rows are candidates each; a repeated query asks once. Every row is indexed;
+    the rotation and the radius come from SAMPLE rows of each length at most, those of least hash. A block in which fewer than k codes lie
     within the radius is searched farther, so a query gets all candidates if there are fewer than k. Ties go to the
     smaller vec_id. Empty tables: no rows.
     """
     nonzero = F.exists("embedding", lambda x: x != 0)
     pool, asked = blocks.usable(candidates).where(nonzero), blocks.usable(queries).where(nonzero)
-    share = min(1.0, SAMPLE / max(pool.count(), 1))
-    rows = pool.where(F.abs(F.xxhash64("vec_id", F.lit("mih")) % 1_000_000) < share * 1_000_000).select("vec_id", "embedding").toArrow().sort_by("vec_id")
-    if not rows.num_rows:
-        rotation, radius = np.eye(1), 1
-    else:
+    learned = {}
+    for d in sorted(r["d"] for r in pool.select("d").distinct().collect()):
+        rows = pool.where(F.col("d") == d).orderBy(F.xxhash64("_at", F.lit("mih")), "_at").limit(SAMPLE).select("vec_id", "embedding").toArrow()
         # copies of one vector would teach the radius nothing
-        rotation, radius = learn(np.unique(blocks.matrix(rows)[1], axis=0)[:SAMPLE], bits=bits, k=k)
-    return blocks.search(pool, asked, *finder(rotation, radius), k, "score double", -2.0)
+        learned[d] = learn(np.unique(blocks.matrix(rows)[1], axis=0), bits=bits, k=k)
+    return blocks.search(pool, asked, *finder(learned), k, "score double", -2.0)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

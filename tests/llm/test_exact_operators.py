@@ -191,6 +191,61 @@ def test_no_random_access_stops_early():
         assert (read.max() < 1000) == early and (read.min() > 2000) != early
 
 
+def test_top_k_comes_from_list_reads(monkeypatch):
+    """Bounds hold at every depth, and the scores are sums of entries read: neither vectors nor products are kept."""
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.normal(size=(700, 9)) * 1024).astype(np.int64)
+    x[:, 4] = 5
+    lists = topk.SortedLists(np.arange(700), x)
+    assert set(vars(lists)) == {"ids", "order", "listed", "depths"}
+    for w in (x[3], -x[5], np.zeros(9, np.int64), np.where(np.arange(9) == 2, 0, x[9])):
+        reader = topk.Reader(lists, w, True)
+        for depth in lists.depths[:-1]:
+            reader.read(depth)
+            final = x @ w
+            assert (reader.low <= final).all() and (reader.high(slice(None)) >= final).all()
+            some = np.array([1, 5, 80])
+            assert reader.resolve(some).tolist() == final[some].tolist()
+        reader.read(700)
+        assert reader.sums.astype(np.int64).tolist() == final.tolist()
+    big = topk.Reader(topk.SortedLists(np.arange(2), np.array([[2**40, 3], [-(2**40), 1]])), np.array([2**20, 1]), True)
+    big.read(2)
+    assert big.sums.tolist() == [2**60 + 3, -(2**60) + 1]
+
+
+def test_vectors_of_several_lengths(spark):
+    from corpusloom.llm import mih
+
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=2 if i % 3 else 3).tolist()) for i in range(200)] + [(5, rng.normal(size=3).tolist()), (900, [1.0] * 4), (50, [0.5] * 7)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 50 = 0 or vec_id = 900")
+    for found, exact, score in ((topk.exact_top_k(vectors, asked, k=4), True, lambda q, c: int(np.floor(1024 * q) @ np.floor(1024 * c))), (mih.nearest(vectors, asked, k=4), False, lambda q, c: float(q @ c / np.linalg.norm(q) / np.linalg.norm(c)))):
+        got = found.collect()
+        assert {len(v) for i, v in rows if i in {r.query_id for r in got}} >= {2, 3}
+        for q in (0, 100, 150, 50):
+            v = np.array(min(e for i, e in rows if i == q))
+            wanted = sorted((-score(v, np.array(e)), i) for i, e in rows if i != q and len(e) == len(v))[:4]
+            mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+            if exact:
+                assert [(-s, i) for _, i, s in mine] == wanted
+            else:
+                scores = {i: score(v, np.array(e)) for i, e in rows if len(e) == len(v)}
+                assert len(mine) == 4 and [s for _, _, s in mine] == pytest.approx([scores[i] for _, i, _ in mine])
+        assert not [r for r in got if r.query_id == 900]
+
+
+def test_one_vec_id_in_many_blocks(spark, monkeypatch):
+    from corpusloom.llm import blocks
+
+    for name, n in (("CANDIDATES", 50), ("LEAST", 20)):
+        monkeypatch.setattr(blocks, name, n)
+    vectors = spark.createDataFrame([(7, [float(i), 1.0]) for i in range(400)] + [(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(vectors, vectors.where("vec_id = 0"), k=5).collect()
+    assert sorted(((r.rank, r.vec_id, r.score) for r in got)) == [(i + 1, 7, (399 - i) << 20) for i in range(5)]
+    assert max(r.entries for r in got) < 100
+
+
 def test_top_k_refuses_what_does_not_fit():
     with pytest.raises(OverflowError):
         topk.scaled(np.array([[1e300]]))
