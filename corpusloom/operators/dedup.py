@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from corpusloom.functions.hashing import md5_hash, split_of
 from corpusloom.functions.text import normalize_text
+from corpusloom.runtime import free_names
 
 
 @F.pandas_udf(StringType())
@@ -28,9 +29,10 @@ def keep_first(docs: DataFrame, key: Column, order: str = "doc_id") -> DataFrame
     Rows without `order` come after all others: one of them stays for each key that no other row has. Rows that share
     an `order` stay or go together.
     """
-    first = docs.where(F.col(order).isNotNull()).select(key.alias("_key"), F.col(order)).groupBy("_key").agg(F.min(order).alias(order))
-    unplaced = docs.where(F.col(order).isNull()).withColumn("_key", key)
-    alone = unplaced.join(first.select("_key"), "_key", "left_anti").dropDuplicates(["_key"]).select(*docs.columns)
+    (name,) = free_names(docs.columns, "_key")
+    first = docs.where(F.col(order).isNotNull()).select(key.alias(name), F.col(order)).groupBy(name).agg(F.min(order).alias(order))
+    unplaced = docs.where(F.col(order).isNull()).withColumn(name, key)
+    alone = unplaced.join(first.select(name), name, "left_anti").dropDuplicates([name]).select(*docs.columns)
     return docs.join(first.select(order).distinct(), order, "left_semi").select(*docs.columns).unionByName(alone)
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialize
+from corpusloom.runtime import free_names, materialize
 
 
 def _range_of(value: Column, bounds: list[float]) -> Column:
@@ -33,17 +33,20 @@ def with_prefix(df: DataFrame, order: list[str], sums: dict[str, Column], by: li
     """
     spark = df.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 0.001) if ranges > 1 else []
+    # an error well below a range's share, or ranges would not get smaller as they get more
+    bounds = df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], min(0.001, 1 / (4 * ranges))) if ranges > 1 else []
     at = _range_of(F.col(order[0]).cast("double"), sorted(set(bounds)))
     by = by or []
-    placed = df.withColumns({f"_{name}": value for name, value in sums.items()}).withColumn("_range", F.coalesce(F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(at), F.lit(-1)))
-    totals = placed.groupBy(*by, "_range").agg(*[F.sum(f"_{name}").alias(f"_{name}_total") for name in sums])
-    behind = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialize(totals.select(*by, F.col("_range"), *[F.coalesce(F.sum(f"_{name}_total").over(behind), F.lit(0)).alias(f"_{name}_offset") for name in sums]), "offsets")
-    offsets = offsets.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), *[f"_{name}_offset" for name in sums])
-    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    same = F.col("_range") == F.col("_r")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    part, other, *values = free_names(df.columns + list(sums), "_range", "_r", *[f"_{name}" for name in sums])
+    totals_of, offset_of, by_of = (free_names(df.columns + list(sums) + [part, other, *values], *[f"_{kind}_{i}" for i in range(max(len(sums), len(by)))]) for kind in ("total", "offset", "by"))
+    placed = df.withColumns(dict(zip(values, sums.values(), strict=True))).withColumn(part, F.coalesce(F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(at), F.lit(-1)))
+    totals = placed.groupBy(*by, part).agg(*[F.sum(v).alias(t) for v, t in zip(values, totals_of)])
+    behind = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(totals.select(*by, F.col(part), *[F.coalesce(F.sum(t).over(behind), F.lit(0)).alias(o) for _, t, o in zip(values, totals_of, offset_of)]), "offsets")
+    offsets = offsets.select(*[F.col(c).alias(b) for c, b in zip(by, by_of)], F.col(part).alias(other), *offset_of[: len(values)])
+    inside = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col(part) == F.col(other)
+    for c, b in zip(by, by_of):
+        same = same & F.col(c).eqNullSafe(F.col(b))
     joined = placed.join(offsets, same)
-    return joined.select(*df.columns, *[(F.col(f"_{name}_offset") + F.coalesce(F.sum(f"_{name}").over(inside), F.lit(0))).alias(name) for name in sums])
+    return joined.select(*df.columns, *[(F.col(o) + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(name) for name, v, o in zip(sums, values, offset_of)])

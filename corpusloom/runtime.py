@@ -120,6 +120,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores before it as make it differ from all taken ones (Spark does not tell upper from lower case)."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in lower:
+            name = f"_{name}"
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps: it does so once the driver's JVM has collected what stood for them, which a driver with little to do may put off for long."""
     spark.sparkContext._jvm.System.gc()

@@ -102,6 +102,15 @@ def test_windows_of_a_long_text_in_pieces():
         assert set(whole[k].tolist()) == {x for p in mine for x in seeds.window_seeds(points(p), [k])[k].tolist()}
 
 
+def test_clashing_columns(spark):
+    rows = [(i, f"t{i % 5}", i, 2 * i, "k", "r", "x") for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _v long, _range long, _KEY string, _r string, _by_0 string")
+    got = {r.doc_id: r for r in with_prefix(d, ["doc_id"], {"v": F.lit(3)}, ["_r"]).collect()}
+    assert [tuple(got[i]) for i in range(12)] == [(*r, 3 * r[0]) for r in rows]
+    kept = sorted(tuple(r) for r in dedup.keep_first(d, F.col("text")).collect())
+    assert kept == rows[:5]
+
+
 def test_require_unseen(spark):
     d = docs(spark, ["one two three", "four", None])
     prompts = lambda *texts: spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "item_id string, text string")
