@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import sliced, texts_of
 from corpusloom.llm.hashing import mix64
-from corpusloom.runtime import ship
+from corpusloom.runtime import materialize, ship
 
 #: Runs of letters, of Unicode category L: neither digits nor other numbers such as \u00b2 or \u2167.
 LETTERS = regex.compile(r"\p{L}+").findall
@@ -205,10 +205,11 @@ class Scorer:
 
 
 def train(labelled: DataFrame, *, per_lang: int = 2_000, order: int = 4) -> LanguageModels:
-    """Fit on labelled (doc_id, text, lang), at most about per_lang documents of each language, taken by a hash of doc_id.
+    """Fit on labelled (doc_id, text, lang), about per_lang documents of each language, taken by a hash of doc_id and text.
 
-    The sample's bound is per_lang whatever the table's size. A fifth of it is kept out of the counts, for
-    calibration. Rows with null text or lang teach nothing.
+    At most one and a half times per_lang documents a language are taken in all, whatever the table holds: rows that
+    repeat a doc_id and text count once, and the hash bounds the others. A fifth of them is kept out of the counts,
+    for calibration. Rows with null text or lang teach nothing.
     """
     ship(labelled.sparkSession)
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
@@ -216,8 +217,9 @@ def train(labelled: DataFrame, *, per_lang: int = 2_000, order: int = 4) -> Lang
     if not sizes:
         return LanguageModels([], order, [], [], 1.0)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))])
-    key = F.abs(F.xxhash64("doc_id", F.lit("langid")) % 1_000_000)
-    chosen = usable.withColumn("key", key).where(F.col("key") < share[F.col("lang")] * 1_000_000)
+    drawn = usable.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("key", F.abs(F.col("row") % 1_000_000)).where(F.col("key") < share[F.col("lang")] * 1_000_000)
+    drawn = drawn.groupBy("lang", "row").agg(F.first("text").alias("text"), F.first("key").alias("key"))
+    chosen = materialize(drawn.orderBy("row", "lang").limit(3 * per_lang * len(sizes) // 2), "langid-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -228,7 +230,7 @@ def train(labelled: DataFrame, *, per_lang: int = 2_000, order: int = 4) -> Lang
         langs, words, times = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(times, pa.int64())], ["lang", "word", "n"])
 
-    fifth = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
+    fifth = F.pmod(F.xxhash64("row", F.lit("calibration")), F.lit(5)) == 0
     counted = chosen.where(~fifth).select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words: dict[str, Counter] = {}
     table = counted.toArrow()

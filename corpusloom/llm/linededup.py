@@ -3,7 +3,7 @@
 The index is a folder. A line key belongs to a shard by its hash.
 
 * `filters` holds a cuckoo filter for each shard, over the keys that at least one document holds.
-* `references` is the exact table behind them: a row (shard, doc_id, k1, k2) for each document and line key. A key's
+* `references` is the exact table behind them: a row (shard, doc_id, row, k1, k2) for each document and line key. A key's
   reference count is its number of rows there, its keeper the smallest doc_id.
 * `flagged` holds the keys that a filter knew already when another document brought them.
 
@@ -28,7 +28,7 @@ from pyspark.sql.utils import AnalysisException
 
 from corpusloom.llm.batches import sliced, texts_of
 from corpusloom.llm.cuckoo import CuckooFilter, filter_of
-from corpusloom.runtime import materialize, scratch, ship
+from corpusloom.runtime import free_names, materialize, scratch, ship
 
 #: White space that is stripped from both ends of a line.
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -47,20 +47,25 @@ def line_key(line: bytes, least: int) -> bytes | None:
 
 
 def line_references(docs: DataFrame, *, least: int = 10) -> DataFrame:
-    """doc_id, k1, k2: each line key of each document once a row of docs."""
+    """doc_id, row, k1, k2: each line key of each document once a row of docs; row is a hash of its text, which tells rows that share a doc_id."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ids, keys = [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), texts_of(batch), strict=True):
+            ids, rows, keys = [], [], []
+            for doc_id, row, text in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), texts_of(batch), strict=True):
                 found = {k for line in text.encode().split(b"\n") if (k := line_key(line, least))}
                 keys += found
                 ids += [LAST if doc_id is None else doc_id] * len(found)
+                rows += [row] * len(found)
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "row", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long")
+    return docs.select("doc_id", "text", row_hash().alias("row")).mapInArrow(run, "doc_id long, row long, k1 long, k2 long")
+
+
+def row_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def folded(references: DataFrame, held: bool) -> DataFrame:
@@ -116,22 +121,24 @@ def shard_of(shards: int):
 
 
 def drop_lines(docs: DataFrame, doomed: DataFrame, *, least: int = 10, keep_text: bool = True) -> DataFrame:
-    """The rows of docs without the lines whose key doomed (doc_id, k1, k2) names for that document.
+    """The rows of docs without the lines whose key doomed (doc_id, row, k1, k2) names for that row of that document.
 
     Returned: the columns of docs, text shortened (left out without keep_text), then n_lines, n_dropped, kept_sha256
-    in place of any of docs' columns of these names.
+    in place of any of docs' columns of these names. A row is sent its own lines' keys only, so rows that share a
+    doc_id, or have none, cost no more than others.
     """
-    lists = doomed.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_keys")).select(F.col("doc_id").alias("_id"), F.col("_keys.k1").alias("_a"), F.col("_keys.k2").alias("_b"))
     figures = ["n_lines", "n_dropped", "kept_sha256"]
     carried = [c for c in docs.columns if c not in figures and c != "text"]
-    keyed = docs.select(*carried, "text").withColumn("_id", F.coalesce("doc_id", F.lit(LAST)))
+    key, row, first, second = free_names([*carried, "text", *figures, "doc_id", "row", "k1", "k2"], "_id", "_row", "_a", "_b")
+    lists = doomed.groupBy("doc_id", "row").agg(F.collect_set(F.struct("k1", "k2")).alias("keys")).select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("keys.k1").alias(first), F.col("keys.k2").alias(second))
+    keyed = docs.select(*carried, "text").withColumns({key: F.coalesce("doc_id", F.lit(LAST)), row: row_hash()})
     schema = StructType([docs.schema[c] for c in carried] + [StructField("text", StringType())] * keep_text)
     schema = schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = []
-            for text, a, b in zip(texts_of(batch), batch["_a"], batch["_b"], strict=True):
+            for text, a, b in zip(texts_of(batch), batch[first], batch[second], strict=True):
                 lines = text.encode().split(b"\n")
                 kept = lines
                 if a.is_valid:
@@ -144,7 +151,7 @@ def drop_lines(docs: DataFrame, doomed: DataFrame, *, least: int = 10, keep_text
             columns += [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, carried + ["text"] * keep_text + figures)
 
-    return keyed.join(lists, "_id", "left").select(*carried, "text", "_a", "_b").mapInArrow(run, schema)
+    return keyed.join(lists, [key, row], "left").select(*carried, "text", first, second).mapInArrow(run, schema)
 
 
 class LineIndex:
@@ -179,8 +186,8 @@ class LineIndex:
         return rows.where(chosen)
 
     def references(self, shards: list[int] | None = None) -> DataFrame:
-        """shard, doc_id, k1, k2 of the documents that the index holds; with shards, only those are read."""
-        return self._table("references", "doc_id long, k1 long, k2 long, shard int", self.files, shards)
+        """shard, doc_id, row, k1, k2 of the documents that the index holds; with shards, only those are read."""
+        return self._table("references", "doc_id long, row long, k1 long, k2 long, shard int", self.files, shards)
 
     def filters(self, shards: list[int] | None = None) -> DataFrame:
         """shard, filter, n of each shard that has keys."""
@@ -271,9 +278,9 @@ class LineIndex:
     def delete(self, docs: DataFrame) -> LineIndex:
         """The index without the documents docs (doc_id, text), as they were inserted: their lines' next holders become keepers."""
         version = 1 + max((v for versions in self.files.values() for v in versions), default=0)
-        gone = materialize(line_references(docs, least=self.least).withColumn("shard", shard_of(self.shards)).distinct(), "line-gone")
+        gone = materialize(line_references(docs, least=self.least).select("doc_id", "k1", "k2", shard_of(self.shards).alias("shard")).distinct(), "line-gone")
         touched = self._shards_in(gone)
-        left = self.references(touched).select("shard", "doc_id", "k1", "k2").join(gone, ["shard", "doc_id", "k1", "k2"], "left_anti")
+        left = self.references(touched).select("shard", "doc_id", "row", "k1", "k2").join(gone, ["shard", "doc_id", "k1", "k2"], "left_anti")
         left = materialize(left, "line-left")
         self._write(left.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), "references", version)
         held = self.references(touched).join(gone, ["shard", "doc_id", "k1", "k2"]).select("shard", "k1").distinct()
@@ -303,13 +310,13 @@ class LineIndex:
         return rows.where(F.col("version") <= newest).select("k1", "k2").distinct()
 
     def doomed(self) -> DataFrame:
-        """doc_id, k1, k2 of the lines that go: their key is held by a smaller doc_id as well. Flagged keys only are counted."""
+        """doc_id, row, k1, k2 of the lines that go: their key is held by a smaller doc_id as well. Flagged keys only are counted."""
         flagged = self.flagged()
         # written, so that the joins with a very common key's rows can be split
-        hits = materialize(self.references().select("doc_id", "k1", "k2").join(flagged, ["k1", "k2"]), "line-hits")
+        hits = materialize(self.references().select("doc_id", "row", "k1", "k2").join(flagged, ["k1", "k2"]), "line-hits")
         counted = hits.groupBy("k1", "k2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
         counted = materialize(counted.select("k1", "k2", "keeper"), "line-repeated")
-        return hits.join(counted, ["k1", "k2"]).where("doc_id > keeper").select("doc_id", "k1", "k2")
+        return hits.join(counted, ["k1", "k2"]).where("doc_id > keeper").select("doc_id", "row", "k1", "k2")
 
 
 def dedup_lines(docs: DataFrame, *, least: int = 10, keep_text: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialize
+from corpusloom.runtime import free_names, materialize
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,18 +86,20 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row for each time a document is taken, the last one cut after the words it gives.
 
-    Rows that repeat a doc_id with as many words are taken alike. Columns are those of docs.
+    Rows that repeat a doc_id with as many words are taken alike. Columns are those of docs,
+    whatever their names.
     """
     names = docs.columns
-    mixed = mix_sources(docs, **options).groupBy("doc_id", "size").agg(F.max("taken").alias("_taken"))
-    mixed = mixed.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_taken")
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    taken = sized.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    times = F.ceil(F.col("_taken") / F.col("_size")).cast("long")
-    each = taken.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_turn") - 1) * F.col("_size"))
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    return each.withColumn("text", F.when(words < F.col("_size"), start).otherwise(F.col("text"))).select(*names)
+    key, size, taken, words, turn = free_names([*names, "size", "taken"], "_id", "_size", "_taken", "_words", "_turn")
+    mixed = mix_sources(docs, **options).groupBy("doc_id", "size").agg(F.max("taken").alias(taken))
+    mixed = mixed.where(F.col(taken) > 0).select(F.col("doc_id").alias(key), F.col("size").alias(size), taken)
+    sized = docs.withColumn(words, word_count(F.col("text")))
+    met = sized.join(mixed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(words) == F.col(size)))
+    times = F.ceil(F.col(taken) / F.col(size)).cast("long")
+    each = met.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    left = F.least(F.col(size), F.col(taken) - (F.col(turn) - 1) * F.col(size))
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), left.cast("int")), "")
+    return each.withColumn("text", F.when(left < F.col(size), start).otherwise(F.col("text"))).select(*names)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

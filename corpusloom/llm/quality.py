@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import sliced, texts_of
 from corpusloom.llm.langid import remainder
-from corpusloom.runtime import ship
+from corpusloom.runtime import materialize, ship
 
 SYMBOLS = [ord(c) for c in "!#$%&*|<>=~^_{}[]@\\/+"]
 CLOSERS = [ord(c) for c in ".,;:?"]
@@ -110,17 +110,18 @@ class PairwiseRanker:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 5_000, threshold: float = 0.3) -> PairwiseRanker:
-    """Fit on docs (doc_id, text) that labels (doc_id, label 0 or 1) has, about per_class documents of each label at most, taken by a hash of doc_id.
+    """Fit on docs (doc_id, text) that labels (doc_id, label 0 or 1) has, per_class documents of each label at most, those of least hash of doc_id.
 
-    The sample's bound is per_class whatever the tables' size: its ids are sent to all tasks, its features to the
-    driver. A document with both labels counts as label 1. Null labels and ids teach nothing.
+    The sample's bound is per_class whatever the tables hold: its ids are sent to all tasks, its features to the
+    driver. Rows that repeat a doc_id teach once for each text, up to as many in all as there are ids. A document with
+    both labels counts as label 1. Null labels and ids teach nothing.
     """
     ship(docs.sparkSession)
     usable = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
-    share = F.when(F.col("label") == 1, min(1.0, per_class / max(sizes.get(1, 0), 1))).otherwise(min(1.0, per_class / max(sizes.get(0, 0), 1)))
-    picked = usable.where(F.abs(F.xxhash64("doc_id", F.lit("quality")) % 1_000_000) < share * 1_000_000)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    least = lambda label: usable.where(F.col("label") == label).orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(per_class)
+    picked = materialize(least(0).unionByName(least(1)), "quality-ids")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("row", F.xxhash64("doc_id", "text"))
+    chosen = rows.groupBy("doc_id", "label", "row").agg(F.first("text").alias("text")).orderBy("row", "doc_id").limit(2 * per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

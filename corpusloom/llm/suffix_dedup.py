@@ -217,7 +217,8 @@ class Repeats:
         splitters = self.splitters(edges)
         hot = materialize(edges.groupBy("token").count().where(F.col("count") >= HOT).select("token", F.lit(True).alias("hot")), "hot-tokens")
         marked = edges.join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-        listed = marked.groupBy("row", "tag").agg(F.collect_list(F.struct("lo", "hi", "token", "hot")).alias("edges")).select("row", "tag", *[F.col(f"edges.{c}").alias(c) for c in ("lo", "hi", "token", "hot")])
+        # rows of one text share row and tag, and their edges: a set
+        listed = marked.groupBy("row", "tag").agg(F.collect_set(F.struct("lo", "hi", "token", "hot")).alias("edges")).select("row", "tag", *[F.col(f"edges.{c}").alias(c) for c in ("lo", "hi", "token", "hot")])
         cuts = [quarter * i for i in range(4)] + [length]
 
         def tokens_of(hashes: SubstringHashes, starts: np.ndarray) -> list[np.ndarray]:
@@ -314,29 +315,33 @@ def joined(lo: np.ndarray, hi: np.ndarray, length: int) -> list[list[int]]:
     return runs
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, passage: int = 50, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 400, passage: int | None = None, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words (and kept, the bytes that stay) of each row of docs (doc_id, text; other columns are not looked at).
 
     Each byte covered by a string of `length` bytes that also starts anywhere else, in the same text or another, goes;
-    overlaps count, and strings are judged on the input. n_repeated_words tells of shorter passages, which stay: the
-    words covered by runs of over `passage` words that also start elsewhere, A-Z as a-z and any white space alike.
+    overlaps count, and strings are judged on the input. With `passage`, a second search over words tells of shorter
+    passages, which stay: n_repeated_words counts the words covered by runs of over `passage` words that also start
+    elsewhere, A-Z as a-z and any white space alike; without it, the search is left out and the number is null.
     Null text counts as empty; texts shorter than `length` keep all. Null doc_id passes through. Repeated rows repeat
     each other's strings. There are no ties. Very long texts are covered in pieces that overlap. Empty table: no rows.
     """
     rows = numbered(docs)
     found = Repeats(rows, length, Bytes).spans().withColumn("words", F.lit(False))
-    found = found.unionByName(Repeats(rows, passage + 1, Words).spans().withColumn("words", F.lit(True)))
-    spans = found.groupBy("row", "tag").agg(F.collect_list(F.struct("words", "lo", "hi")).alias("s")).select("row", "tag", *[F.col(f"s.{c}").alias(c) for c in ("words", "lo", "hi")])
+    if passage is not None:
+        found = found.unionByName(Repeats(rows, passage + 1, Words).spans().withColumn("words", F.lit(True)))
+    # rows of one text share row and tag, and their runs: a set
+    spans = found.groupBy("row", "tag").agg(F.collect_set(F.struct("words", "lo", "hi")).alias("s")).select("row", "tag", *[F.col(f"s.{c}").alias(c) for c in ("words", "lo", "hi")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out = []
             for text, words, lo, hi in zip(texts_of(batch), batch["words"], batch["lo"], batch["hi"], strict=True):
-                data, runs, told = text.encode(), [], 0
+                data, runs, told = text.encode(), [], None if passage is None else 0
                 if lo.is_valid:
                     lo, hi, words = lo.values.to_numpy(), hi.values.to_numpy(), words.values.to_numpy(zero_copy_only=False)
                     runs = joined(lo[~words], hi[~words], length)
-                    told = sum(b - a for a, b in joined(lo[words], hi[words], passage + 1))
+                    if passage is not None:
+                        told = sum(b - a for a, b in joined(lo[words], hi[words], passage + 1))
                 edge = [0, *(x for r in runs for x in r), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
                 out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), told, kept if keep_text else b""))
@@ -350,5 +355,5 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, passage: int = 50, kee
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    """remove_repeats over documents, 400 bytes, without the bytes that stay. Nulls, empty and very long texts and repeated rows as there; other columns are not looked at."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)
+    """remove_repeats over documents, 400 bytes, without the bytes that stay, and with passages of over 50 words told. Nulls, empty and very long texts and repeated rows as there; other columns are not looked at."""
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=50, keep_text=False)
