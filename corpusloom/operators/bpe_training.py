@@ -31,6 +31,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 JAVA = "(?U)"
 #: Tokens that the segments of a round may have, and candidates of the first round that does not take all pairs.
 SEGMENT_TOKENS, CANDIDATES = 1_000_000, 256
+#: Code points of texts that are encoded together.
+TEXT = 4 << 20
 #: A pair is one number: the left id above this many bits of the right one.
 SHIFT = 21
 
@@ -55,34 +57,48 @@ def _byte_words(counted: DataFrame) -> DataFrame:
 
 
 def _alternate(at: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Of the sorted places of a pair of the same id twice, those that merge from the left: the first, third ... of a stretch; reach: the place of the pair's right part."""
+    """Of the sorted places of pairs that may overlap, those that merge from the left: the first, third ... of a stretch; reach: the place of a pair's right part."""
     nth = np.arange(len(at))
     fresh = np.concatenate([[True], at[1:] != reach[:-1]]) if len(at) else np.zeros(0, bool)
     return at[(nth - np.maximum.accumulate(np.where(fresh, nth, 0))) % 2 == 0] if len(at) else at
 
 
 def _apply(flat: np.ndarray, row: np.ndarray, codes: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and their rows once the merges are made in the order of their new ids (made, by sorted code).
+    """The ids and their rows (ascending) once the merges are made in the order of their new ids (made, by sorted code).
 
-    In each row the merge of least new id is made wherever its pair stands, then the next: what making one merge after
-    another over all rows comes to, as a pair of a merge never arises again from later ones.
+    In each row the merge of least new id is made wherever its pair stands, from the left, then the next: what making
+    one merge after another over all rows comes to, as a pair of a merge never arises again from later ones. A row
+    without any pair to merge is left alone from then on.
     """
-    while len(flat) > 1 and len(codes):
+    none, done = np.iinfo(np.int64).max, []
+    while len(flat) and len(codes):
         pairs = (flat[:-1] << SHIFT) + flat[1:]
         at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
-        new = np.where((codes[at] == pairs) & (row[:-1] == row[1:]), made[at], np.iinfo(np.int64).max)
-        some = np.flatnonzero(new < np.iinfo(np.int64).max)
+        new = np.where((codes[at] == pairs) & (row[:-1] == row[1:]), made[at], none)
+        some = np.flatnonzero(new < none)
         if not len(some):
             break
         first = np.flatnonzero(np.diff(row[some], prepend=-1))
-        least = np.repeat(np.minimum.reduceat(new[some], first), np.diff(np.append(first, len(some))))
-        some = some[new[some] == least]
-        twice = flat[some] == flat[some + 1]
-        some = np.sort(np.concatenate([some[~twice], _alternate(some[twice], some[twice] + 1)]))
+        least = np.minimum.reduceat(new[some], first)
+        open_rows = row[some[first]]
+        some = some[new[some] == np.repeat(least, np.diff(np.append(first, len(some))))]
+        some = _alternate(some, some + 1)
         flat = flat.copy()
         flat[some] = new[some]
-        flat, row = np.delete(flat, some + 1), np.delete(row, some + 1)
-    return flat, row
+        left = np.ones(len(flat), bool)
+        left[some + 1] = False
+        flat, row = flat[left], row[left]
+        going = np.zeros(int(row[-1]) + 1, bool)
+        going[open_rows] = True
+        going = going[row]
+        if going.mean() < 0.7:
+            done.append((flat[~going], row[~going]))
+            flat, row = flat[going], row[going]
+    if not done:
+        return flat, row
+    flat, row = (np.concatenate(x) for x in zip(*done, (flat, row), strict=True))
+    order = np.argsort(row, kind="stable")
+    return flat[order], row[order]
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -330,29 +346,53 @@ def merge_piece(piece: bytes, ids: dict[bytes, int]) -> list[int]:
     return [ids[t] for t in tokens if t]
 
 
+def unions(ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted codes of all pairs of tokens that spell a token, and its id."""
+    found = {(ids[t[:i]] << SHIFT) + ids[t[i:]]: n for t, n in ids.items() for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids}
+    codes = np.array(sorted(found), np.int64)
+    return codes, np.array([found[c] for c in codes.tolist()], np.int64)
+
+
+def encode_pieces(pieces: list[bytes], byte_ids: np.ndarray, codes: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces one after another, and how many each has: merge_piece of each, all of them at once."""
+    flat = byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+    flat, row = _apply(flat, np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]), codes, made)
+    return flat, np.bincount(row, minlength=len(pieces))
+
+
 def encode_column(ranks: dict[bytes, int]):
-    """An Arrow UDF text -> ids of a trained vocabulary, merging by token id; specials never arise from text."""
+    """An Arrow UDF text -> ids of a trained vocabulary, merging by token id; specials never arise from text. About TEXT code points are held at a time; each distinct pre-token among them is merged once."""
     import regex
     from pyspark.sql.types import ArrayType, IntegerType
 
     usable = {t: i for t, i in ranks.items() if t.decode("utf-8", "replace") not in SPECIAL_TOKENS}
+    codes, made = unions(usable)
+    byte_ids = np.array([usable[bytes([b])] for b in range(256)], np.int64)
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        split, known = regex.compile(PRETOKEN).findall, {}
-
-        def ids(text: str | None) -> list[int]:
-            out = []
-            for p in split(text or ""):
-                if p not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[p] = merge_piece(p.encode(), usable)
-                out += known[p]
-            return out
+        split = regex.compile(PRETOKEN).findall
+
+        def together(texts: list[str]) -> list[np.ndarray]:
+            pieces = [split(t) for t in texts]
+            known = pa.array([p for own in pieces for p in own], pa.string()).dictionary_encode()
+            flat, sizes = encode_pieces([p.encode() for p in known.dictionary.to_pylist()], byte_ids, codes, made)
+            which = known.indices.to_numpy()
+            lengths, starts = sizes[which], (np.cumsum(sizes) - sizes)[which]
+            ends = np.cumsum(lengths)
+            at = np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
+            upto = np.concatenate([[0], ends])[np.cumsum([len(own) for own in pieces])]
+            return np.split(flat[at].astype(np.int32), upto[:-1])
 
         for batch in batches:
-            yield pd.Series([ids(t) for t in batch])
+            texts, out, first = [t or "" for t in batch], [], 0
+            while first < len(texts):
+                size, last = len(texts[first]), first + 1
+                while last < len(texts) and size + len(texts[last]) <= TEXT:
+                    size, last = size + len(texts[last]), last + 1
+                out += together(texts[first:last])
+                first = last
+            yield pd.Series(out, dtype=object)
 
     return encode
 

@@ -484,6 +484,10 @@ def test_merge_piece_against_rescanning():
             at = min(pairs)[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         assert bpe_training.merge_piece(piece, ids) == [ids[p] for p in parts]
+        byte_ids = __import__("numpy").arange(256)
+        flat, sizes = bpe_training.encode_pieces([piece, b"", piece[:3], piece], byte_ids, *bpe_training.unions(ids))
+        assert flat.tolist() == [ids[p] for p in parts] + bpe_training.merge_piece(piece[:3], ids) + [ids[p] for p in parts]
+        assert sizes.tolist() == [len(parts), 0, len(bpe_training.merge_piece(piece[:3], ids)), len(parts)]
     assert bpe_training.merge_piece(b"", {}) == [] and len(bpe_training.merge_piece(b"ab" * 200_000, {b"a": 0, b"b": 1, b"ab": 2})) == 200_000
 
 
