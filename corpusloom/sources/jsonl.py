@@ -6,13 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from corpusloom.config import CORPUS, WHITE_SPACE
 from corpusloom.functions.text import byte_length, normalize_text
+from corpusloom.operators.greedy import shard_of_rows
+from corpusloom.runtime import free_names
 
 #: File names that are sent to all tasks; of more files, the names are joined.
 MOST_FILES = 100_000
@@ -90,29 +90,15 @@ def inventory(rows: DataFrame) -> DataFrame:
 def shard_numbers(docs: DataFrame, by: str, order: str, first: int = 0, shard_bytes: int = CORPUS.shard_bytes) -> DataFrame:
     """docs with shard: a shard closes once its bytes reach shard_bytes, and counting starts anew.
 
-    A fold over (order, bytes) in order; only those two columns go to the source's task, which reads them sorted, batch
-    by batch, and holds one number. Sources, not rows, bound the tasks: the fold is sequential by definition. Null
-    sources are a source, null orders come first; rows that share both are one document to the fold and stay together.
+    The fold is taken as jumps over prefix sums (operators/greedy.py), so that a source of very many rows is many tasks;
+    only (order, bytes) are looked at. order must be a number. Null sources are a source, null orders come first; rows
+    that share both are one document to the fold and stay together.
     """
-    sizes = docs.groupBy(by, order).agg(F.sum(byte_length(F.coalesce("text", F.lit("")))).alias("_bytes"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, shard, held = (), first, 0
-        for batch in batches:
-            out = []
-            for own, b in zip(batch[0].to_pylist(), batch["_bytes"].to_pylist(), strict=True):
-                if source != (own,):
-                    source, shard, held = (own,), first, 0
-                out.append(shard)
-                held += b
-                if held >= shard_bytes:
-                    shard, held = shard + 1, 0
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(out, pa.int32())], ["_by", "_order", "shard"])
-
-    schema = StructType([StructField("_by", docs.schema[by].dataType), StructField("_order", docs.schema[order].dataType)]).add("shard", "integer")
-    placed = sizes.repartition(F.col(by)).sortWithinPartitions(by, order).mapInArrow(fold, schema)
-    same = F.col(by).eqNullSafe(F.col("_by")) & F.col(order).eqNullSafe(F.col("_order"))
-    return docs.join(placed, same).drop("_by", "_order")
+    key, place = free_names([*docs.columns, "shard"], "_by", "_order")
+    sizes = docs.groupBy(F.col(by).alias("g"), F.col(order).alias("o")).agg(F.sum(byte_length(F.coalesce("text", F.lit("")))).alias("b"))
+    placed = shard_of_rows(sizes, first=first, shard_bytes=shard_bytes).select(F.col("g").alias(key), F.col("o").alias(place), "shard")
+    same = F.col(by).eqNullSafe(F.col(key)) & F.col(order).eqNullSafe(F.col(place))
+    return docs.join(placed, same).drop(key, place)
 
 
 def write_shards(docs: DataFrame, path: str, by: str = "source") -> None:

@@ -1,4 +1,5 @@
 import json
+import random
 import unicodedata
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import HUMAN_RANGES, WHITE_SPACE
 from corpusloom.functions import hashing, requests, text
-from corpusloom.operators import repetition
+from corpusloom.operators import greedy, repetition
 from corpusloom.operators.dedup import normalize_udf
 from corpusloom.sources import jsonl, suites, tokens
 
@@ -92,6 +93,41 @@ def test_greedy_shards(spark):
     assert got == {("s", 0): 4, ("s", 1): 4, ("s", 2): 5, ("s", 3): 5, ("s", 4): 6, ("t", 1): 4}
 
 
+def fold_shards(rows, shard_bytes):
+    """rows (order, bytes) by the definition: a shard closes once it holds shard_bytes."""
+    out, shard, held = {}, 0, 0
+    for order, size in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        out[order] = shard
+        held += size
+        if held >= shard_bytes:
+            shard, held = shard + 1, 0
+    return out
+
+
+def test_greedy_shards_over_many_ranges(spark, monkeypatch):
+    """Ranges of a few shards each; documents of no bytes, of a shard's bytes and of more than a range's."""
+    rng = random.Random(21)
+    monkeypatch.setattr(greedy, "RANGE_ROWS", 12)
+    rows = [(g, i, rng.choice([0, 0, 1, 3, 9, 10, 11, 25, 400]) if g == "odd" else rng.randint(0, 9)) for g in ("odd", "even", None, "one") for i in ([*range(300), None] if g != "one" else [3])]
+    sizes = spark.createDataFrame(rows, "g string, o long, b long")
+    got = {(r.g, r.o): r.shard for r in greedy.shard_of_rows(sizes, first=0, shard_bytes=10).collect()}
+    wanted = {(g, o): n for g in ("odd", "even", None, "one") for o, n in fold_shards([(o, b) for x, o, b in rows if x == g], 10).items()}
+    assert got == wanted
+    assert max(wanted.values()) > 100
+    assert greedy.shard_of_rows(sizes.limit(0), first=0, shard_bytes=10).collect() == []
+
+
+def test_leaps():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sums = np.unique(np.cumsum(rng.integers(0, 30, 500)))
+    leave, count = greedy.leaps(sums, 70)
+    for i in range(0, len(sums), 17):
+        starts = greedy.starts_from(sums, int(sums[i]), 70)
+        assert (count[i], leave[i]) == (len(starts), starts[-1] + 70)
+
+
 def test_token_table(spark, tmp_path):
     path = f"file://{tmp_path}/tokens"
     windows = spark.createDataFrame([(0, [1, 2], [2, 3])], "window_id long, x array<int>, y array<int>")
