@@ -1,4 +1,4 @@
-"""Running sums over a whole table without sorting it in one task."""
+"""Running sums, least values and rows before, over a whole table without sorting it in one task."""
 
 from __future__ import annotations
 
@@ -24,6 +24,45 @@ def _range_of(value: Column, bounds: list[float]) -> Column:
     return stretch * width + upto(F.element_at(F.array(*map(listed, stretches)), stretch + 1))
 
 
+def _range(df: DataFrame, order: str) -> Column:
+    """The number of a row's range of the order column: its quantiles cut it into as many as the session has shuffle partitions; -1 for null."""
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # an error well below a range's share, or ranges would not get smaller as they get more
+    bounds = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], min(0.001, 1 / (4 * ranges))) if ranges > 1 else []
+    at = _range_of(F.col(order).cast("double"), sorted(set(bounds)))
+    return F.coalesce(F.when(F.col(order).isNull(), F.lit(-1)).otherwise(at), F.lit(-1))
+
+
+def with_running(df: DataFrame, order: list[str], by: list[str], least: dict[str, Column], last: dict[str, Column]) -> DataFrame:
+    """df with, for each name in least, the smallest value of all rows before, and for each in last, the value of the row before; null where there is none.
+
+    Each group is a sequence of its own, in the order of the columns, the first of which must be a number (nulls come
+    first). As in with_prefix, a group's rows are cut into ranges: each range is scanned on its own and takes what the
+    ranges before it hand on, their least values and their last row. A group of very many rows is many tasks.
+    """
+    df = df.select("*")
+    (part,) = free_names([*df.columns, *least, *last], "_range")
+    values = dict(zip([*least, *last], free_names([*df.columns, *least, *last, part], *[f"_in_{name}" for name in [*least, *last]]), strict=True))
+    placed = materialize(df.withColumns({values[n]: c for n, c in (least | last).items()}).withColumn(part, _range(df, order[0])), "ranged")
+    keys = free_names([*placed.columns, *least, *last], *[f"_by_{c}" for c in by], "_part")
+    handed = free_names([*placed.columns, *keys, *least, *last], *[f"_from_{name}" for name in values])
+    # the last row of a range by all order columns; of rows that tie in them any may be the last, as in a window
+    found = [F.min(values[n]).alias(h) for n, h in zip(least, handed)] + [F.max_by(F.struct(values[n]), F.struct(*order)).alias(h) for n, h in zip(last, handed[len(least) :])]
+    ends = placed.groupBy(*by, part).agg(*found)
+    before = Window.partitionBy(*by).orderBy(part)
+    carried = [F.min(h).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias(h) for h in handed[: len(least)]]
+    carried += [F.lag(h).over(before)[values[n]].alias(h) for n, h in zip(last, handed[len(least) :])]
+    ends = materialize(ends.select(*[F.col(c).alias(k) for c, k in zip([*by, part], keys, strict=True)], *carried), "handed-on")
+    same = F.col(part) == F.col(keys[-1])
+    for c, k in zip(by, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    rows = Window.partitionBy(*by, part).orderBy(*order)
+    behind, first = rows.rowsBetween(Window.unboundedPreceding, -1), F.row_number().over(rows) == 1
+    mins = [F.least(F.col(h), F.min(values[n]).over(behind)).alias(n) for n, h in zip(least, handed)]
+    lasts = [F.when(first, F.col(h)).otherwise(F.lag(values[n]).over(rows)).alias(n) for n, h in zip(last, handed[len(least) :])]
+    return placed.join(ends, same).select(*df.columns, *mins, *lasts)
+
+
 def with_prefix(df: DataFrame, order: list[str], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """df with, for each name in sums, the sum of its value over all rows before (0 for the first), in the order of the columns.
 
@@ -31,15 +70,11 @@ def with_prefix(df: DataFrame, order: list[str], sums: dict[str, Column], by: li
     the ranges' totals, a small table of a row a range, place them behind one another. by: sums start anew in each
     group. Nulls come first.
     """
-    spark = df.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # an error well below a range's share, or ranges would not get smaller as they get more
-    bounds = df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], min(0.001, 1 / (4 * ranges))) if ranges > 1 else []
-    at = _range_of(F.col(order[0]).cast("double"), sorted(set(bounds)))
+    at = _range(df, order[0])
     by = by or []
     part, other, *values = free_names(df.columns + list(sums), "_range", "_r", *[f"_{name}" for name in sums])
     totals_of, offset_of, by_of = (free_names(df.columns + list(sums) + [part, other, *values], *[f"_{kind}_{i}" for i in range(max(len(sums), len(by)))]) for kind in ("total", "offset", "by"))
-    placed = df.withColumns(dict(zip(values, sums.values(), strict=True))).withColumn(part, F.coalesce(F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(at), F.lit(-1)))
+    placed = df.withColumns(dict(zip(values, sums.values(), strict=True))).withColumn(part, at)
     totals = placed.groupBy(*by, part).agg(*[F.sum(v).alias(t) for v, t in zip(values, totals_of)])
     behind = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(totals.select(*by, F.col(part), *[F.coalesce(F.sum(t).over(behind), F.lit(0)).alias(o) for _, t, o in zip(values, totals_of, offset_of)]), "offsets")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefix import with_running
+from corpusloom.runtime import free_names
+
 
 def progress_rows(states: DataFrame) -> DataFrame:
     """Log rows of states (step, total_steps, tokens_seen, data_position, loss, best_val_loss, lr, tokens_per_second, vram_gb): rounded, infinity as null, no total as 0.0."""
@@ -20,18 +23,19 @@ def latest(log: DataFrame, by: list[str], step: str) -> DataFrame:
 
 
 def running_best(log: DataFrame, by: list[str], order: list[str], loss: str) -> DataFrame:
-    """log with best, the least loss so far, and is_best, whether the row is below all before."""
-    rows = Window.partitionBy(*by).orderBy(*order)
-    before = F.min(loss).over(rows.rowsBetween(Window.unboundedPreceding, -1))
-    return log.withColumn("best", F.min(loss).over(rows.rowsBetween(Window.unboundedPreceding, 0))).withColumn("is_best", before.isNull() | (F.col(loss) < before))
+    """log with best, the least loss so far, and is_best, whether the row is below all before. The first order column must be a number; a run of very many rows is many tasks."""
+    (before,) = free_names([*log.columns, "best", "is_best"], "_before")
+    placed = with_running(log, order, by, {before: F.col(loss)}, {})
+    out = placed.withColumn("best", F.least(before, loss)).withColumn("is_best", F.col(before).isNull() | (F.col(loss) < F.col(before)))
+    return out.drop(before)
 
 
 def throughput_rows(log: DataFrame, by: list[str], step: str, seconds: Column, tokens_per_step: int) -> DataFrame:
-    """log with steps_since, seconds_since and tokens_per_second since each run's row before."""
-    rows = Window.partitionBy(*by).orderBy(step)
-    out = log.withColumn("_s", seconds)
-    out = out.withColumn("steps_since", F.col(step) - F.lag(step).over(rows)).withColumn("seconds_since", F.col("_s") - F.lag("_s").over(rows))
-    return out.withColumn("tokens_per_second", F.when(F.col("seconds_since") > 0, tokens_per_step * F.col("steps_since") / F.col("seconds_since"))).drop("_s")
+    """log with steps_since, seconds_since and tokens_per_second since each run's row before. step must be a number; a run of very many rows is many tasks."""
+    now, at, then = free_names([*log.columns, "steps_since", "seconds_since", "tokens_per_second"], "_now", "_at", "_then")
+    out = with_running(log.withColumn(now, seconds), [step], by, {}, {at: F.col(step), then: F.col(now)})
+    out = out.withColumn("steps_since", F.col(step) - F.col(at)).withColumn("seconds_since", F.col(now) - F.col(then))
+    return out.withColumn("tokens_per_second", F.when(F.col("seconds_since") > 0, tokens_per_step * F.col("steps_since") / F.col("seconds_since"))).drop(now, at, then)
 
 
 def retained(catalog: DataFrame, by: list[str], keep: int, loss: str) -> DataFrame:

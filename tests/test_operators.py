@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom import config
 from corpusloom.functions import planning, text
 from corpusloom.operators import bpe_training, corpus, dedup, evaluation, overlap, packing, report, runs, sampling
-from corpusloom.operators import seeds
+from corpusloom.operators import prefix, seeds
 from corpusloom.operators.prefix import with_prefix
 from corpusloom.plans import catalogue
 
@@ -102,6 +102,22 @@ def test_windows_of_a_long_text_in_pieces():
         assert set(whole[k].tolist()) == {x for p in mine for x in seeds.window_seeds(points(p), [k])[k].tolist()}
 
 
+def test_running_over_ranges(spark):
+    """One run of most rows, cut into ranges; nulls in order, value and run."""
+    rng = random.Random(13)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i if i % 41 else None, rng.choice([None, rng.randint(0, 10**6)]), i) for i in range(600)]
+    rows = [r for i, r in enumerate(rows) if r[1] is not None or i < 82]  # at most two null steps
+    log = spark.createDataFrame(rows, "run string, step long, loss long, _range long")
+    got = prefix.with_running(log, ["step", "_range"], ["run"], {"low": F.col("loss")}, {"at": F.col("_range")}).collect()
+    held = {}
+    for r in sorted(got, key=lambda r: (-1 if r.step is None else r.step, r["_range"])):
+        low, at = held.get(r.run, (None, None))
+        assert (r.low, r["at"]) == (low, at)
+        held[r.run] = (r.loss if low is None else low if r.loss is None else min(low, r.loss), r["_range"])
+    assert len(got) == len(rows)
+    assert prefix.with_running(log.limit(0), ["step"], ["run"], {"low": F.col("loss")}, {}).collect() == []
+
+
 def test_clashing_columns(spark):
     rows = [(i, f"t{i % 5}", i, 2 * i, "k", "r", "x") for i in range(12)]
     d = spark.createDataFrame(rows, "doc_id long, text string, _v long, _range long, _KEY string, _r string, _by_0 string")
