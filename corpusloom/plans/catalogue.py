@@ -14,7 +14,7 @@ from corpusloom.functions import hashing, planning, requests, text
 from corpusloom.operators import bpe_training, corpus, dedup, evaluation, overlap, packing, repetition, report, runs, sampling
 from corpusloom.runtime import materialize, scratch, ship
 from corpusloom.sources import jsonl, suites, tokens
-from corpusloom.streaming import jobs
+from corpusloom.streaming import jobs, pages
 
 VAL_RATIO = 0.05
 BLOCK = 64
@@ -196,6 +196,16 @@ def jsonl_strict_violations(spark, sf_dir):
     return jsonl.violations(docs.select((F.col("doc_id") + 1).alias("line_no"), line.alias("value")))
 
 
+@query("""SELECT line_no, fault FROM (SELECT row_number() OVER (ORDER BY doc_id) AS line_no, CASE doc_id % 6 WHEN 2 THEN 'malformed JSON' WHEN 3 THEN 'missing or not a string' WHEN 4 THEN 'not an object' END AS fault FROM documents)
+WHERE fault IS NOT NULL""")
+def strict_scan_of_files(spark, sf_dir):
+    """Lines of six kinds made from documents, written in order of doc_id as the files of one folder and scanned strictly: the refused ones with their numbers. Blank lines are passed over and counted."""
+    docs, k, path = documents(spark, sf_dir), F.col("doc_id") % 6, scratch(spark, "strict-scan")
+    line = F.when(k <= 1, F.to_json(F.struct("text"))).when(k == 2, F.lit('{"text": "cut')).when(k == 3, F.lit('{"text": 1}')).when(k == 4, F.lit("[1]")).otherwise(F.lit("  "))
+    docs.select("doc_id", line.alias("value")).orderBy("doc_id").select("value").write.text(path)
+    return jsonl.violations(jsonl.numbered_lines(spark, path))
+
+
 @query(f"SELECT count(*)::BIGINT AS docs, sum(strlen(n))::BIGINT AS text_bytes FROM (SELECT {_norm(_DIRTY)} AS n FROM documents) WHERE n <> ''")
 def jsonl_sink(spark, sf_dir):
     """Documents and bytes of what was written, counted as it is read back."""
@@ -279,6 +289,22 @@ def stream_ingest(spark, sf_dir):
     return spark.read.schema("doc_id long, text string").parquet(f"{path}/out").select("doc_id", text.char_length(F.col("text")).alias("n_chars"))
 
 
+@query("SELECT doc_id % 7 AS page, md5(text) AS h, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
+def stream_pages(spark, sf_dir):
+    """Pages of documents read by the paged source: four are there at first, three come before a second run goes on from the checkpoint. Each text once for each document that has it."""
+    path = scratch(spark, "stream-pages")
+    docs = documents(spark, sf_dir).select("text", (F.col("doc_id") % 7).alias("page"))
+    for names in ("page < 4", "page >= 4"):
+        # a page is a file: its name says its place
+        docs.where(names).repartition("page").write.mode("overwrite").partitionBy("page").parquet(f"{path}/made")
+        pages.gather(spark, f"{path}/made", f"{path}/in", "page")
+        stream = pages.read_pages(spark, f"{path}/in")
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema(pages.SCHEMA).parquet(f"{path}/out")
+    number = F.regexp_extract("page", r"^page-(\d+)-", 1).cast("long")
+    return read.groupBy(number.alias("page"), hashing.md5_hash(F.col("text")).alias("h")).agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT md5(n) AS h, length(n)::BIGINT AS n_chars FROM (SELECT DISTINCT {_norm('text')} AS n FROM documents)")
 def stream_first_seen(spark, sf_dir):
     """Each text once, whichever batch brings it."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import CORPUS, WHITE_SPACE
 from corpusloom.functions.text import byte_length, normalize_text
 from corpusloom.operators.greedy import shard_of_rows
-from corpusloom.runtime import free_names
+from corpusloom.runtime import free_names, materialize
 
 #: File names that are sent to all tasks; of more files, the names are joined.
 MOST_FILES = 100_000
@@ -66,9 +66,17 @@ def read_corpus(spark: SparkSession, path: str, field: str = "text", prefix: str
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1), value of one file that a strict scan reads. Its lines are numbered in the order of one split: for held-out files, which are small."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r\n|\n")).alias("at", "value")).select((F.col("at") + 1).alias("line_no"), "value")
+    """line_no (from 1), value of a file that a strict scan reads, or of a folder's files, taken one after another by name.
+
+    A large file is read in splits, a task each. The lines of each split are counted first, a row a split; the counts
+    before a split and a line's place in it make its number. Lines end as Python's text files end them: \\n, \\r\\n or \\r.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # a row a split: of 10 TB in splits of 128 MB, 80,000
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    placed = materialize(splits.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "line-splits")
+    return lines.join(F.broadcast(placed), ["file", "split"]).select((F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def write_jsonl(docs: DataFrame, path: str) -> DataFrame:
