@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard, linededup, mixing, token_store, topk
 from corpusloom.llm.bpe import decode_documents, encode_documents
@@ -441,6 +442,32 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame(spark, [])).collect() == []
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    """Each row is sent its own lines' keys; columns that clash with the operators' own names pass through."""
+    import time
+
+    took = []
+    for n in (300, 3_000):
+        rows = [(i if i % 3 == 0 else 10**6 if i % 3 == 1 else None, "\n".join(f"line {(7 * i + j) % (2 * n)} of many lines" for j in range(20)), "s") for i in range(n)]
+        docs = frame(spark, rows).withColumns({"_id": F.lit(5), "_a": F.lit("a"), "_row": F.lit(6)})
+        began = time.time()
+        out = linededup.dedup_lines(docs)
+        assert lines_of(out) == brute_lines(rows)
+        took.append(time.time() - began)
+        assert {(r["_id"], r["_a"], r["_row"]) for r in out.collect()} == {(5, "a", 6)}
+    assert took[1] < 20 + 12 * took[0]
+
+
+def test_mix_keeps_clashing_columns(spark):
+    rows = [(i, "w " * (i + 1), "ab"[i % 2]) for i in range(20)]
+    names = ["_size", "_words", "_taken", "_turn", "_id", "_SIZE_"]
+    docs = frame(spark, rows).withColumns({c: F.lit(c) for c in names})
+    plain = sorted((r.doc_id, r.text) for r in mixing.apply_mix(frame(spark, rows, False)).collect())
+    got = mixing.apply_mix(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == plain and plain
+    assert {tuple(r[c] for c in names) for r in got} == {tuple(names)}
+
+
 def documents_of(rows):
     return list({r[0]: r for r in rows if r[0] is not None and r[0] < 500}.values())
 

@@ -73,3 +73,22 @@ def test_text_in_pieces(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(docs, length=40).collect() == []
+
+
+def test_many_copies_of_a_text_take_their_share(spark):
+    """Thousands of identical rows, and thousands without doc_id: each is sent its own runs, once."""
+    import time
+
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    text, own = words(400), words(90)
+    took = []
+    for n in (500, 5_000):
+        rows = [(7, text)] * (n // 2) + [(None, text)] * (n // 2) + [(1, own), (2, f"{own[:300]} {text[:450]}")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        began = time.time()
+        got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(docs, keep_text=False).collect()}
+        took.append(time.time() - began)
+        size = len(text)
+        assert got == {(7, size, size, 1), (None, size, size, 1), (1, len(own), 0, 0), (2, 751, 450, 1)}
+    assert took[1] < 10 + 12 * took[0]
