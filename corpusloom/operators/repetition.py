@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import HUMAN_RANGES
 from corpusloom.functions.text import distinct_n, joined_ngrams, words
+from corpusloom.operators.prefix import with_prefix
+from corpusloom.runtime import materialize
 
 
 def max_repeat(tokens: Column, n: int = 4) -> Column:
@@ -65,13 +67,29 @@ def summary(samples: DataFrame, profile: str, eos: Column) -> DataFrame:
 
 
 def percentiles(docs: DataFrame) -> DataFrame:
-    """p10, median and p90 of distinct-2 by length class: what the published ranges are for human-written text."""
+    """p10, median and p90 of distinct-2 by length class: what the published ranges are for human-written text.
+
+    Exact, by rank: the values are cut into ranges that are sorted each on its own, and a class's size says which ranks
+    its percentiles lie between, so that no task holds a class.
+    """
     split = docs.select(words(F.col("text")).alias("w"))
     # texts of one word have no pair: null, which percentiles pass over; a filter would split every text twice
     measured = split.select(F.when(F.size("w") >= 2, distinct_n(F.col("w"), 2)).alias("d"), F.size("w").alias("n"))
     bound = None
     for row in HUMAN_RANGES[:-1]:
         bound = F.when(F.col("n") <= row[0], row[0]) if bound is None else bound.when(F.col("n") <= row[0], row[0])
-    classed = measured.withColumn("max_words", bound.otherwise(HUMAN_RANGES[-1][0]).cast("long"))
-    found = classed.groupBy("max_words").agg(F.count("d").alias("n_docs"), *[F.round(F.percentile("d", p), 9).alias(name) for name, p in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))])
-    return found.where("n_docs > 0")
+    classed = materialize(measured.select(bound.otherwise(HUMAN_RANGES[-1][0]).cast("long").alias("max_words"), "d"), "distinct-2").where("d is not null")
+    return ranked_percentiles(classed, "max_words", "d", {"p10": 0.1, "median": 0.5, "p90": 0.9})
+
+
+def ranked_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by, n_docs and the wanted percentiles (interpolated, 9 digits) of the values (numbers, not null) of each group; groups are few."""
+    placed = with_prefix(rows.select(by, value), [value], {"nth": F.lit(1)}, [by])
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n_docs"))
+    met = placed.join(sizes, by)
+    place = {name: (F.col("n_docs") - 1) * F.lit(share) for name, share in shares.items()}
+    at = lambda rank: F.max(F.when(F.col("nth") == rank, F.col(value)))
+    ends = [c for name, x in place.items() for c in (at(F.floor(x)).alias(f"{name}_low"), at(F.ceil(x)).alias(f"{name}_high"), F.max(x - F.floor(x)).alias(f"{name}_part"))]
+    wanted = met.where(F.array_contains(F.array(*[r.cast("long") for x in place.values() for r in (F.floor(x), F.ceil(x))]), F.col("nth").cast("long")))
+    found = wanted.groupBy(by, "n_docs").agg(*ends)
+    return found.select(by, "n_docs", *[F.round(F.col(f"{n}_low") * (1 - F.col(f"{n}_part")) + F.col(f"{n}_high") * F.col(f"{n}_part"), 9).alias(n) for n in shares])

@@ -311,7 +311,7 @@ def stream_first_seen(spark, sf_dir):
     path = scratch(spark, "stream-first")
     documents(spark, sf_dir).select("doc_id", "text").repartition(3).write.parquet(f"{path}/in")
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    jobs.first_seen(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    jobs.keep_first_seen(stream, f"{path}/out", f"{path}/log").awaitTermination()
     return spark.read.schema("doc_id long, text string, h string").parquet(f"{path}/out").select("h", text.char_length(text.normalize_text(F.col("text"))).alias("n_chars"))
 
 

@@ -52,6 +52,30 @@ def first_seen(docs: DataFrame, event_time: str | None = None, horizon: str | No
     return hashed.dropDuplicates(["h"])
 
 
+#: Settings of a stream whose state may exceed the executors' heaps: RocksDB holds it on their disks, and a checkpoint writes what has changed since the last one.
+LARGE_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def keep_first_seen(docs: DataFrame, sink: str, checkpoint: str, event_time: str | None = None, horizon: str | None = None) -> StreamingQuery:
+    """Append the first document of each normalised text of a stream to a Parquet folder, over all runs from this checkpoint.
+
+    The hashes seen are kept by RocksDB, so that their number is bounded by disk, not by memory; a restarted run goes
+    on from the checkpoint, and no text is lost or written twice. The session's own settings are put back.
+    """
+    conf, before = docs.sparkSession.conf, {}
+    for name, value in LARGE_STATE.items():
+        before[name] = conf.get(name, None)
+        conf.set(name, value)
+    try:
+        return first_seen(docs, event_time, horizon).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:  # a started query has its own copy of the settings
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def stable_text(held: bytes, new: bytes) -> tuple[str, bytes]:
     """Text that is certain once new bytes follow the held ones, and the bytes of a character that may still grow."""
     data = held + new

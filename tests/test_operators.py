@@ -118,6 +118,21 @@ def test_running_over_ranges(spark):
     assert prefix.with_running(log.limit(0), ["step"], ["run"], {"low": F.col("loss")}, {}).collect() == []
 
 
+def test_ranked_percentiles(spark):
+    import numpy as np
+
+    from corpusloom.operators.repetition import ranked_percentiles
+
+    rng = random.Random(17)
+    rows = [(g, rng.choice([0.25, rng.random()])) for g, n in ((1, 500), (2, 3), (3, 1), (4, 2)) for _ in range(n)]
+    shares = {"low": 0.1, "mid": 0.5, "top": 1.0, "least": 0.0}
+    got = {r.g: (r.n_docs, r.low, r.mid, r.top, r.least) for r in ranked_percentiles(spark.createDataFrame(rows, "g long, d double"), "g", "d", shares).collect()}
+    for g in (1, 2, 3, 4):
+        own = [d for x, d in rows if x == g]
+        assert got[g] == pytest.approx((len(own), *(float(np.quantile(own, p)) for p in shares.values())), abs=1e-8)
+    assert len(got) == 4
+
+
 def test_clashing_columns(spark):
     rows = [(i, f"t{i % 5}", i, 2 * i, "k", "r", "x") for i in range(12)]
     d = spark.createDataFrame(rows, "doc_id long, text string, _v long, _range long, _KEY string, _r string, _by_0 string")

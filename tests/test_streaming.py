@@ -49,6 +49,22 @@ def test_first_seen(spark, tmp_path):
     assert sorted(r.text for r in run(jobs.first_seen(stream), "first_seen").collect()) == ["0", "1", "hai", "một"]
 
 
+def test_first_seen_goes_on_after_a_restart(spark, tmp_path):
+    """Runs one after another from one checkpoint: each text once, by RocksDB's files, and the session as it was."""
+    source, sink, log = (f"file://{tmp_path}/{n}" for n in ("in", "out", "log"))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    for first in (0, 300, 500):
+        spark.createDataFrame([(first + i, f"  text {(first + i) % 450}") for i in range(400)], "doc_id long, text string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 2).parquet(source)
+        jobs.keep_first_seen(stream, sink, log).awaitTermination()
+    assert spark.conf.get(setting) == before
+    kept = [r.text.strip() for r in spark.read.parquet(sink).collect()]
+    assert sorted(kept) == sorted(f"text {i}" for i in range(450))
+    files = [f.name for f in (tmp_path / "log" / "state").rglob("*") if f.is_file()]
+    assert any(f.endswith(".changelog") for f in files) and not any(f.endswith(".delta") for f in files)
+
+
 def test_stable_text():
     for text in ("plain", "é", "漢字", "😀x", "á"):
         data, held, out = text.encode(), b"", ""
