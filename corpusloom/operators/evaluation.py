@@ -15,9 +15,9 @@ def token_pairs(docs: DataFrame, tokens: Column, order: str = "doc_id") -> DataF
     return t.select(order, F.explode(follow).alias("p")).select(order, "p.x", "p.y", F.lit(1).cast("long").alias("n"))
 
 
-def pair_counts(pairs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """order, x, y, n: how often y follows x in each document."""
-    return pairs.groupBy(order, "x", "y").agg(F.sum("n").alias("n"))
+def pair_counts(pairs: DataFrame, *by: Column | str) -> DataFrame:
+    """by, x, y, n: how often y follows x in each document, batch or whatever the pairs are counted by; without by, in all."""
+    return pairs.groupBy(*by, "x", "y").agg(F.sum("n").alias("n"))
 
 
 class BigramScorer:
@@ -43,12 +43,22 @@ class BigramScorer:
         return counted.select("row_id", F.col("y").alias("token_id"), F.log(F.coalesce("c", F.lit(0)) + 1).alias("logit"))
 
 
-def token_weighted(scored: DataFrame, order: str = "doc_id") -> DataFrame:
-    """nll, perplexity, n_tokens, n_docs: all cross-entropy over all targets, never a mean of means."""
-    out = scored.agg((F.sum("ce") / F.sum("n")).alias("nll"), F.sum("n").cast("long").alias("n_tokens"), F.countDistinct(order).alias("n_docs"))
+def token_weighted(scored: DataFrame, order: str = "doc_id", n_docs: DataFrame | None = None) -> DataFrame:
+    """nll, perplexity, n_tokens, n_docs: all cross-entropy over all targets, never a mean of means.
+
+    scored may be of pairs that were summed over documents before they were scored, which spares the joins a row for
+    each document and pair; n_docs is then a row that counts the documents, as targets() does.
+    """
+    figures = [(F.sum("ce") / F.sum("n")).alias("nll"), F.sum("n").cast("long").alias("n_tokens")]
+    out = scored.agg(*figures, F.countDistinct(order).alias("n_docs")) if n_docs is None else scored.agg(*figures).crossJoin(F.broadcast(n_docs))
     return out.select(F.round("nll", 9).alias("nll"), F.round(F.exp("nll"), 6).alias("perplexity"), "n_tokens", "n_docs")
 
 
+def targets(docs: DataFrame, tokens: Column, order: str = "doc_id") -> DataFrame:
+    """One row, n_docs: the documents that have a token after another."""
+    return docs.where(F.size(tokens) >= 2).agg(F.countDistinct(order).alias("n_docs"))
+
+
 def batch_mean(scored: DataFrame, batch: Column) -> DataFrame:
     """Mean of the batches' mean losses, as validation during training takes it."""
     means = scored.groupBy(batch.alias("batch")).agg((F.sum("ce") / F.sum("n")).alias("loss"))
