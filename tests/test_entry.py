@@ -51,5 +51,5 @@ def test_entry_with_everything():
 
     if not e.llm:
         pytest.skip("the subpackage is absent")
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in e.queries()} and "pipeline" in e.queries()
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in e.queries()} and "pipeline" in e.queries()
     assert set(e.oracle_sql()) <= set(e.queries())
