@@ -29,8 +29,8 @@ from corpusloom.runtime import materialize, read_file, ship, write_file
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: In Java's regular expressions, white space is that of Unicode only with this flag before the pattern.
 JAVA = "(?U)"
-#: Tokens that the segments of a round may have, and candidates of the first round that does not take all pairs.
-SEGMENT_TOKENS, CANDIDATES = 1_000_000, 256
+#: Tokens that the segments of a round may have; candidates of the first round that does not take all pairs, and of any.
+SEGMENT_TOKENS, CANDIDATES, MOST_CANDIDATES = 1_000_000, 256, 1 << 17
 #: Code points of texts that are encoded together.
 TEXT = 4 << 20
 #: A pair is one number: the left id above this many bits of the right one.
@@ -248,14 +248,15 @@ def train_merges(docs: DataFrame, *, vocab_size: int, min_frequency: int, segmen
         ranked = _pair_counts(words).where(F.col("n") >= max(1, min_frequency))
         whole = held <= segment_tokens
         if not whole:
-            top = ranked.orderBy(F.desc("n"), "code").limit(candidates + 1).collect()
+            top = ranked.orderBy(F.desc("n"), "code").limit(candidates + 1).toArrow()
+            top_codes, top_n = top["code"].to_numpy(), top["n"].to_numpy()
         while True:
             if whole:
                 cut, floor = words.select("ids", "n"), None
             else:
-                taken = top[:candidates]
-                floor = (-top[candidates].n, top[candidates].code) if len(top) > candidates else None
-                cut = materialize(_segments(words, np.sort(np.array([r.code for r in taken], np.int64))), "bpe-segments") if taken else None
+                taken = np.sort(top_codes[:candidates])
+                floor = (-int(top_n[candidates]), int(top_codes[candidates])) if len(top_codes) > candidates else None
+                cut = materialize(_segments(words, taken), "bpe-segments") if len(taken) else None
             size = None if whole or cut is None else cut.agg(F.coalesce(F.sum(F.octet_length("segment")), F.lit(0)).alias("b")).first().b // 4
             if whole or cut is None or size <= segment_tokens or candidates == 1:
                 break
@@ -275,7 +276,7 @@ def train_merges(docs: DataFrame, *, vocab_size: int, min_frequency: int, segmen
         words = materialize(_merge_words(words, found, base + len(merges)), "bpe-words")
         merges += found
         if not whole and 2 * size < segment_tokens:
-            candidates *= 4 if 16 * size < segment_tokens else 2
+            candidates = min(candidates * (4 if 16 * size < segment_tokens else 2), MOST_CANDIDATES)
     return merges
 
 

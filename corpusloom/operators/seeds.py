@@ -118,10 +118,9 @@ def containing(strings: DataFrame, texts: DataFrame) -> DataFrame:
     shared = own.groupBy("seed").agg(F.count("*").alias("n"))
     rarest = own.join(shared, "seed").groupBy("key").agg(F.min_by("seed", F.struct("n", "seed")).alias("seed"))
     looked = materialize(rarest.withColumnRenamed("key", "needle"), "needle-seeds")
-    n_seeds = looked.select("seed").distinct()
     wanted = None
     if 8 * looked.count() <= SEED_BYTES:
-        wanted = np.sort(np.array([r.seed for r in n_seeds.collect()], np.int64))
+        wanted = np.sort(looked.select("seed").distinct().toArrow()["seed"].to_numpy())
     keyed = texts.where("norm is not null and norm <> ''").select(md5_hash(F.col("norm")).alias("tkey"), "norm")
     met = materialize(seeds(keyed, "tkey", "norm", tiers, wanted).join(looked, "seed").select(F.col("key").alias("tkey"), "needle").distinct(), "seed-matches")
     alike = keyed.join(met.select("tkey").distinct(), "tkey", "left_semi").groupBy("tkey").agg(F.count("*").alias("n"), F.first("norm").alias("norm"))
