@@ -32,7 +32,7 @@ from corpusloom.llm.components import components
 from corpusloom.llm.hashing import mix64
 from corpusloom.llm.shingles import Shingler
 from corpusloom.llm.trie import link, needed
-from corpusloom.runtime import materialize, parts_for, release, ship
+from corpusloom.runtime import materialize, materialize_last, parts_for, passing, release, scratch, ship, sifted
 
 #: Tokens in this many prefixes or more count as frequent, and how many of them the order knows (the most frequent).
 #: Both only steer the work: any order finds every link.
@@ -163,8 +163,8 @@ class JaccardJoin:
 
         return self.docs.mapInArrow(run, "doc_id long, n long, a long, b long, prefix binary")
 
-    def ties(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """u, v: ties of classes (doc_id, n, prefix) that share rare tokens; and doc_id of the marked classes."""
+    def pairs(self, classes: DataFrame) -> DataFrame:
+        """u, v, least, shared: what classes (doc_id, n, prefix) that share rare tokens share in each bucket, and what ties them; u = v: marked classes."""
         percent, buckets = self.percent, self.buckets
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +215,7 @@ class JaccardJoin:
             return pa.table({"u": rows[:, 0], "v": rows[:, 1], "least": rows[:, 2], "shared": count.astype(np.int64)})
 
         dealt = classes.select("doc_id", "n", "prefix").mapInArrow(deal, "bucket int, tokens binary, ids binary, n binary")
-        pairs = materialize(dealt.groupBy("bucket").applyInArrow(tie, "u long, v long, least long, shared long"), "jaccard-pairs")
-        tied = pairs.where("u <> v").groupBy("u", "v").agg(F.min("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("u", "v")
-        return tied, materialize(pairs.where("u = v").select(F.col("u").alias("doc_id")).distinct(), "jaccard-marked")
+        return dealt.groupBy("bucket").applyInArrow(tie, "u long, v long, least long, shared long")
 
     def cell_ties(self, marked: DataFrame, frequent) -> DataFrame:
         """u, v: ties of the marked classes (doc_id) by equal cells."""
@@ -258,8 +256,8 @@ class JaccardJoin:
             pairs = star(hashes, ids)[1]
             return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-        # the marked classes grow with the corpus: merged at every size, never sent to all tasks
-        texts = self.docs.join(marked.hint("merge"), "doc_id")
+        # the marked classes grow with the corpus: merged at every size, never sent to all tasks; the texts of others stay where they are
+        texts = sifted(self.docs, marked, "doc_id")[0].join(marked.hint("merge"), "doc_id")
         return texts.mapInArrow(deal, "bucket int, hashes binary, ids binary").groupBy("bucket").applyInArrow(tie, "u long, v long")
 
     def sets(self, members: DataFrame, frequent) -> DataFrame:
@@ -273,7 +271,8 @@ class JaccardJoin:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["cluster"], batch["blocks"], pa.array(found, pa.binary())], ["doc_id", "cluster", "blocks", "tokens"])
 
         # the members grow with the corpus: merged at every size, never sent to all tasks
-        return self.docs.join(members.hint("merge"), "doc_id").select("doc_id", "cluster", "blocks", "text").mapInArrow(run, "doc_id long, cluster long, blocks int, tokens binary")
+        texts = sifted(self.docs, members, "doc_id")[0].join(members.hint("merge"), "doc_id")
+        return texts.select("doc_id", "cluster", "blocks", "text").mapInArrow(run, "doc_id long, cluster long, blocks int, tokens binary")
 
     def linked(self, rows: DataFrame) -> DataFrame:
         """u, v that connect what links connect within each (cluster, block) of rows (doc_id, cluster, block, part, tokens); equal parts are connected already."""
@@ -294,16 +293,29 @@ class JaccardJoin:
         task = F.pmod(F.xxhash64("cluster", "block"), F.lit(8 * self.parts)).cast("int")
         return rows.withColumn("task", task).groupBy("task").applyInArrow(run, "u long, v long")
 
+    def signed(self, frequent) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """doc_id, n, a, b of each row, the ties u, v of the classes and the marked ones. The prefixes, a fifth of all sets, are on disk until the ties are made."""
+        path = scratch(self.spark, "jaccard-signed")
+        with passing(self.spark):
+            sets = materialize(self.signatures(frequent), "jaccard-sets")
+            held = sets.where("n > 0 and doc_id is not null")
+            classes = held.groupBy("n", "a", "b").agg(F.min(F.struct("doc_id", "prefix")).alias("first"))
+            pairs = self.pairs(classes.select("n", F.col("first.doc_id").alias("doc_id"), F.col("first.prefix").alias("prefix")))
+            pairs.write.parquet(f"{path}/pairs")
+            small = sets.select("doc_id", "n", "a", "b")
+            small.write.parquet(f"{path}/sets")
+        pairs = self.spark.read.schema(pairs.schema).parquet(f"{path}/pairs")
+        ties = pairs.where("u <> v").groupBy("u", "v").agg(F.min("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("u", "v")
+        marked = materialize(pairs.where("u = v").select(F.col("u").alias("doc_id")).distinct(), "jaccard-marked")
+        return self.spark.read.schema(small.schema).parquet(f"{path}/sets"), ties, marked
+
     def run(self) -> DataFrame:
         frequent = self.spark.sparkContext.broadcast(self.frequent())
-        signed = materialize(self.signatures(frequent), "jaccard-sets")
-        held = signed.where("n > 0 and doc_id is not null")
-        classes = held.groupBy("n", "a", "b").agg(F.min(F.struct("doc_id", "prefix")).alias("first"))
-        classes = materialize(classes.select("n", "a", "b", F.col("first.doc_id").alias("doc_id"), F.col("first.prefix").alias("prefix")), "jaccard-classes")
-        ties, marked = self.ties(classes)
+        signed, ties, marked = self.signed(frequent)
         if not marked.isEmpty():
             ties = ties.unionByName(self.cell_ties(marked, frequent))
         release(self.spark)
+        classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc_id"))
         clusters = components(ties).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster")
         release(self.spark)
         sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -353,7 +365,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     links. Rows without doc_id are counted but take no part in links; their component_id is null. Rows that repeat a
     doc_id are each looked at, as sets of one document. Empty table: no rows.
     """
-    return JaccardJoin(docs, words=words, percent=percent).run()
+    return materialize_last(JaccardJoin(docs, words=words, percent=percent).run, docs.sparkSession, "jaccard-components")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

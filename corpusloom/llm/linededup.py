@@ -28,7 +28,7 @@ from pyspark.sql.utils import AnalysisException
 
 from corpusloom.llm.batches import sliced, texts_of
 from corpusloom.llm.cuckoo import CuckooFilter, filter_of
-from corpusloom.runtime import free_names, materialize, scratch, ship
+from corpusloom.runtime import free_names, materialize, materialize_last, scratch, ship
 
 #: White space that is stripped from both ends of a line.
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -326,8 +326,8 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, keep_text: bool = True) ->
     doc_id. Null or empty text: one empty line, kept. Null doc_id: all such rows count as one document after all
     others. Rows that repeat a doc_id count as one document, and each comes out. Empty table: no rows.
     """
-    index = LineIndex.build(docs, least=least)
-    return drop_lines(docs, index.doomed(), least=least, keep_text=keep_text)
+    doomed = materialize_last(lambda: LineIndex.build(docs, least=least).doomed(), docs.sparkSession, "line-doomed")
+    return drop_lines(docs, doomed, least=least, keep_text=keep_text)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

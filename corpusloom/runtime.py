@@ -9,13 +9,20 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _SCRATCH: dict[str, str] = {}
+#: Paths that scratch() gives out while passing() is open, innermost last.
+_OPEN: list[list[str]] = []
+#: Bits of a sieve, a row of 32,768 of them each (Spark's bitmap functions): 4 MiB at most, however many keys set them.
+SIEVE_BITS = 1 << 25
 #: Bytes that one Arrow batch of rows may take on its way to a Python worker; bounds what a worker holds of long texts.
 BATCH_BYTES = 16 << 20
 #: Estimates from here on stand for sizes that the optimizer does not know (a petabyte).
@@ -109,7 +116,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for opened in _OPEN[-1:]:
+        opened.append(path)
+    return path
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside is deleted at the end, and Spark is let delete the shuffles; whatever is needed later is written outside."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        release(spark)
+
+
+def materialize_last(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """materialize() what make() returns, and delete everything that make() wrote on the way."""
+    path = scratch(spark, name)
+    with passing(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -120,6 +152,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sifted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """df (with a whole number `key`) in two: the rows whose key is perhaps among keys (a table with that column), and those whose key is not for certain, null keys among them.
+
+    Each key sets one of SIEVE_BITS bits, which all tasks get, so that of a table of texts only a few are shuffled to
+    be joined exactly; what keys there are too many for the bits lets through more rows and changes no result.
+    """
+    bit, sector, bits = free_names(df.columns, "_bit", "_sector", "_bits")
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SIEVE_BITS)) + 1
+    set_ = keys.where(F.col(key).isNotNull()).select(place(key).alias(bit))
+    sieve = set_.groupBy(F.bitmap_bucket_number(bit).alias(sector)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(bits))
+    sieve = materialize(sieve, "sieve")
+    marked = df.withColumn(bit, place(key)).withColumn(sector, F.bitmap_bucket_number(bit)).join(F.broadcast(sieve), sector, "left")
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.col(key).isNotNull() & F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return marked.where(there).select(*df.columns), marked.where(~there).select(*df.columns)
+
+
 def free_names(taken: list[str], *wanted: str) -> list[str]:
     """The wanted column names, each with as many underscores before it as make it differ from all taken ones (Spark does not tell upper from lower case)."""
     lower, out = {c.lower() for c in taken}, []
