@@ -240,12 +240,12 @@ def write_named(lines, path):
 
 @query(f"SELECT count(*)::BIGINT AS docs, sum(strlen({_norm('text')}))::BIGINT AS text_bytes, 1::BIGINT AS sources FROM documents WHERE doc_id % 10 = 0 AND {_norm('text')} <> ''")
 def held_out_set(spark, sf_dir):
-    """A held-out set written from a file that must not change meanwhile, and read back."""
+    """A held-out set written from one source, a folder of files that must not change meanwhile, and read back."""
     path = scratch(spark, "held-out")
     docs = documents(spark, sf_dir).where(F.col("doc_id") % 10 == 0)
-    docs.select(F.to_json(F.struct("text")).alias("value")).coalesce(1).write.text(f"{path}-source")
+    docs.select(F.to_json(F.struct("text")).alias("value")).write.text(f"{path}-source")
     done = jsonl.held_out(docs, path, f"{path}-source/*.txt")
-    return spark.range(1).select(F.lit(done["docs"]).cast("long").alias("docs"), F.lit(done["text_bytes"]).cast("long").alias("text_bytes"), F.lit(len(done["source"])).cast("long").alias("sources"))
+    return spark.range(1).select(F.lit(done["docs"]).cast("long").alias("docs"), F.lit(done["text_bytes"]).cast("long").alias("text_bytes"), F.lit(len(done["folders"])).cast("long").alias("sources"))
 
 
 @query("SELECT item_id::VARCHAR AS id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS \"group\", text FROM benchmark QUALIFY row_number() OVER (PARTITION BY text ORDER BY item_id) = 1")

@@ -115,7 +115,7 @@ def write_shards(docs: DataFrame, path: str, by: str = "source") -> None:
 
 
 def file_fingerprints(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
-    """path, length, digest (BLAKE2b-128 of the bytes) of files; with length, of files of that size only: the others are not read."""
+    """path, length, digest (BLAKE2b-128 of the bytes) of files; with length, of files of that size only: the others are not read. A file is read by one task, so large sources are kept as folders of many files."""
     import hashlib
 
     @F.pandas_udf("string")
@@ -135,7 +135,7 @@ def copies_of(spark: SparkSession, path: str, file: str) -> DataFrame:
 
 
 def held_out(docs: DataFrame, path: str, source: str) -> dict:
-    """Write a held-out set and prove that neither its count nor its source changed meanwhile."""
+    """Write a held-out set and prove that neither its count nor its source changed meanwhile: docs, text_bytes, source (the digest of each of its files) and folders (those that hold them)."""
     spark = docs.sparkSession
     before = file_fingerprints(spark, source).orderBy("path").collect()
     written = write_jsonl(docs, path).first()
@@ -144,7 +144,7 @@ def held_out(docs: DataFrame, path: str, source: str) -> dict:
     again = read_corpus_json(spark, path).count()
     if again != written.docs:
         raise ValueError(f"{written.docs} texts written, {again} read back")
-    return {"docs": written.docs, "text_bytes": written.text_bytes, "source": [r.digest for r in before]}
+    return {"docs": written.docs, "text_bytes": written.text_bytes, "source": [r.digest for r in before], "folders": sorted({r.path.rpartition("/")[0] for r in before})}
 
 
 def read_corpus_json(spark: SparkSession, path: str) -> DataFrame:

@@ -522,6 +522,24 @@ def test_merge_piece_against_rescanning():
     assert bpe_training.merge_piece(b"", {}) == [] and len(bpe_training.merge_piece(b"ab" * 200_000, {b"a": 0, b"b": 1, b"ab": 2})) == 200_000
 
 
+def test_held_out_source_is_many_files(spark):
+    """The source is written by as many tasks as read it, and counts as one."""
+    from pathlib import Path
+
+    from corpusloom.plans import catalogue
+    from corpusloom.runtime import shared_dir
+
+    root, setting = Path(shared_dir(spark).removeprefix("file:")), "spark.sql.files.maxPartitionBytes"
+    before, there = spark.conf.get(setting), set(root.iterdir())
+    spark.conf.set(setting, "64k")
+    try:
+        row = catalogue.held_out_set(spark, "/root/testdata/sf0.001").first()
+    finally:
+        spark.conf.set(setting, before)
+    (source,) = [p for p in set(root.iterdir()) - there if p.name.endswith("-source")]
+    assert row.sources == 1 and row.docs == 20 and len(list(source.glob("part-*.txt"))) > 1
+
+
 def test_range_of_bounds(spark):
     from corpusloom.operators.prefix import _range_of
 
