@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom import config
 from corpusloom.functions import hashing, planning, requests, text
 from corpusloom.operators import bpe_training, corpus, dedup, evaluation, overlap, packing, repetition, report, runs, sampling
-from corpusloom.runtime import materialize, scratch, ship
+from corpusloom.runtime import UNKNOWN, materialize, plan_bytes, scratch, ship
 from corpusloom.sources import jsonl, suites, tokens
 from corpusloom.streaming import jobs, pages
 
@@ -279,6 +279,24 @@ def release_figures(spark, sf_dir):
 # streams over the tables
 
 
+#: Bytes, as the optimizer estimates them, of one file of a stream's source; a batch takes as many files that no task of its shuffle gets much more.
+FILE_BYTES = 16 << 20
+
+
+def file_count(rows, least):
+    """Files of FILE_BYTES that rows make, but `least` or more."""
+    size = plan_bytes(rows)
+    return max(least, -(-size // FILE_BYTES) if size < UNKNOWN else 0)
+
+
+def arriving(rows, path, batches):
+    """Write rows as the files of a stream's source; returns how many of them a batch takes, so that they come in `batches` batches or, if these would be large, in more."""
+    files = file_count(rows, batches)
+    rows.repartition(files).write.parquet(path)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(files // batches, 2 * tasks))
+
+
 @query(f"SELECT doc_id, length({_norm('text')})::BIGINT AS n_chars FROM documents WHERE length({_norm('text')}) >= 200")
 def stream_ingest(spark, sf_dir):
     """The ingest job run to the end of its source, twice: the second run finds nothing new."""
@@ -293,10 +311,13 @@ def stream_ingest(spark, sf_dir):
 def stream_pages(spark, sf_dir):
     """Pages of documents read by the paged source: four are there at first, three come before a second run goes on from the checkpoint. Each text once for each document that has it."""
     path = scratch(spark, "stream-pages")
-    docs = documents(spark, sf_dir).select("text", (F.col("doc_id") % 7).alias("page"))
+    docs = documents(spark, sf_dir)
+    # a page is a file or, if it would be large, several: their names say their place
+    files = file_count(docs, 7)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(-(-files // 7)))
+    docs = docs.select("text", (F.col("doc_id") % 7).alias("page"), salt.alias("salt"))
     for names in ("page < 4", "page >= 4"):
-        # a page is a file: its name says its place
-        docs.where(names).repartition("page").write.mode("overwrite").partitionBy("page").parquet(f"{path}/made")
+        docs.where(names).repartition(files, "page", "salt").drop("salt").write.mode("overwrite").partitionBy("page").parquet(f"{path}/made")
         pages.gather(spark, f"{path}/made", f"{path}/in", "page")
         stream = pages.read_pages(spark, f"{path}/in")
         stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
@@ -309,8 +330,8 @@ def stream_pages(spark, sf_dir):
 def stream_first_seen(spark, sf_dir):
     """Each text once, whichever batch brings it."""
     path = scratch(spark, "stream-first")
-    documents(spark, sf_dir).select("doc_id", "text").repartition(3).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    each = arriving(documents(spark, sf_dir).select("doc_id", "text"), f"{path}/in", 3)
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", each).parquet(f"{path}/in")
     jobs.keep_first_seen(stream, f"{path}/out", f"{path}/log").awaitTermination()
     return spark.read.schema("doc_id long, text string, h string").parquet(f"{path}/out").select("h", text.char_length(text.normalize_text(F.col("text"))).alias("n_chars"))
 
@@ -320,8 +341,8 @@ def stream_latest_snapshot(spark, sf_dir):
     """The newest row of each run, batch after batch."""
     path = scratch(spark, "stream-latest")
     schema = "run long, step long, loss double"
-    log(spark, sf_dir).select("run", "step", "loss").repartition(3).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    each = arriving(log(spark, sf_dir).select("run", "step", "loss"), f"{path}/in", 3)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(f"{path}/in")
     jobs.latest_snapshot(stream, f"{path}/log", f"{path}/checkpoint").awaitTermination()
     return jobs.read_latest(spark, f"{path}/log").select("run", "step", "loss")
 
@@ -336,7 +357,7 @@ def stream_incremental_decode(spark, sf_dir):
     cut = data.select("conv_id", "b", size.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("seq"))
     pieces = cut.select("conv_id", "seq", F.substring(F.col("b"), (F.col("seq") * 7 + 1).cast("int"), F.lit(7)).alias("piece"), (F.col("seq") == F.col("n") - 1).alias("last"))
     ship(spark)
-    pieces.coalesce(1).write.parquet(f"{path}/in")
+    pieces.write.parquet(f"{path}/in")  # the stream takes all files in one batch
     stream = spark.readStream.schema("conv_id long, seq long, piece binary, last boolean").parquet(f"{path}/in")
     jobs.incremental_decode(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     deltas = spark.read.schema("conv_id long, seq long, delta string").parquet(f"{path}/out")

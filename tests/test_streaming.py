@@ -1,7 +1,11 @@
 import time
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.plans import catalogue
+from corpusloom.runtime import shared_dir
 from corpusloom.streaming import jobs
 
 
@@ -65,6 +69,20 @@ def test_first_seen_goes_on_after_a_restart(spark, tmp_path):
     assert any(f.endswith(".changelog") for f in files) and not any(f.endswith(".delta") for f in files)
 
 
+@pytest.mark.parametrize("name, batches", [("stream_first_seen", 3), ("stream_latest_snapshot", 3), ("stream_pages", 7)])
+def test_sources_of_streams_are_cut_by_size(spark, monkeypatch, name, batches):
+    """A larger table is more files, not larger ones; the rows are the same."""
+    root, sf_dir = Path(shared_dir(spark).removeprefix("file:")), "/root/testdata/sf0.001"
+    found = []
+    for size in (catalogue.FILE_BYTES, 1_000):
+        monkeypatch.setattr(catalogue, "FILE_BYTES", size)
+        there = set(root.iterdir())
+        rows = sorted(map(repr, catalogue.QUERIES[name](spark, sf_dir).collect()))
+        (made,) = [p for p in set(root.iterdir()) - there if p.name.startswith("stream-")]
+        found.append((rows, len(list((made / "in").glob("*.parquet")))))
+    assert found[0][0] == found[1][0] and found[0][1] == batches and found[1][1] > 2 * batches
+
+
 def test_stable_text():
     for text in ("plain", "é", "漢字", "😀x", "á"):
         data, held, out = text.encode(), b"", ""
