@@ -301,9 +301,9 @@ def arriving(rows, path, batches):
 def stream_ingest(spark, sf_dir):
     """The ingest job run to the end of its source, twice: the second run finds nothing new."""
     path = scratch(spark, "stream-ingest")
-    documents(spark, sf_dir).select("doc_id", "text").repartition(4).write.parquet(f"{path}/in")
+    each = arriving(documents(spark, sf_dir).select("doc_id", "text"), f"{path}/in", 2)
     for _ in range(2):
-        jobs.ingest(spark, f"{path}/in", "doc_id long, text string", f"{path}/out", f"{path}/log", min_chars=200, files_per_batch=2).awaitTermination()
+        jobs.ingest(spark, f"{path}/in", "doc_id long, text string", f"{path}/out", f"{path}/log", min_chars=200, files_per_batch=each).awaitTermination()
     return spark.read.schema("doc_id long, text string").parquet(f"{path}/out").select("doc_id", text.char_length(F.col("text")).alias("n_chars"))
 
 

@@ -69,7 +69,7 @@ def test_first_seen_goes_on_after_a_restart(spark, tmp_path):
     assert any(f.endswith(".changelog") for f in files) and not any(f.endswith(".delta") for f in files)
 
 
-@pytest.mark.parametrize("name, batches", [("stream_first_seen", 3), ("stream_latest_snapshot", 3), ("stream_pages", 7)])
+@pytest.mark.parametrize("name, batches", [("stream_first_seen", 3), ("stream_latest_snapshot", 3), ("stream_ingest", 2), ("stream_pages", 7)])
 def test_sources_of_streams_are_cut_by_size(spark, monkeypatch, name, batches):
     """A larger table is more files, not larger ones; the rows are the same."""
     root, sf_dir = Path(shared_dir(spark).removeprefix("file:")), "/root/testdata/sf0.001"
