@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.runtime import free_names, materialize
 
+#: Rows that a task of with_running sorts, as far as its hashing deals them evenly: 100 to 150 MB of a run log. A task of fewer than FEW_ROWS is not worth its start.
+TASK_ROWS, FEW_ROWS = 1_000_000, 50_000
+
 
 def _range_of(value: Column, bounds: list[float]) -> Column:
     """How many of the sorted bounds are at most value: first by the first one of each stretch, then within its stretch, so that a row is compared with few of very many bounds."""
@@ -24,9 +27,9 @@ def _range_of(value: Column, bounds: list[float]) -> Column:
     return stretch * width + upto(F.element_at(F.array(*map(listed, stretches)), stretch + 1))
 
 
-def _range(df: DataFrame, order: str) -> Column:
-    """The number of a row's range of the order column: its quantiles cut it into as many as the session has shuffle partitions; -1 for null."""
-    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _range(df: DataFrame, order: str, least: int = 1) -> Column:
+    """The number of a row's range of the order column: its quantiles cut it into as many as the session has shuffle partitions, `least` at least; -1 for null."""
+    ranges = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # an error well below a range's share, or ranges would not get smaller as they get more
     bounds = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], min(0.001, 1 / (4 * ranges))) if ranges > 1 else []
     at = _range_of(F.col(order).cast("double"), sorted(set(bounds)))
@@ -38,12 +41,16 @@ def with_running(df: DataFrame, order: list[str], by: list[str], least: dict[str
 
     Each group is a sequence of its own, in the order of the columns, the first of which must be a number (nulls come
     first). As in with_prefix, a group's rows are cut into ranges: each range is scanned on its own and takes what the
-    ranges before it hand on, their least values and their last row. A group of very many rows is many tasks.
+    ranges before it hand on, their least values and their last row. A group of very many rows is many tasks. Ranges and
+    tasks are counted by rows: partitions that are merged by their compressed bytes would be sorted in far more memory.
     """
     df = df.select("*")
+    rows_in = df.count()
+    most = -(-rows_in // TASK_ROWS)
+    tasks = max(1, most, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows_in // FEW_ROWS)))
     (part,) = free_names([*df.columns, *least, *last], "_range")
     values = dict(zip([*least, *last], free_names([*df.columns, *least, *last, part], *[f"_in_{name}" for name in [*least, *last]]), strict=True))
-    placed = materialize(df.withColumns({values[n]: c for n, c in (least | last).items()}).withColumn(part, _range(df, order[0])), "ranged")
+    placed = materialize(df.withColumns({values[n]: c for n, c in (least | last).items()}).withColumn(part, _range(df, order[0], most)), "ranged")
     keys = free_names([*placed.columns, *least, *last], *[f"_by_{c}" for c in by], "_part")
     handed = free_names([*placed.columns, *keys, *least, *last], *[f"_from_{name}" for name in values])
     # the last row of a range by all order columns; of rows that tie in them any may be the last, as in a window
@@ -60,7 +67,7 @@ def with_running(df: DataFrame, order: list[str], by: list[str], least: dict[str
     behind, first = rows.rowsBetween(Window.unboundedPreceding, -1), F.row_number().over(rows) == 1
     mins = [F.least(F.col(h), F.min(values[n]).over(behind)).alias(n) for n, h in zip(least, handed)]
     lasts = [F.when(first, F.col(h)).otherwise(F.lag(values[n]).over(rows)).alias(n) for n, h in zip(last, handed[len(least) :])]
-    return placed.join(ends, same).select(*df.columns, *mins, *lasts)
+    return placed.join(ends, same).repartition(tasks, *by, part).select(*df.columns, *mins, *lasts)
 
 
 def with_prefix(df: DataFrame, order: list[str], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:

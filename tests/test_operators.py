@@ -118,6 +118,18 @@ def test_running_over_ranges(spark):
     assert prefix.with_running(log.limit(0), ["step"], ["run"], {"low": F.col("loss")}, {}).collect() == []
 
 
+def test_running_tasks_are_counted_by_rows(spark, monkeypatch):
+    """However well rows compress, a task sorts TASK_ROWS of them or few more; more tasks and ranges give the same rows."""
+    log = spark.range(4_000).select((F.col("id") % 3).alias("run"), F.col("id").alias("step"), F.pmod(F.col("id") * 7919, F.lit(1_000)).alias("loss"))
+    rows = []
+    for size in (1_000_000, 100):
+        monkeypatch.setattr(prefix, "TASK_ROWS", size)
+        out = prefix.with_running(log, ["step"], ["run"], {"low": F.col("loss")}, {"at": F.col("step")})
+        sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        rows.append(sorted(map(repr, out.collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 4_000 and len(sizes) > 20 and max(sizes) < 700
+
+
 def test_ranked_percentiles(spark):
     import numpy as np
 
