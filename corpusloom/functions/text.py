@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.config import WHITE_SPACE
+from corpusloom.config import WHITE_SPACE, WHITE_SPACE_POINTS
 
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-#: A run of the white space that words are split at.
-WORD_GAP = "[" + WHITE_SPACE.replace("\\", "") + "]+"
+#: A run of the white space that words are split at. The first class is wider and has few members to ask: most characters, of any script, are told by it alone.
+_LATIN = "".join(f"\\x{c:02X}" for low, high in WHITE_SPACE_POINTS for c in range(low, high + 1) if c < 0x100)
+_RANGES = [(low, high) for low, high in WHITE_SPACE_POINTS if low > 0xFF]
+_OTHERS = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in _RANGES)
+WORD_GAP = f"[{_LATIN}\\x{{{_RANGES[0][0]:X}}}-\\x{{{_RANGES[-1][1]:X}}}&&[{_LATIN}{_OTHERS}]]+"
 
 
 def nfc(text: Column) -> Column:
@@ -34,7 +37,7 @@ def normalize_text(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between runs of Unicode white space; none for null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:

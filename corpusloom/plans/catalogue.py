@@ -692,6 +692,10 @@ v AS (SELECT count(*) AS v FROM (SELECT x FROM xy UNION SELECT y FROM xy)),
 scored AS (SELECT p.doc_id, -ln((coalesce(c, 0) + 1) / (coalesce(cx, 0) + v.v)::DOUBLE) AS ce FROM pairs p LEFT JOIN xy USING (x, y) LEFT JOIN cx USING (x), v WHERE doc_id % 10 = 0)"""
 
 
+#: Learned from nine tenths of the documents, asked for the other.
+_LEARN, _ASK = "doc_id % 10 <> 0", "doc_id % 10 = 0"
+
+
 def scored(spark, sf_dir, *by):
     """The held-out tenth's pairs, counted by these columns, with their cross-entropy."""
     pairs = evaluation.token_pairs(documents(spark, sf_dir), text.words(F.col("text")))
@@ -707,7 +711,10 @@ def nll_bigram(spark, sf_dir):
 @query(f"WITH {_SCORED}, b AS (SELECT doc_id // 80 AS b, avg(ce) AS l FROM scored GROUP BY 1) SELECT round(avg(l), 9) AS val_loss, count(*)::BIGINT AS n_batches FROM b")
 def validation_loss(spark, sf_dir):
     """Batches of documents by ranges of 80 ids."""
-    return evaluation.batch_mean(scored(spark, sf_dir, F.floor(F.col("doc_id") / 80).alias("batch")), F.col("batch"))
+    docs, words = documents(spark, sf_dir).withColumn("batch", F.floor(F.col("doc_id") / 80)), text.words(F.col("text"))
+    shares = evaluation.batch_shares(docs.where(_ASK), words, "batch")
+    pairs = evaluation.token_pairs(evaluation.dealt(docs).join(shares, "batch", "left"), words, "doc_id", "share")
+    return evaluation.mean_of_batches(evaluation.held_out_loss(pairs, F.expr(_LEARN), F.expr(_ASK), "share"), shares)
 
 
 # plans

@@ -3,6 +3,7 @@ import heapq
 import math
 import os
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -15,6 +16,7 @@ from corpusloom.operators import bpe_training, corpus, dedup, evaluation, overla
 from corpusloom.operators import prefix, seeds
 from corpusloom.operators.prefix import with_prefix
 from corpusloom.plans import catalogue
+from corpusloom.runtime import materialize
 
 
 def docs(spark, texts, first=0):
@@ -238,6 +240,46 @@ def test_losses(spark):
     assert (empty.ratio, empty.n_docs, empty.passes) == (0.0, 0, False)
 
 
+HELD = [(i, " ".join(f"w{(i * 7 + k * k) % (5 + i % 11)}" for k in range(i % 9))) for i in range(60)] + [(None, "a b a"), (60, None), (70, "only"), (71, "\u3000a\u2003b\x85 b ")]
+
+
+def test_summed_losses_are_those_of_the_scorer(spark):
+    d = spark.createDataFrame(HELD, "doc_id long, text string").withColumn("batch", F.floor(F.col("doc_id") / 20))
+    learn, ask, words = F.col("doc_id") % 3 != 0, F.col("doc_id") % 3 == 0, text.words(F.col("text"))
+    pairs = evaluation.token_pairs(d, words, "doc_id", "batch")
+    scored = evaluation.BigramScorer(pairs.where(learn)).cross_entropy(pairs.where(ask))
+    want, got = evaluation.token_weighted(scored).first(), evaluation.token_weighted(evaluation.held_out_loss(pairs, learn, ask), n_docs=evaluation.targets(d.where(ask), words)).first()
+    assert want.n_tokens > 40 and want == got
+    shares = evaluation.batch_shares(d.where(ask), words, "batch")
+    shared = evaluation.token_pairs(d.join(shares, "batch", "left"), words, "doc_id", "share")
+    want, got = evaluation.batch_mean(scored, F.col("batch")).first(), evaluation.mean_of_batches(evaluation.held_out_loss(shared, learn, ask, "share"), shares).first()
+    assert want.n_batches == 3 and want == got
+    none = evaluation.batch_shares(d.where("false"), words, "batch")
+    assert evaluation.mean_of_batches(evaluation.held_out_loss(shared, learn, F.lit(False), "share"), none).first() == (None, 0)
+
+
+@pytest.mark.parametrize("name", ["validation_loss"])
+def test_losses_write_and_join_no_table_of_pairs(spark, tmp_path, monkeypatch, name):
+    rows = [(i, " ".join(f"w{(i * 31 + k * k) % 40}" for k in range(60)), "s") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    written, plans = [], []
+
+    def recorded(df, table):
+        out = materialize(df, table)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(evaluation, "materialize", recorded)
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    found.collect()
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    n_pairs = len({p for _, t, _ in rows for p in zip(t.split(), t.split()[1:])})
+    # at most 40 words and the counts of pairs; before, every pair
+    assert n_pairs > 400 and max(written) < 200
+    assert not any("Join" in line and re.search(r"\b[xy]#", line) for plan in plans for line in plan.split("\n"))
+
+
 def test_plans(spark):
     n = spark.range(1).select(planning.parameters(F.lit(32_000), F.lit(1024), F.lit(12), F.lit(768)).alias("n")).first().n
     assert n == 110_316_288 and spark.range(1).select(planning.format_params(F.lit(n)).alias("s")).first().s == "110.3M"

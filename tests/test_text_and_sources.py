@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.config import HUMAN_RANGES, WHITE_SPACE
+from corpusloom.config import HUMAN_RANGES, WHITE_SPACE, WHITE_SPACE_POINTS
 from corpusloom.functions import hashing, requests, text
 from corpusloom.operators import greedy, repetition
 from corpusloom.operators.dedup import normalize_udf
@@ -37,6 +37,13 @@ def test_words_and_ngrams(spark):
     assert tuple(got[4]) == (0.2, 0.25, 0.5, 2, 5) and tuple(got[1]) == (0, 0, 0, 0, 0) and tuple(got[3]) == (1, 0, 0, 0, 1)
 
 
+def test_words_part_at_all_white_space_and_at_nothing_else(spark):
+    spaces = [chr(c) for low, high in WHITE_SPACE_POINTS for c in range(low, high + 1)]
+    near = [chr(c) for low, high in WHITE_SPACE_POINTS for c in (low - 1, high + 1) if chr(c) not in spaces] + list("&[]-\\x\u200b\ufeff\U00020000")
+    assert column(spark, [s.join(f"{s}ab") + s * 2 for s in spaces], text.words) == [["a", "b"]] * len(spaces)
+    assert column(spark, [f"a{s}b" for s in near], text.words) == [[f"a{s}b"] for s in near]
+
+
 def test_human_ranges(spark):
     n = [1, 60, 61, 400, 401, 10_000, 10**6]
     frame = spark.createDataFrame([(x,) for x in n], "n long")
