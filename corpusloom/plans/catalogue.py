@@ -696,16 +696,11 @@ scored AS (SELECT p.doc_id, -ln((coalesce(c, 0) + 1) / (coalesce(cx, 0) + v.v)::
 _LEARN, _ASK = "doc_id % 10 <> 0", "doc_id % 10 = 0"
 
 
-def scored(spark, sf_dir, *by):
-    """The held-out tenth's pairs, counted by these columns, with their cross-entropy."""
-    pairs = evaluation.token_pairs(documents(spark, sf_dir), text.words(F.col("text")))
-    return evaluation.BigramScorer(pairs.where(F.col("doc_id") % 10 != 0)).cross_entropy(evaluation.pair_counts(pairs.where(F.col("doc_id") % 10 == 0), *by))
-
-
 @query(f"WITH {_SCORED} SELECT round(avg(ce), 9) AS nll, round(exp(avg(ce)), 6) AS perplexity, count(*)::BIGINT AS n_tokens, count(DISTINCT doc_id)::BIGINT AS n_docs FROM scored")
 def nll_bigram(spark, sf_dir):
-    held = documents(spark, sf_dir).where(F.col("doc_id") % 10 == 0)
-    return evaluation.token_weighted(scored(spark, sf_dir), n_docs=evaluation.targets(held, text.words(F.col("text"))))
+    docs, words = documents(spark, sf_dir), text.words(F.col("text"))
+    loss = evaluation.held_out_loss(evaluation.token_pairs(evaluation.dealt(docs), words), F.expr(_LEARN), F.expr(_ASK))
+    return evaluation.token_weighted(loss, n_docs=evaluation.targets(docs.where(_ASK), words))
 
 
 @query(f"WITH {_SCORED}, b AS (SELECT doc_id // 80 AS b, avg(ce) AS l FROM scored GROUP BY 1) SELECT round(avg(l), 9) AS val_loss, count(*)::BIGINT AS n_batches FROM b")

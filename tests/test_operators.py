@@ -258,7 +258,7 @@ def test_summed_losses_are_those_of_the_scorer(spark):
     assert evaluation.mean_of_batches(evaluation.held_out_loss(shared, learn, F.lit(False), "share"), none).first() == (None, 0)
 
 
-@pytest.mark.parametrize("name", ["validation_loss"])
+@pytest.mark.parametrize("name", ["validation_loss", "nll_bigram"])
 def test_losses_write_and_join_no_table_of_pairs(spark, tmp_path, monkeypatch, name):
     rows = [(i, " ".join(f"w{(i * 31 + k * k) % 40}" for k in range(60)), "s") for i in range(100)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
